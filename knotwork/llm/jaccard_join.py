@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm._shared import components, cut, text_bytes, text_slices
+from knotwork.llm._shared import components, cut, in_arrow, text_bytes, text_slices
 from knotwork.llm._text import U, mix, shingle_rows
 
 #: Shingles whose place in the order follows their count: 3 MB of broadcast at most, at any input size.
@@ -193,14 +193,14 @@ def open_groups(asked: DataFrame, members: DataFrame, texts: DataFrame, percent:
     work = q.union(m).join(texts, "node")
     spark = asked.sparkSession
     dealt = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "sub", "chunk")
-    return dealt.sortWithinPartitions("label", "sub", "chunk", "role").mapInArrow(_opened(percent), "a long, b long")
+    return in_arrow(dealt.sortWithinPartitions("label", "sub", "chunk", "role"), _opened(percent), "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); see the module's text."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    marks = cut(rows.mapInArrow(_fingerprints, FINGERPRINT), "sets")
+    marks = cut(in_arrow(rows, _fingerprints, FINGERPRINT), "sets")
     sets = marks.where("times is null")
     shared = marks.where("times is not null").groupBy("token").agg(F.sum("times").alias("times")).where("times > 3")
     top = shared.orderBy(F.desc("times"), "token").limit(ORDERED).toArrow()
@@ -210,7 +210,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     buckets = int(min(65536, max(512, total // 1_000_000)))
-    entries = rows.select("text").mapInArrow(_prefixes(order, buckets, percent), "bucket int, entries binary")
+    entries = in_arrow(rows.select("text"), _prefixes(order, buckets, percent), "bucket int, entries binary")
     runs = cut(entries.groupBy("bucket").applyInArrow(_runs, "token long, node long, n int, pos int"), "runs")
 
     known = sets.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))

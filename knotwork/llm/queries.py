@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from knotwork.llm._shared import table
+from knotwork.llm.bpe import round_trip_digests
+from knotwork.llm.decontamination import contaminated
 from knotwork.llm.jaccard_join import near_duplicate_classes
+from knotwork.llm.language_id import predict_languages
+from knotwork.llm.suffix_dedup import repeated_bytes
+from knotwork.llm.topk_search import top_k
+
+
+def vocabulary_path() -> str:
+    """Where the public vocabulary files are kept says their own package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +40,42 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id
 """
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-ORACLE_SQL = {"op2_ngram_jaccard_join": OP2_SQL}
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_language_id": op4_language_id,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_exact_top_k": op9_exact_top_k,
+}
+ORACLE_SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op9_exact_top_k": OP9_SQL}
