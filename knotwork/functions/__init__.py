@@ -1,0 +1 @@
+"""Column functions: semirings, functors, seeded random numbers."""
