@@ -56,11 +56,11 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * PLACE[7])
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of bytes other than space, tab .. return), and the rows' bounds among them."""
+def words(data: np.ndarray, offs: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that are not ``outside``), and the rows' bounds among them."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -73,9 +73,9 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words with A-Z lowered, the rows' bounds among them, and the words' starts and ends."""
-    starts, ends, rows = words(data, offs)
+    starts, ends, rows = words(data, offs, outside)
     return span_hash(prefix_sums(data, LOWER_CODES), starts, ends), rows, starts, ends
 
 

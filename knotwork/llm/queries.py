@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from knotwork.llm._shared import table
 from knotwork.llm.bpe import round_trip_digests
 from knotwork.llm.decontamination import contaminated
+from knotwork.llm.html_extract import main_texts
 from knotwork.llm.jaccard_join import near_duplicate_classes
 from knotwork.llm.language_id import predict_languages
+from knotwork.llm.license_scan import scan
+from knotwork.llm.quality import predict_quality
 from knotwork.llm.suffix_dedup import repeated_bytes
 from knotwork.llm.topk_search import top_k
+from knotwork.llm.toxicity import predict_toxicity
 
 
 def vocabulary_path() -> str:
@@ -20,6 +24,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -57,6 +69,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -70,12 +86,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_language_id": op4_language_id,
+    "op5_license_scan": op5_license_scan,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op9_exact_top_k": OP9_SQL}
