@@ -34,7 +34,7 @@ def weak_components(e: DataFrame, v: DataFrame | None = None) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    named = every.join(stars.withColumnsRenamed({"u": "v", "v": "c"}), "v", "left")
+    named = every.join(stars.select(F.col("v").alias("c"), F.col("u").alias("v")), "v", "left")
     return named.select("v", F.coalesce("c", "v").alias("component"))
 
 
