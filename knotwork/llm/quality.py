@@ -144,7 +144,9 @@ def learn_quality(sample: Sample) -> AttentionBag:
     if not good or good == len(sample.labels):
         net.constant = 1.0 if good or not sample.labels else 0.0
         return net
-    x, first = passages(*text_bytes(pa.array(sample.texts, pa.string())))
+    measured = [passages(*text_bytes(part.column("text"))) for part in text_slices(iter([pa.record_batch([pa.array(sample.texts, pa.large_string())], ["text"])]))]
+    x = np.concatenate([m[0] for m in measured])
+    first = np.r_[0, np.cumsum(np.concatenate([np.diff(m[1]) for m in measured]))]
     net.fit(x, first, np.array(sample.labels, float), np.array([sample.weight[y] for y in sample.labels]))
     return net
 
