@@ -7,9 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators.apps import edge_betweenness
-from knotwork.operators.components import weak_components
-from knotwork.operators.representation import vertices, weighted
+from knotwork.operators.representation import weighted
 from knotwork.operators.spectral import MOST, _on_matrix
 from knotwork.plans.storage import cut
 
@@ -108,18 +106,57 @@ def newman_eigenvector(e: DataFrame) -> DataFrame:
     return _on_matrix(e, run, "v long, part int")
 
 
-def girvan_newman(e: DataFrame, modules: int, most_cuts: int = 1000) -> DataFrame:
-    """(v, part): the edges of greatest betweenness go, one pair at a time, until there are ``modules`` components."""
-    every = cut(vertices(e), "vertices")
-    left = cut(e.where("src <> dst").select("src", "dst").distinct(), "left")
-    for _ in range(most_cuts):
-        named = weak_components(left, every)
-        if named.select("component").distinct().count() >= modules or left.isEmpty():
-            return named.withColumnRenamed("component", "part")
-        top = edge_betweenness(left).orderBy(F.desc(F.round("score", 9)), F.least("src", "dst"), F.greatest("src", "dst")).first()
-        a, b = top["src"], top["dst"]
-        left = cut(left.where(~(((F.col("src") == a) & (F.col("dst") == b)) | ((F.col("src") == b) & (F.col("dst") == a)))), "left")
-    raise RuntimeError("too many cuts")
+def _edge_flows(a: np.ndarray) -> np.ndarray:
+    """Shortest-path flow over each entry of a small graph, from every vertex in turn."""
+    n = len(a)
+    near = [np.flatnonzero(a[v]).tolist() for v in range(n)]
+    flow = np.zeros((n, n))
+    for s in range(n):
+        level, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for u in near[v]:
+                if u not in level:
+                    level[u], paths[u] = level[v] + 1, 0.0
+                    order.append(u)
+                if level[u] == level[v] + 1:
+                    paths[u] += paths[v]
+        owed = dict.fromkeys(order, 0.0)
+        for u in reversed(order):
+            for v in near[u]:
+                if level[v] == level[u] - 1:
+                    share = (1 + owed[u]) * paths[v] / paths[u]
+                    flow[v, u] += share
+                    owed[v] += share
+    return flow
+
+
+def _labels(a: np.ndarray) -> np.ndarray:
+    """The least vertex of each vertex's component."""
+    out = np.full(len(a), -1)
+    for s in range(len(a)):
+        if out[s] < 0:
+            front = [s]
+            while front:
+                v = front.pop()
+                if out[v] < 0:
+                    out[v] = s
+                    front += np.flatnonzero((a[v] > 0) & (out < 0)).tolist()
+    return out
+
+
+def girvan_newman(e: DataFrame, modules: int) -> DataFrame:
+    """(v, part): the edges of greatest betweenness go, one pair at a time, until there are ``modules`` components;
+    part is the component's smallest vertex, ties go to the first pair in order."""
+    def run(ids: np.ndarray, a: np.ndarray) -> pd.DataFrame:
+        a = ((a + a.T) > 0).astype(float)
+        np.fill_diagonal(a, 0)
+        while len(np.unique(named := _labels(a))) < modules and a.any():
+            flow = np.round(_edge_flows(a), 9)
+            i, j = np.unravel_index(int(np.maximum(flow, flow.T).argmax()), a.shape)
+            a[i, j] = a[j, i] = 0
+        return pd.DataFrame({"v": ids, "part": ids[named]})
+
+    return _on_matrix(e, run, "v long, part long", 600)
 
 
 def louvain_moves(a: np.ndarray, take: str = "max", rounds: int = 100) -> np.ndarray:

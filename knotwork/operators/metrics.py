@@ -206,9 +206,9 @@ def cdf_and_rank(x: DataFrame, col: str) -> DataFrame:
 def window_pdf(x: DataFrame, col: str, width: float) -> DataFrame:
     """(x, pdf): share of values within half the width of each different value."""
     sizes = x.groupBy(F.col(col).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    near = Window.orderBy("x").rangeBetween(-width / 2, width / 2)
+    half = f"{float(width) / 2}D"
     total = sizes.agg(F.sum("n").alias("total"))
-    return sizes.crossJoin(F.broadcast(total)).select("x", (F.sum("n").over(near) / F.col("total")).alias("pdf"))
+    return sizes.crossJoin(F.broadcast(total)).select("x", (F.expr(f"sum(n) OVER (ORDER BY x RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)") / F.col("total")).alias("pdf"))
 
 
 def cyclomatic(m: Column, n: Column, c: Column) -> Column:

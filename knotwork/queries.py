@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions import functors, semirings
-from knotwork.operators import apps, components, matrix, metrics, partition, paths, predicates, statistics, traversal, vector
+from knotwork.operators import apps, community, components, gnn, matrix, metrics, partition, paths, predicates, sequential, spectral, statistics, traversal, vector
+from knotwork.operators import generators as gen
 from knotwork.operators import representation as rep
 from knotwork.plans import views
 from knotwork.plans.views import SQL as G
@@ -100,7 +101,7 @@ UNION ALL SELECT 'eulerian', (SELECT bool_and(s % 2 = 0) FROM d) UNION ALL SELEC
 UNION ALL SELECT 'tree', (SELECT count(*) FROM r) = {_N} AND (SELECT sum(w) FROM g) / 2 = {_N} - 1""")
 add("num_nodes", "g5", predicates.num_nodes, f"SELECT {_N} AS n")
 add("num_edges", "u5", predicates.num_edges, "SELECT CAST(sum(w) / 2 AS DOUBLE) AS m FROM g")
-add("self_loops", "g5", predicates.self_loops, "SELECT coalesce(sum(w) FILTER (WHERE src = dst), 0) AS loops FROM g")
+add("self_loops", "g5", predicates.self_loops, "SELECT CAST(coalesce(sum(w) FILTER (WHERE src = dst), 0) AS BIGINT) AS loops FROM g")
 add("multi_edges", "g5", predicates.multi_edges, "SELECT count(*) AS n FROM g WHERE w > 1")
 add("average_degree", "u5", lambda e: rounded(predicates.average_degree(e), "average_degree"), f"SELECT round(sum(w) / CAST({_N} AS DOUBLE), 6) AS average_degree FROM g")
 add("link_density", "u5", lambda e: rounded(predicates.link_density(e), "density"), f"SELECT round(sum(w) / (CAST({_N} AS DOUBLE) * ({_N} - 1)), 6) AS density FROM g")
@@ -145,13 +146,13 @@ def _x(e: DataFrame) -> DataFrame:
 
 
 _X = ", x AS (SELECT DISTINCT dst AS idx, dst % 7 + 1 AS val FROM g)"
-add("spmv_plus_times", "g1", lambda e: matrix.times_vector(as_matrix(e), _x(e)), f"{_X} SELECT src AS idx, sum(w * val) AS val FROM g JOIN x ON dst = idx GROUP BY src")
+add("spmv_plus_times", "g1", lambda e: matrix.times_vector(as_matrix(e), _x(e)), f"{_X} SELECT src AS idx, CAST(sum(w * val) AS BIGINT) AS val FROM g JOIN x ON dst = idx GROUP BY src")
 add("spmv_min_plus", "g1", lambda e: matrix.times_vector(as_matrix(e), _x(e), semirings.MIN_PLUS), f"{_X} SELECT src AS idx, min(w + val) AS val FROM g JOIN x ON dst = idx GROUP BY src")
 add("spmv_max_select", "g1", lambda e: matrix.times_vector(as_matrix(e), _x(e).where("val > 3"), semirings.MAX_SECOND), f"{_X} SELECT src AS idx, max(val) AS val FROM g JOIN x ON dst = idx WHERE val > 3 GROUP BY src")
-add("spmv_filtered", "g1", lambda e: matrix.times_vector(as_matrix(e), _x(e), semirings.PLUS_TIMES.filtered(lambda a: a > 1)), f"{_X} SELECT src AS idx, sum(w * val) AS val FROM g JOIN x ON dst = idx WHERE w > 1 GROUP BY src")
-add("spgemm_cosupply", "g1", lambda e: matrix.multiply(as_matrix(e), matrix.transpose(as_matrix(e))), "SELECT a.src AS row, b.src AS col, sum(a.w * b.w) AS val FROM g a JOIN g b ON a.dst = b.dst GROUP BY 1, 2")
-add("square", "g3", lambda e: matrix.square(as_matrix(e)), "SELECT a.src AS row, b.dst AS col, sum(a.w * b.w) AS val FROM g a JOIN g b ON a.dst = b.src GROUP BY 1, 2")
-add("triple_product", "g3", lambda e: matrix.triple_product(as_matrix(e), as_matrix(e), as_matrix(e), r_transposed=True), "SELECT a.dst AS row, c.dst AS col, sum(a.w * b.w * c.w) AS val FROM g a JOIN g b ON a.src = b.src JOIN g c ON b.dst = c.src GROUP BY 1, 2")
+add("spmv_filtered", "g1", lambda e: matrix.times_vector(as_matrix(e), _x(e), semirings.PLUS_TIMES.filtered(lambda a: a > 1)), f"{_X} SELECT src AS idx, CAST(sum(w * val) AS BIGINT) AS val FROM g JOIN x ON dst = idx WHERE w > 1 GROUP BY src")
+add("spgemm_cosupply", "g1", lambda e: matrix.multiply(as_matrix(e), matrix.transpose(as_matrix(e))), "SELECT a.src AS row, b.src AS col, CAST(sum(a.w * b.w) AS BIGINT) AS val FROM g a JOIN g b ON a.dst = b.dst GROUP BY 1, 2")
+add("square", "g3", lambda e: matrix.square(as_matrix(e)), "SELECT a.src AS row, b.dst AS col, CAST(sum(a.w * b.w) AS BIGINT) AS val FROM g a JOIN g b ON a.dst = b.src GROUP BY 1, 2")
+add("triple_product", "g3", lambda e: matrix.triple_product(as_matrix(e), as_matrix(e), as_matrix(e), r_transposed=True), "SELECT a.dst AS row, c.dst AS col, CAST(sum(a.w * b.w * c.w) AS BIGINT) AS val FROM g a JOIN g b ON a.src = b.src JOIN g c ON b.dst = c.src GROUP BY 1, 2")
 add("boolean_power_4", "g3", lambda e: matrix.powers(as_matrix(e), 4)[-1].select("row", "col"), "SELECT DISTINCT a.src AS row, d.dst AS col FROM g a JOIN g b ON a.dst = b.src JOIN g c ON b.dst = c.src JOIN g d ON c.dst = d.src")
 add("transpose", "g1", lambda e: matrix.transpose(as_matrix(e)), "SELECT dst AS row, src AS col, w AS val FROM g")
 add("matrix_sum", "g5", lambda e: matrix.add(as_matrix(e), matrix.transpose(as_matrix(e))), "SELECT src AS row, dst AS col, CAST(sum(w) AS BIGINT) AS val FROM (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g) GROUP BY 1, 2")
@@ -229,6 +230,10 @@ _typed("typed_edge_sum", lambda e: e.groupBy("event_type").agg(*functors.add_typ
 # Partitions: the part of a vertex is its id mod 8.
 
 
+def _last(e: DataFrame) -> int:
+    return e.agg(F.max("src")).first()[0]
+
+
 def _mod8(e: DataFrame) -> DataFrame:
     return partition.by_modulus(rep.vertices(e), 8)
 
@@ -238,8 +243,8 @@ add("cut_low_degree", "g7", lambda e: rounded(partition.edge_cut(e, _mod8(e), 8,
 add("cuts_per_part", "g7", lambda e: partition.cuts_per_part(e, _mod8(e)), "SELECT CAST(src % 8 AS INTEGER) AS part, count(*) AS nnz, count(*) FILTER (WHERE src % 8 <> dst % 8) AS cut FROM g GROUP BY 1")
 add("balance_mod_8", "g7", lambda e: rounded(partition.balance(_mod8(e), e), "n_balance", "nnz_balance"), "SELECT round(max(n) / CAST(min(n) AS DOUBLE), 6) AS n_balance, round(max(m) / CAST(min(m) AS DOUBLE), 6) AS nnz_balance FROM (SELECT src % 8, count(DISTINCT src) AS n, count(*) AS m FROM g GROUP BY 1)")
 add("part_report", "g7", lambda e: rounded(partition.report(e, _mod8(e)), "density", "average_degree"), ", n AS (SELECT CAST(src % 8 AS INTEGER) AS part, count(DISTINCT src) AS n, count(*) FILTER (WHERE src % 8 = dst % 8) AS inside FROM g GROUP BY 1) SELECT part, n, inside, round(inside / CAST(n * n AS DOUBLE), 6) AS density, round(inside / CAST(n AS DOUBLE), 6) AS average_degree FROM n")
-add("chunk_cut", "g7", lambda e: rounded(partition.chunk_cut_percent(e, 2000, 8, 1), "cut_percent"), "SELECT round(100.0 * count(*) FILTER (WHERE (src - 1) // 250 <> (dst - 1) // 250 OR (src - 1) // 250 >= 8) / count(*), 6) AS cut_percent FROM g")
-add("chunk_judge", "g7", lambda e: rounded(partition.judge_chunks(e, 2000, 8, 1), "balance", "cut"), "SELECT (SELECT round(max(n) / CAST(min(n) AS DOUBLE), 6) FROM (SELECT count(*) AS n FROM g GROUP BY least((src - 1) // 250, 7))) AS balance, round(count(*) FILTER (WHERE (src - 1) // 250 <> (dst - 1) // 250 OR (src - 1) // 250 >= 8) / CAST(count(*) AS DOUBLE), 6) AS cut FROM g")
+add("chunk_cut", "g7", lambda e: rounded(partition.chunk_cut_percent(e, _last(e) + 1, 8), "cut_percent"), ", c AS (SELECT (max(src) + 1) // 8 AS c FROM g) SELECT round(100.0 * count(*) FILTER (WHERE src // c <> dst // c OR src // c >= 8) / count(*), 6) AS cut_percent FROM g, c")
+add("chunk_judge", "g7", lambda e: rounded(partition.judge_chunks(e, _last(e) + 1, 8), "balance", "cut"), ", c AS (SELECT (max(src) + 1) // 8 AS c FROM g) SELECT (SELECT round(max(n) / CAST(min(n) AS DOUBLE), 6) FROM (SELECT count(*) AS n FROM g, c GROUP BY least(src // c, 7))) AS balance, round(count(*) FILTER (WHERE src // c <> dst // c OR src // c >= 8) / CAST(count(*) AS DOUBLE), 6) AS cut FROM g, c")
 add("chunks", "g7", lambda e: partition.by_chunks(rep.vertices(e), 8), ", v AS (SELECT DISTINCT src AS v FROM g), k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS p FROM v) SELECT v, CAST(p * 8 // (SELECT count(*) FROM v) AS INTEGER) AS part FROM k")
 add("round_robin", "g7", lambda e: partition.balanced(rep.vertices(e), 8), ", v AS (SELECT DISTINCT src AS v FROM g) SELECT v, CAST((row_number() OVER (ORDER BY v) - 1) % 8 AS INTEGER) AS part FROM v")
 add("part_permutation", "g7", lambda e: partition.permutation(_mod8(e)), ", v AS (SELECT DISTINCT src AS v FROM g) SELECT v, CAST(v % 8 AS INTEGER) AS part, row_number() OVER (ORDER BY v % 8, v) - 1 AS new FROM v")
@@ -268,9 +273,9 @@ add("bfs_bottom_up", "g3", lambda e: traversal.bfs_bottom_up(e, 0), f"{_B} SELEC
 add("bfs_filtered", "u5", lambda e: traversal.level_sets(traversal.bfs(e, e.agg(F.min("src")).first()[0], F.col("w") > 1)), _B.replace("JOIN g ON g.src = b.v WHERE", "JOIN g ON g.src = b.v WHERE g.w > 1 AND") + " SELECT CAST(level AS INTEGER) AS level, count(*) AS n FROM t GROUP BY level")
 add("bfs_tree_levels", "u5", lambda e: traversal.tree_levels(_tree(e).select("v", "parent")), f"{_B} SELECT v, level FROM t")
 add("bfs_validation", "u5", lambda e: traversal.validate(_tree(e).select("v", "parent"), e, e.agg(F.min("src")).first()[0]), "SELECT 0 AS code, count(*) AS traversed FROM g")
-add("bfs_communication", "u5", lambda e: traversal.communication(_tree(e), e, 152, 4), f"""{_B}, d AS (SELECT src AS v, count(*) AS deg FROM g GROUP BY src), x AS (SELECT a.level AS la, b.level AS lb, b.parent = g.src AND b.level = a.level + 1 AS child, b.level = a.level + 1 AS down, g.src // 38 <> g.dst // 38 AS crosses, deg FROM g JOIN p a ON a.v = g.src JOIN p b ON b.v = g.dst JOIN d ON d.v = g.dst)
+add("bfs_communication", "u5", lambda e: traversal.communication(_tree(e), e, _last(e) + 1, 4), f"""{_B}, o AS (SELECT (max(src) + 1) / 4.0 AS c FROM g), d AS (SELECT src AS v, count(*) AS deg FROM g GROUP BY src), x AS (SELECT a.level AS la, b.level AS lb, b.parent = g.src AND b.level = a.level + 1 AS child, b.level = a.level + 1 AS down, floor(g.src / c) <> floor(g.dst / c) AS crosses, deg FROM o, g JOIN p a ON a.v = g.src JOIN p b ON b.v = g.dst JOIN d ON d.v = g.dst)
 SELECT CAST(la AS INTEGER) AS level, count(*) FILTER (WHERE child) AS children, count(*) FILTER (WHERE down AND NOT child) AS failed_children, count(*) FILTER (WHERE la = lb) AS peers, count(*) FILTER (WHERE lb < la) AS parents, count(*) FILTER (WHERE child AND crosses) AS remote_children, count(*) FILTER (WHERE deg > 60) AS high_degree FROM x GROUP BY la""")
-add("bfs_frontier_history", "u5", lambda e: traversal.frontier_history(_tree(e), 152, 4), f"{_B} SELECT CAST(level AS INTEGER) AS level, v // 38 AS owner, sum(count(*)) OVER (PARTITION BY v // 38 ORDER BY level) AS remote FROM p WHERE level > 0 AND v // 38 <> parent // 38 GROUP BY level, v // 38")
+add("bfs_frontier_history", "u5", lambda e: traversal.frontier_history(_tree(e), _last(e) + 1, 4), f"{_B}, o AS (SELECT (max(src) + 1) / 4.0 AS c FROM g), x AS (SELECT level, CAST(floor(v / c) AS BIGINT) AS owner FROM p, o WHERE level > 0 AND floor(v / c) <> floor(parent / c)) SELECT CAST(level AS INTEGER) AS level, owner, CAST(sum(count(*)) OVER (PARTITION BY owner ORDER BY level) AS BIGINT) AS remote FROM x GROUP BY level, owner")
 add("bfs_traversed", "u5", lambda e: traversal.traversed_by_degree(_tree(e), e), "SELECT count(*) AS traversed FROM g")
 add("bfs_order", "g3", lambda e: traversal.bfs_order(e, 0))
 add("kernel_1", "g6", lambda e: traversal.kernel_1(e), "SELECT src, dst FROM g WHERE src <> dst UNION SELECT dst, src FROM g WHERE src <> dst")
@@ -336,6 +341,109 @@ _values("harmonic", statistics.harmonic, ["hmean", "hstd"], ", i AS (SELECT CASE
 _values("value_summary", statistics.summary, ["mean", "stddev"], "SELECT min(x) AS min, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS stddev, max(x) AS max FROM s")
 
 
+# Communities and spectra.
+
+add("modularity_mod_8", "g7", lambda e: rounded(community.modularity(e, _mod8(e)), "modularity"), ", x AS (SELECT src % 8 AS m, sum(w) FILTER (WHERE src % 8 = dst % 8) AS i, sum(w) AS o FROM g GROUP BY 1), t AS (SELECT CAST(sum(w) AS DOUBLE) AS t FROM g) SELECT round(sum(i / t - (o / t) * (o / t)), 6) AS modularity FROM x, t")
+add("newman_fast", "n3", community.newman_fast)
+add("merge_history", "n3", lambda e: rounded(community.merge_history(e), "q"))
+add("newman_eigenvector", "n3", community.newman_eigenvector)
+add("girvan_newman", "n3", lambda e: community.girvan_newman(e, 3))
+add("louvain", "n3", community.louvain)
+add("louvain_least_gain", "n3", lambda e: community.louvain(e, take="min"))
+add("louvain_rounds", "g7", lambda e: community.louvain_rounds(e, rounds=2))
+add("spectral_parts", "n3", lambda e: spectral.spectral_parts(e, k=4))
+add("spectrum", "n3", lambda e: rounded(spectral.spectrum(e), "value"))
+add("fiedler_vector", "n3", lambda e: rounded(spectral.fiedler_vector(e), "x"))
+add("algebraic_connectivity", "n3", lambda e: rounded(spectral.algebraic_connectivity(e), "connectivity"))
+add("graph_energy", "n3", lambda e: rounded(spectral.energy(e), "energy"))
+add("vertex_similarity", "g3", lambda e: rounded(apps.vertex_similarity(as_matrix(e), as_matrix(e)), "val"))
+
+# Message passing: the out-degree shares of the users, and outputs of the suppliers' lines.
+
+add("mean_aggregation", "u5", lambda e: rounded(gnn.mean_aggregation(e, 0.5), "val"), ", n AS (SELECT src, count(*) AS n FROM g GROUP BY src) SELECT dst AS row, g.src AS col, round(sum(0.5 / n), 6) AS val FROM g JOIN n ON n.src = g.src GROUP BY 1, 2")
+add("message_fixpoint", "u5", lambda e: rounded(gnn.fixpoint(gnn.mean_aggregation(e, 0.5), rep.vertices(e).select(F.col("v").alias("idx"), F.lit(1.0).alias("val")), 1e-9), "val"))
+add("affine_rounds_3", "u5", lambda e: rounded(apps.affine_rounds(gnn.mean_aggregation(e, 0.5), *[rep.vertices(e).select(F.col("v").alias("idx"), F.lit(1.0).alias("val"))] * 2, 3), "val"), ", n AS (SELECT src, count(*) AS n FROM g GROUP BY src), m AS (SELECT dst AS r, g.src AS c, 0.5 / n AS p FROM g JOIN n ON n.src = g.src), x1 AS (SELECT r, 1 + sum(p) AS x FROM m GROUP BY r), x2 AS (SELECT m.r, 1 + sum(p * x) AS x FROM m JOIN x1 ON x1.r = c GROUP BY m.r), x3 AS (SELECT m.r, 1 + sum(p * x) AS x FROM m JOIN x2 ON x2.r = c GROUP BY m.r) SELECT r AS idx, round(x, 6) AS val FROM x3")
+
+
+def _outputs(e: DataFrame) -> DataFrame:
+    """A made output and target for each edge of the users: w mod 5 less 2, and w mod 3 less 1."""
+    return e.select((F.col("src") % 10).alias("graph_id"), (F.col("src") * 1000 + F.col("dst")).alias("node_id"), (F.col("w") % 5 - 2).cast("double").alias("out"), (F.col("w") % 3 - 1).cast("double").alias("target"), F.lit(1.0).alias("mask"))
+
+
+_O = ", o AS (SELECT src % 10 AS graph_id, src * 1000 + dst AS node_id, CAST(w % 5 - 2 AS DOUBLE) AS x, CAST(w % 3 - 1 AS DOUBLE) AS t FROM g)"
+add("squared_error", "u5", lambda e: gnn.squared_error(_outputs(e)), f"{_O} SELECT sum((x - t) * (x - t)) / 2 AS error FROM o")
+add("quadratic_error", "u5", lambda e: gnn.quadratic_error(_outputs(e)), f"{_O} SELECT sum(x * x) / 2 AS error FROM o")
+add("product_error", "u5", lambda e: gnn.product_error(_outputs(e).withColumn("state", F.lit(0.5))), f"{_O} SELECT sum((x * 0.5 - t) * (x * 0.5 - t)) / 2 AS error FROM o")
+add("pair_closeness_error", "n3", lambda e: rounded(gnn.pair_closeness_error(_outputs(e)), "error"), f"{_O} SELECT round(sum(1.0 / ((a.x - b.x) * (a.x - b.x) + 0.001)), 6) AS error FROM o a JOIN o b ON a.graph_id = b.graph_id AND a.node_id < b.node_id")
+add("ranking_error", "n3", lambda e: rounded(gnn.ranking_error(_outputs(e), 1.0), "error"), f"{_O} SELECT round(avg(ln(1 + exp(b.x - a.x))), 6) AS error FROM o a JOIN o b ON a.graph_id = b.graph_id AND a.t > b.t")
+add("confusion", "u5", lambda e: gnn.confusion(_outputs(e)), f"{_O} SELECT x > 0 AS predicted, t > 0 AS actual, count(*) AS n FROM o GROUP BY 1, 2")
+add("accuracy", "u5", lambda e: rounded(gnn.accuracy(_outputs(e)), "accuracy"), f"{_O} SELECT round(avg(CASE WHEN (x > 0) = (t > 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM o")
+add("within_tolerance", "u5", lambda e: rounded(gnn.within_tolerance(_outputs(e), 1.0), "share"), f"{_O} SELECT round(avg(CASE WHEN abs(x - t) <= 1 THEN 1.0 ELSE 0.0 END), 6) AS share FROM o")
+add("graph_accuracy", "u5", lambda e: gnn.graph_accuracy(_outputs(e)), f"{_O} SELECT graph_id, bool_and((x > 0) = (t > 0)) AS correct FROM o GROUP BY graph_id")
+add("class_weights", "u5", lambda e: rounded(gnn.class_weights(_outputs(e)).select("node_id", "mask"), "mask"), f"{_O}, k AS (SELECT count(*) FILTER (WHERE t > 0) AS p, count(*) FILTER (WHERE t <= 0) AS q FROM o) SELECT node_id, round(least(p, q) / CAST(CASE WHEN t > 0 THEN p ELSE q END AS DOUBLE), 6) AS mask FROM o, k")
+add("normalized_labels", "u5", lambda e: gnn.normalized(_labels(e), _labels(e), 2).select("node_id", *[F.round(F.col("labels")[k], 6).alias(f"l{k}") for k in range(2)]), f"{_O}, k AS (SELECT min(x) AS a, max(x) AS b, min(t) AS c, max(t) AS d FROM o) SELECT node_id, round(2 * (x - a) / (b - a) - 1, 6) AS l0, round(2 * (t - c) / (d - c) - 1, 6) AS l1 FROM o, k")
+add("principal_components", "u5", lambda e: gnn.principal_components(_labels(e), _labels(e), 2, 1).select("node_id", F.round(F.col("labels")[0], 6).alias("x")))
+add("cliques_4", "n3", lambda e: gnn.cliques(e, 4).select(*[F.col("c")[k].alias(f"v{k}") for k in range(4)]), ", p AS (SELECT DISTINCT src AS a, dst AS b FROM g WHERE src < dst) SELECT x.a AS v0, x.b AS v1, y.b AS v2, z.b AS v3 FROM p x JOIN p y ON y.a = x.b JOIN p z ON z.a = y.b WHERE EXISTS (SELECT 1 FROM p WHERE a = x.a AND b = y.b) AND EXISTS (SELECT 1 FROM p WHERE a = x.a AND b = z.b) AND EXISTS (SELECT 1 FROM p WHERE a = x.b AND b = z.b)")
+add("labelled_subgraphs", "g3", lambda e: gnn.labelled_subgraphs(e, rep.vertices(e).select("v", (F.col("v") % 2).alias("label")), [(0, 1), (1, 2)], [0, 1, 0]), "SELECT a.src AS v0, a.dst AS v1, b.dst AS v2 FROM g a JOIN g b ON a.dst = b.src WHERE a.src % 2 = 0 AND a.dst % 2 = 1 AND b.dst % 2 = 0 AND a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM g x WHERE (x.src = a.dst AND x.dst = a.src) OR (x.src = b.dst AND x.dst = a.dst) OR (x.src = a.src AND x.dst = b.dst) OR (x.src = b.dst AND x.dst = a.src))")
+add("edge_labels", "g3", lambda e: gnn.edge_labels(e, rep.vertices(e).select(F.col("v").alias("node_id"), F.array((F.col("v") % 3).cast("double")).alias("labels"))).select("src", "dst", F.col("labels")[0].alias("a"), F.col("labels")[1].alias("b")), "SELECT src, dst, CAST(src % 3 AS DOUBLE) AS a, CAST(dst % 3 AS DOUBLE) AS b FROM g")
+add("connect_components", "g3", lambda e: gnn.connected(rep.symmetrized(e).where("src % 5 = dst % 5").select("src", "dst"), rep.vertices(e)))
+
+
+def _labels(e: DataFrame) -> DataFrame:
+    return _outputs(e).select("node_id", F.array("out", "target").alias("labels"))
+
+
+# Generators: each vertex count is that of a table, so that graphs grow with the data.
+
+
+def _made(name: str, run: Callable[[SparkSession, int], DataFrame], sql: str | None = None, of: str = "supplier") -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(spark, views.table(spark, sf_dir, of).count())
+    if sql is not None:
+        ORACLE_SQL[name] = f"WITH n AS (SELECT count(*) AS n FROM {of}), v AS (SELECT unnest(range(n)) AS v FROM n), h AS ({sql}) SELECT a AS src, b AS dst, 1 AS w FROM h UNION SELECT b, a, 1 FROM h"
+
+
+_made("net_line", lambda s, n: gen.canonical(s, n, "line"), "SELECT v AS a, v + 1 AS b FROM v, n WHERE v < n - 1")
+_made("net_circle", lambda s, n: gen.canonical(s, n, "circle"), "SELECT v AS a, (v + 1) % n AS b FROM v, n")
+_made("net_star", lambda s, n: gen.canonical(s, n, "star"), "SELECT CAST(0 AS BIGINT) AS a, v AS b FROM v WHERE v > 0")
+_made("net_clique", lambda s, n: gen.canonical(s, n, "clique"), "SELECT x.v AS a, y.v AS b FROM v x JOIN v y ON x.v < y.v")
+_made("net_btree", lambda s, n: gen.canonical(s, n, "btree"), "SELECT v AS a, (v - 1) // 2 AS b FROM v WHERE v > 0")
+_made("net_tree_3", lambda s, n: gen.canonical(s, n, "tree", 3), "SELECT v AS a, (v - 1) // 3 AS b FROM v WHERE v > 0")
+_made("net_htree", lambda s, n: gen.canonical(s, n, "htree"))
+_made("net_squares", lambda s, n: gen.canonical(s, n, "sqlattice"), "SELECT v AS a, v + 1 AS b FROM v, n WHERE v % CAST(round(sqrt(n)) AS BIGINT) <> CAST(round(sqrt(n)) AS BIGINT) - 1 AND v + 1 < n UNION ALL SELECT v, v + CAST(round(sqrt(n)) AS BIGINT) FROM v, n WHERE v + CAST(round(sqrt(n)) AS BIGINT) < n")
+_made("net_triangles", lambda s, n: gen.canonical(s, n, "trilattice"))
+_made("net_hexagons", lambda s, n: gen.canonical(s, n, "hexlattice"))
+_made("ring_lattice_4", lambda s, n: gen.ring_lattice(s, n, 4), "SELECT v AS a, (v + 1) % n AS b FROM v, n UNION SELECT v, (v + 2) % n FROM v, n")
+_made("kronecker", lambda s, n: gen.kronecker(s, max(1, (n - 1).bit_length())))
+_made("rmat", lambda s, n: gen.rmat(s, max(1, (n - 1).bit_length())))
+_made("erdos_renyi", lambda s, n: gen.erdos_renyi(s, n, min(1.0, 8 / n)))
+_made("erdos_renyi_directed", lambda s, n: gen.erdos_renyi(s, n, min(1.0, 8 / n), directed=True))
+_made("random_edges", lambda s, n: gen.random_edges(s, n, 4 * n))
+_made("modular_graph", lambda s, n: gen.modular(s, n, 4, min(1.0, 8 / n), 0.9))
+_made("nested_hierarchies", lambda s, n: gen.nested_hierarchies(s, n, 3, 2, 6, 0.3))
+_made("growth_tree", lambda s, n: gen.growth_tree(s, n))
+_made("stub_matching", lambda s, n: gen.stub_matching(gen.drawn_degrees(s, n, "exponential", 4)))
+_made("preferential_attachment", lambda s, n: sequential.preferential_attachment(s, n, 2))
+_made("price_model", lambda s, n: sequential.price_model(s, n))
+_made("master_equation_growth", lambda s, n: sequential.master_equation_growth(s, n, 2, 1.0))
+_made("trade_off_tree", lambda s, n: sequential.trade_off_tree(s, n, 4.0))
+_made("forest_fire", lambda s, n: sequential.forest_fire(s, n, 0.3, 0.2))
+_made("spatial_distribution", lambda s, n: sequential.spatial_distribution(s, n, 0.5))
+_made("hierarchy_with_shortcuts", lambda s, n: sequential.hierarchy_with_shortcuts(s, n, 3, n // 4, 2.0, 2.0))
+_made("degree_sequence_graph", lambda s, n: sequential.from_degree_sequence(s, [3 if k % 2 else 2 for k in range(n - n % 4)]))
+_made("largest_s_graph", lambda s, n: sequential.largest_s_graph(s, [4 if k % 2 else 2 for k in range(min(n, 1000))]))
+_made("uniform_regular", lambda s, n: sequential.uniform_regular(s, n, 4))
+_made("random_permutation", lambda s, n: vector.random_permutation(s, n, 1))
+_made("select_candidates", lambda s, n: vector.select_candidates(s, 64, n, 1))
+add("permuted_labels", "g5", lambda e: gen.permuted_labels(e, 1))
+add("rewired", "u5", lambda e: sequential.rewired(e, 500))
+add("rewired_assortative", "u5", lambda e: sequential.rewired(e, 200, toward=1))
+add("rewired_disassortative", "u5", lambda e: sequential.rewired(e, 200, toward=-1))
+add("search_roots", "g7", lambda e: traversal.choose_roots(e))
+add("hash_parts", "g7", lambda e: partition.by_hash(rep.vertices(e), 8))
+add("fennel_bisection", "u5", lambda e: partition.stream_partition(e.drop("w"), 2, gamma=1.5, delta=1.0))
+add("fennel_parked_hubs", "u5", lambda e: partition.stream_partition(e.drop("w"), 8, passes=3, cost="derivative", ties="high", cutoff=60))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut of suppliers and parts over eight parts."""
     return QUERIES["cut_mod_8"](spark, sf_dir)
