@@ -134,6 +134,12 @@ def betweenness(e: DataFrame, sources: DataFrame | None = None, batch: int = 64)
     return every.join(summed, "v", "left").select("v", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def node_betweenness(e: DataFrame) -> DataFrame:
+    """(v, score): share of the ordered pairs of vertices whose shortest paths pass through each vertex."""
+    n = vertices(e).count()
+    return betweenness(e).select("v", (F.col("score") / max(1, n * (n - 1))).alias("score"))
+
+
 def edge_betweenness(e: DataFrame) -> DataFrame:
     """(src, dst, score): share of the ordered pairs' shortest paths over each edge, split evenly among equal ones."""
     steps = cut(e.where("src <> dst").select("src", "dst").distinct(), "steps")

@@ -65,6 +65,12 @@ def leaf_edges(e: DataFrame) -> DataFrame:
     return e.join(leaf_nodes(e).withColumnRenamed("v", "dst"), "dst", "left_semi").select(*e.columns)
 
 
+def order_by_degree(e: DataFrame) -> DataFrame:
+    """(v, pos): descending by number of entries, then by id."""
+    d = e.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("deg"))
+    return positions(d, [F.desc("deg"), "v"]).select("v", "pos")
+
+
 def order_by_max_neighbour(e: DataFrame) -> DataFrame:
     """(v, pos): ascending by degree, then by the greatest degree of a neighbour, then by id."""
     d = degrees(e, False)

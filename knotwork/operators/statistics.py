@@ -5,7 +5,7 @@ The three definitions of quartiles differ from SQL's percentile; each is worked
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,19 @@ def harmonic(x: DataFrame, col: str) -> DataFrame:
 
 def summary(x: DataFrame, col: str) -> DataFrame:
     return x.agg(F.min(col).alias("min"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("stddev"), F.max(col).alias("max"))
+
+
+def stacked_layers(x: DataFrame, baseline: str = "wiggle") -> DataFrame:
+    """(t, layer, low, high) of stacked areas (t, layer, value), layers in order of name.
+
+    The baseline is zero, half the sum below it (symmetric), or the one that moves least (wiggle): minus the mean of
+    the running sums, layer by layer.
+    """
+    layers = x.select("layer").distinct().withColumn("k", F.row_number().over(Window.orderBy("layer")))
+    n = layers.agg(F.count("*").alias("n"))
+    placed = x.join(F.broadcast(layers), "layer").crossJoin(F.broadcast(n))
+    base = {"zero": F.lit(0.0), "symmetric": -F.sum("value") / 2, "wiggle": -F.sum((F.col("n") - F.col("k") + 1) * F.col("value")) / (F.max("n") + 1)}[baseline]
+    start = placed.groupBy("t").agg(base.alias("base"))
+    run = F.sum("value").over(Window.partitionBy("t").orderBy("layer"))
+    both = placed.withColumn("run", run).join(start, "t")
+    return both.select("t", "layer", (F.col("base") + F.col("run") - F.col("value")).alias("low"), (F.col("base") + F.col("run")).alias("high"))

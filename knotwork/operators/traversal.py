@@ -57,6 +57,31 @@ def go_top_down(frontier: int, n: int, edges: int, shrank: bool) -> bool:
     return frontier < n * n / (12 * edges) and shrank
 
 
+def bfs_direction_optimizing(e: DataFrame, root: int, most_levels: int = LEVELS) -> DataFrame:
+    """The tree of ``bfs``; a level goes bottom-up while the frontier has more than a twentieth of the edges and
+    grows, and top-down again when it is small and shrinks. Two counts a level decide."""
+    steps = cut(e.where("src <> dst").select("src", "dst").distinct(), "steps")
+    m = steps.count()
+    n = vertices(steps).count()
+    degree = steps.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
+    front = seen = cut(e.sparkSession.range(1).select(F.lit(root).cast("long").alias("v"), F.lit(0).alias("level"), F.lit(root).cast("long").alias("parent")), "front")
+    up, before = False, 1
+    for level in range(1, most_levels + 1):
+        if up:
+            open_edges = steps.join(seen.select(F.col("v").alias("dst")), "dst", "left_anti")
+            found = open_edges.join(front.select(F.col("v").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("v")).agg(F.max("src").alias("parent"))
+        else:
+            step = steps.join(front.select(F.col("v").alias("src")), "src").groupBy(F.col("dst").alias("v")).agg(F.max("src").alias("parent"))
+            found = step.join(seen.select("v"), "v", "left_anti")
+        front = cut(found.select("v", F.lit(level).alias("level"), "parent"), "front")
+        size, edges = front.join(degree, "v", "left").agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
+        if not size:
+            break
+        up = not go_top_down(size, n, m, size < before) if up else go_bottom_up(edges, m, size > before)
+        seen, before = seen.unionByName(front), size
+    return seen
+
+
 def kernel_1(edges: DataFrame) -> DataFrame:
     """Graph construction: no loops, both directions, no repeats."""
     e = edges.where("src <> dst AND src >= 0 AND dst >= 0").select("src", "dst")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions import functors, semirings
-from knotwork.operators import apps, community, components, gnn, matrix, metrics, partition, paths, predicates, sequential, spectral, statistics, traversal, vector
+from knotwork.operators import apps, community, components, experiments, gnn, matrix, metrics, partition, paths, predicates, sequential, spectral, statistics, traversal, vector
 from knotwork.operators import generators as gen
 from knotwork.operators import representation as rep
 from knotwork.plans import views
@@ -64,6 +64,8 @@ add("edge_weight_sum", "g6", lambda e: rep.added_weights(rep.weighted(e)), "SELE
 add("symmetrize", "g5", rep.symmetrized, "SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g) GROUP BY 1, 2")
 add("missing_reverses", "g5", rep.with_reverses, "SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.src = a.dst AND b.dst = a.src)")
 add("simple_graph", "g6", rep.simple_graph, "SELECT DISTINCT src, dst, 1 AS w FROM g WHERE src <> dst")
+add("drop_loops", "g6", rep.without_loops, "SELECT src, dst FROM g WHERE src <> dst")
+add("dedupe", "g6", lambda e: e.distinct(), "SELECT DISTINCT src, dst FROM g")
 add("undirected_pairs", "g5", rep.undirected_pairs, "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM g WHERE src <> dst")
 add("vertices", "g7", rep.vertices, "SELECT src AS v FROM g UNION SELECT dst FROM g")
 add("adjacency_lists", "g5", lambda e: rep.adjacency_lists(e).select("v", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs")), "SELECT v, coalesce(string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst), '') AS nbrs FROM (SELECT src AS v FROM g UNION SELECT dst FROM g) LEFT JOIN (SELECT DISTINCT src, dst FROM g) ON v = src GROUP BY v")
@@ -119,14 +121,15 @@ add("average_neighbour_degree", "u5", lambda e: rounded(metrics.average_neighbou
 add("leaf_nodes", "g5", metrics.leaf_nodes, "SELECT dst AS v FROM g GROUP BY dst HAVING count(*) = 1")
 add("leaf_edges", "g5", metrics.leaf_edges, "SELECT src, dst, w FROM g WHERE dst IN (SELECT dst FROM g GROUP BY dst HAVING count(*) = 1)")
 add("order_by_max_neighbour", "u5", metrics.order_by_max_neighbour, f"{_D} SELECT v, row_number() OVER (ORDER BY deg, far, v) - 1 AS pos FROM (SELECT a.v, any_value(a.deg) AS deg, max(b.deg) AS far FROM d a JOIN g ON g.src = a.v JOIN d b ON b.v = g.dst GROUP BY a.v)")
+add("degree_order", "g7", metrics.order_by_degree, "SELECT src AS v, row_number() OVER (ORDER BY count(*) DESC, src) - 1 AS pos FROM g GROUP BY src")
 add("order_by_neighbour_sums", "n3", lambda e: metrics.order_by_neighbour_sums(e, 2), f"{_D}, two AS (SELECT DISTINCT a.src, b.dst FROM g a JOIN g b ON a.dst = b.src) SELECT v, row_number() OVER (ORDER BY deg DESC, s1 DESC, s2 DESC, v) - 1 AS pos FROM (SELECT v, deg, (SELECT sum(b.deg) FROM (SELECT DISTINCT src, dst FROM g) x JOIN d b ON b.v = x.dst WHERE x.src = d.v) AS s1, (SELECT sum(b.deg) FROM two x JOIN d b ON b.v = x.dst WHERE x.src = d.v) AS s2 FROM d)")
-add("walk_neighbours_2", "g3", lambda e: metrics.walk_neighbours(e, 0, 2), "SELECT DISTINCT b.dst AS v FROM g a JOIN g b ON a.dst = b.src WHERE a.src = 0")
+add("kneighbors_2", "g3", lambda e: metrics.walk_neighbours(e, 0, 2), "SELECT DISTINCT b.dst AS v FROM g a JOIN g b ON a.dst = b.src WHERE a.src = 0")
 add("first_reached_2", "g3", lambda e: metrics.first_reached(e, 0, 2), "SELECT DISTINCT b.dst AS v FROM g a JOIN g b ON a.dst = b.src WHERE a.src = 0 AND b.dst <> 0 AND b.dst NOT IN (SELECT dst FROM g WHERE src = 0)")
-add("triangle_count", "g7", metrics.triangle_count, f"{_T} SELECT count(*) AS triangles FROM t")
+add("triangles", "g7", metrics.triangle_count, f"{_T} SELECT count(*) AS triangles FROM t")
 add("triangles_per_vertex", "u5", metrics.triangles_per_vertex, f"{_T} SELECT v, count(*) AS t FROM (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY v")
 add("four_loops", "n3", metrics.four_loops, ", s AS (SELECT DISTINCT src, dst FROM g WHERE src <> dst) SELECT count(*) AS loops4 FROM (SELECT DISTINCT list_sort([a.dst, b.dst, a.src, c.src]) FROM s a JOIN s b ON a.src = b.src AND a.dst < b.dst JOIN s c ON c.dst = a.dst AND c.src > a.src JOIN s d ON d.src = c.src AND d.dst = b.dst)")
-add("connected_triples", "u5", metrics.connected_triples, f"{_T}{_K} SELECT (SELECT CAST(sum(n * (n - 1) / 2) AS DOUBLE) FROM n) - 2 * (SELECT count(*) FROM t) AS triples")
-add("star_motifs_3", "u5", lambda e: metrics.star_motifs(e, 3), f"{_D} SELECT sum(deg * (deg - 1) / 2) AS stars FROM d")
+add("triples", "u5", metrics.connected_triples, f"{_T}{_K} SELECT (SELECT CAST(sum(n * (n - 1) / 2) AS DOUBLE) FROM n) - 2 * (SELECT count(*) FROM t) AS triples")
+add("star_motifs", "u5", lambda e: metrics.star_motifs(e, 3), f"{_D} SELECT sum(deg * (deg - 1) / 2) AS stars FROM d")
 add("clustering", "u5", lambda e: rounded(metrics.clustering(e), "c"), f"{_T}{_K}, k AS (SELECT v, count(*) AS t FROM (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY v) SELECT n.v, round(CASE WHEN n > 1 THEN 2 * coalesce(t, 0) / CAST(n * (n - 1) AS DOUBLE) ELSE 0 END, 6) AS c FROM n LEFT JOIN k ON k.v = n.v")
 add("clustering_summary", "u5", lambda e: rounded(metrics.clustering_summary(e), "c1", "c2"), f"{_T}{_K}, k AS (SELECT v, count(*) AS t FROM (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY v) SELECT round((SELECT count(*) FROM t) / ((SELECT CAST(sum(n * (n - 1) / 2) AS DOUBLE) FROM n) - 2 * (SELECT count(*) FROM t)), 6) AS c1, round(avg(CASE WHEN n > 1 THEN 2 * coalesce(t, 0) / CAST(n * (n - 1) AS DOUBLE) ELSE 0 END), 6) AS c2 FROM n LEFT JOIN k ON k.v = n.v")
 add("weighted_clustering", "n3", lambda e: rounded(metrics.weighted_clustering(e), "c"), ", s AS (SELECT src AS v, sum(w) AS s, count(*) AS n FROM g GROUP BY src), t AS (SELECT a.src AS v, sum((a.w + b.w) / 2.0) AS t FROM g a JOIN g b ON a.src = b.src AND a.dst <> b.dst JOIN g c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src) SELECT s.v, round(CASE WHEN n > 1 THEN coalesce(t, 0) / (s * (n - 1.0)) ELSE 0 END, 6) AS c FROM s LEFT JOIN t ON s.v = t.v")
@@ -238,10 +241,10 @@ def _mod8(e: DataFrame) -> DataFrame:
     return partition.by_modulus(rep.vertices(e), 8)
 
 
-add("cut_mod_8", "g1", lambda e: rounded(partition.edge_cut(e, _mod8(e), 8), "lambda", "of_random"), "SELECT count(*) AS nnz, count(*) FILTER (WHERE src % 8 <> dst % 8) AS cut, round(count(*) FILTER (WHERE src % 8 <> dst % 8) / CAST(count(*) AS DOUBLE), 6) AS lambda, round(count(*) FILTER (WHERE src % 8 <> dst % 8) / CAST(count(*) AS DOUBLE) / 0.875, 6) AS of_random FROM g")
+add("cut_hash_k8", "g1", lambda e: rounded(partition.edge_cut(e, _mod8(e), 8), "lambda", "of_random"), "SELECT count(*) AS nnz, count(*) FILTER (WHERE src % 8 <> dst % 8) AS cut, round(count(*) FILTER (WHERE src % 8 <> dst % 8) / CAST(count(*) AS DOUBLE), 6) AS lambda, round(count(*) FILTER (WHERE src % 8 <> dst % 8) / CAST(count(*) AS DOUBLE) / 0.875, 6) AS of_random FROM g")
 add("cut_low_degree", "g7", lambda e: rounded(partition.edge_cut(e, _mod8(e), 8, low_degree=120), "lambda", "of_random"), ", d AS (SELECT src AS v FROM g GROUP BY src HAVING count(*) < 120), k AS (SELECT * FROM g WHERE src IN (SELECT v FROM d) AND dst IN (SELECT v FROM d)) SELECT count(*) AS nnz, count(*) FILTER (WHERE src % 8 <> dst % 8) AS cut, round(count(*) FILTER (WHERE src % 8 <> dst % 8) / CAST(count(*) AS DOUBLE), 6) AS lambda, round(count(*) FILTER (WHERE src % 8 <> dst % 8) / CAST(count(*) AS DOUBLE) / 0.875, 6) AS of_random FROM k")
-add("cuts_per_part", "g7", lambda e: partition.cuts_per_part(e, _mod8(e)), "SELECT CAST(src % 8 AS INTEGER) AS part, count(*) AS nnz, count(*) FILTER (WHERE src % 8 <> dst % 8) AS cut FROM g GROUP BY 1")
-add("balance_mod_8", "g7", lambda e: rounded(partition.balance(_mod8(e), e), "n_balance", "nnz_balance"), "SELECT round(max(n) / CAST(min(n) AS DOUBLE), 6) AS n_balance, round(max(m) / CAST(min(m) AS DOUBLE), 6) AS nnz_balance FROM (SELECT src % 8, count(DISTINCT src) AS n, count(*) AS m FROM g GROUP BY 1)")
+add("cut_per_part", "g7", lambda e: partition.cuts_per_part(e, _mod8(e)), "SELECT CAST(src % 8 AS INTEGER) AS part, count(*) AS nnz, count(*) FILTER (WHERE src % 8 <> dst % 8) AS cut FROM g GROUP BY 1")
+add("balance_hash_k8", "g7", lambda e: rounded(partition.balance(_mod8(e), e), "n_balance", "nnz_balance"), "SELECT round(max(n) / CAST(min(n) AS DOUBLE), 6) AS n_balance, round(max(m) / CAST(min(m) AS DOUBLE), 6) AS nnz_balance FROM (SELECT src % 8, count(DISTINCT src) AS n, count(*) AS m FROM g GROUP BY 1)")
 add("part_report", "g7", lambda e: rounded(partition.report(e, _mod8(e)), "density", "average_degree"), ", n AS (SELECT CAST(src % 8 AS INTEGER) AS part, count(DISTINCT src) AS n, count(*) FILTER (WHERE src % 8 = dst % 8) AS inside FROM g GROUP BY 1) SELECT part, n, inside, round(inside / CAST(n * n AS DOUBLE), 6) AS density, round(inside / CAST(n AS DOUBLE), 6) AS average_degree FROM n")
 add("chunk_cut", "g7", lambda e: rounded(partition.chunk_cut_percent(e, _last(e) + 1, 8), "cut_percent"), ", c AS (SELECT (max(src) + 1) // 8 AS c FROM g) SELECT round(100.0 * count(*) FILTER (WHERE src // c <> dst // c OR src // c >= 8) / count(*), 6) AS cut_percent FROM g, c")
 add("chunk_judge", "g7", lambda e: rounded(partition.judge_chunks(e, _last(e) + 1, 8), "balance", "cut"), ", c AS (SELECT (max(src) + 1) // 8 AS c FROM g) SELECT (SELECT round(max(n) / CAST(min(n) AS DOUBLE), 6) FROM (SELECT count(*) AS n FROM g, c GROUP BY least(src // c, 7))) AS balance, round(count(*) FILTER (WHERE src // c <> dst // c OR src // c >= 8) / CAST(count(*) AS DOUBLE), 6) AS cut FROM g, c")
@@ -252,10 +255,10 @@ add("part_ranges", "g7", lambda e: partition.part_ranges(partition.permutation(_
 add("permuted_edges", "g5", lambda e: partition.relabel(e, partition.permutation(_mod8(e))), ", v AS (SELECT v, row_number() OVER (ORDER BY v % 8, v) - 1 AS new FROM (SELECT src AS v FROM g UNION SELECT dst FROM g)) SELECT a.new AS src, b.new AS dst, w FROM g JOIN v a ON a.v = src JOIN v b ON b.v = dst")
 add("redistributed", "g1", lambda e: partition.redistribute(e, _mod8(e), 200, 8), ", d AS (SELECT src AS v, count(*) AS deg FROM g GROUP BY src) SELECT src, dst, CAST(CASE WHEN deg >= 200 THEN dst % 8 ELSE src % 8 END AS INTEGER) AS home FROM g JOIN d ON v = src")
 add("assignment_counts", "g7", lambda e: partition.counts_of_assignment(rep.vertices(e), _mod8(e).where("part < 6")), "SELECT count(*) AS unassigned, 0 AS repeated FROM (SELECT DISTINCT src FROM g) WHERE src % 8 >= 6")
-add("fennel_stream", "u5", lambda e: partition.stream_partition(e.drop("w"), 8))
+add("fennel_pass", "u5", lambda e: partition.stream_partition(e.drop("w"), 8))
 add("fennel_stream_tempered", "u5", lambda e: partition.stream_partition(e.drop("w"), 8, passes=5, rate=1.7, cost="derivative"))
-add("ldg_bisection", "u5", lambda e: partition.ldg_bisection(e.drop("w")))
-add("restreamed", "g7", lambda e: partition.restreamed(e.drop("w"), 8, passes=2, batches=2))
+add("ldg", "u5", lambda e: partition.ldg_bisection(e.drop("w")))
+add("restream_pass", "g7", lambda e: partition.restreamed(e.drop("w"), 8, passes=2, batches=2))
 add("label_propagation", "u5", lambda e: partition.label_propagation(e.drop("w"), 8, rounds=2))
 
 # Traversal.
@@ -270,10 +273,13 @@ def _tree(e: DataFrame) -> DataFrame:
 add("bfs_levels", "u5", lambda e: traversal.level_sets(_tree(e)), f"{_B} SELECT CAST(level AS INTEGER) AS level, count(*) AS n FROM t GROUP BY level")
 add("bfs_parents_max", "u5", lambda e: _tree(e), f"{_B} SELECT v, CAST(level AS INTEGER) AS level, parent FROM p")
 add("bfs_bottom_up", "g3", lambda e: traversal.bfs_bottom_up(e, 0), f"{_B} SELECT v, CAST(level AS INTEGER) AS level, parent FROM p")
+add("bfs_direction_optimizing", "u5", lambda e: traversal.bfs_direction_optimizing(e, e.agg(F.min("src")).first()[0]), f"{_B} SELECT v, CAST(level AS INTEGER) AS level, parent FROM p")
+add("bfs_depths", "u5", lambda e: traversal.depth_by_relaxation(_tree(e), e.agg(F.min("src")).first()[0]), f"{_B} SELECT v, CAST(level AS INTEGER) AS depth FROM t")
+add("bfs_parents_in_range", "u5", lambda e: traversal.parents_in_range(_tree(e), _last(e) + 1), "SELECT CAST(0 AS BIGINT) AS out_of_range FROM (SELECT 1)")
 add("bfs_filtered", "u5", lambda e: traversal.level_sets(traversal.bfs(e, e.agg(F.min("src")).first()[0], F.col("w") > 1)), _B.replace("JOIN g ON g.src = b.v WHERE", "JOIN g ON g.src = b.v WHERE g.w > 1 AND") + " SELECT CAST(level AS INTEGER) AS level, count(*) AS n FROM t GROUP BY level")
 add("bfs_tree_levels", "u5", lambda e: traversal.tree_levels(_tree(e).select("v", "parent")), f"{_B} SELECT v, level FROM t")
 add("bfs_validation", "u5", lambda e: traversal.validate(_tree(e).select("v", "parent"), e, e.agg(F.min("src")).first()[0]), "SELECT 0 AS code, count(*) AS traversed FROM g")
-add("bfs_communication", "u5", lambda e: traversal.communication(_tree(e), e, _last(e) + 1, 4), f"""{_B}, o AS (SELECT (max(src) + 1) / 4.0 AS c FROM g), d AS (SELECT src AS v, count(*) AS deg FROM g GROUP BY src), x AS (SELECT a.level AS la, b.level AS lb, b.parent = g.src AND b.level = a.level + 1 AS child, b.level = a.level + 1 AS down, floor(g.src / c) <> floor(g.dst / c) AS crosses, deg FROM o, g JOIN p a ON a.v = g.src JOIN p b ON b.v = g.dst JOIN d ON d.v = g.dst)
+add("level_comm", "u5", lambda e: traversal.communication(_tree(e), e, _last(e) + 1, 4), f"""{_B}, o AS (SELECT (max(src) + 1) / 4.0 AS c FROM g), d AS (SELECT src AS v, count(*) AS deg FROM g GROUP BY src), x AS (SELECT a.level AS la, b.level AS lb, b.parent = g.src AND b.level = a.level + 1 AS child, b.level = a.level + 1 AS down, floor(g.src / c) <> floor(g.dst / c) AS crosses, deg FROM o, g JOIN p a ON a.v = g.src JOIN p b ON b.v = g.dst JOIN d ON d.v = g.dst)
 SELECT CAST(la AS INTEGER) AS level, count(*) FILTER (WHERE child) AS children, count(*) FILTER (WHERE down AND NOT child) AS failed_children, count(*) FILTER (WHERE la = lb) AS peers, count(*) FILTER (WHERE lb < la) AS parents, count(*) FILTER (WHERE child AND crosses) AS remote_children, count(*) FILTER (WHERE deg > 60) AS high_degree FROM x GROUP BY la""")
 add("bfs_frontier_history", "u5", lambda e: traversal.frontier_history(_tree(e), _last(e) + 1, 4), f"{_B}, o AS (SELECT (max(src) + 1) / 4.0 AS c FROM g), x AS (SELECT level, CAST(floor(v / c) AS BIGINT) AS owner FROM p, o WHERE level > 0 AND floor(v / c) <> floor(parent / c)) SELECT CAST(level AS INTEGER) AS level, owner, CAST(sum(count(*)) OVER (PARTITION BY owner ORDER BY level) AS BIGINT) AS remote FROM x GROUP BY level, owner")
 add("bfs_traversed", "u5", lambda e: traversal.traversed_by_degree(_tree(e), e), "SELECT count(*) AS traversed FROM g")
@@ -287,8 +293,9 @@ _P = ", s AS (SELECT src, sum(w) AS t FROM g GROUP BY src), m AS (SELECT dst AS
 for _i in range(1, 21):
     _P += f", x{_i} AS (SELECT v.v, 0.85 * coalesce(sum(p * x), 0) + 0.15 / any_value(n) AS x FROM v CROSS JOIN k LEFT JOIN m ON m.r = v.v LEFT JOIN x{_i - 1} ON x{_i - 1}.v = m.c GROUP BY v.v)"
 add("pagerank_20", "u5", lambda e: rounded(apps.pagerank(e, rounds=20, tolerance=None), "rank"), f"{_P} SELECT v, round(x, 6) AS rank FROM x20")
-add("independent_set", "u5", apps.independent_set)
+add("mis_seeded", "u5", apps.independent_set)
 add("betweenness", "n3", lambda e: rounded(apps.betweenness(e), "score"))
+add("node_betweenness", "n3", lambda e: rounded(apps.node_betweenness(e), "score"))
 add("edge_betweenness", "n3", lambda e: rounded(apps.edge_betweenness(e), "score"))
 add("markov_clusters", "n3", lambda e: rounded(apps.markov_clusters(as_matrix(e).withColumn("val", F.col("val").cast("double")), normalize=True), "val"))
 add("eigenvector_centrality", "n3", lambda e: rounded(apps.eigenvector_centrality(e), "x"))
@@ -334,10 +341,10 @@ def _values(name: str, run: Callable[[DataFrame, str], DataFrame], cols: list[st
 
 
 _Q = ["q1", "median", "q3"]
-_values("quartiles_pairs", statistics.quartiles_pairs, _Q, "SELECT round((x[(n - 1) // 4 + 1] + x[n // 4 + 1]) / 2, 6) AS q1, round((x[(n - 1) // 2 + 1] + x[n // 2 + 1]) / 2, 6) AS median, round((x[n - (n - 1) // 4] + x[n - n // 4]) / 2, 6) AS q3 FROM a")
-_values("quartiles_interpolated", statistics.quartiles_interpolated, _Q, "SELECT round(CASE WHEN (n + 1) % 4 = 0 THEN x[(n + 1) // 4 + 1] ELSE 0.75 * x[(n + 1) // 4 + 1] + 0.25 * x[(n + 1) // 4 + 2] END, 6) AS q1, round(CASE WHEN (n + 1) % 2 = 0 THEN x[(n + 1) // 2 + 1] ELSE 0.5 * x[(n + 1) // 2 + 1] + 0.5 * x[(n + 1) // 2 + 2] END, 6) AS median, round(CASE WHEN 3 * (n + 1) % 4 = 0 THEN x[3 * (n + 1) // 4 + 1] ELSE 0.25 * x[3 * (n + 1) // 4 + 1] + 0.75 * x[3 * (n + 1) // 4 + 2] END, 6) AS q3 FROM a")
-_values("quartiles_means", statistics.quartiles_means, _Q, "SELECT round((x[n // 4] + x[n // 4 + 1]) / 2, 6) AS q1, round((x[n // 2] + x[n // 2 + 1]) / 2, 6) AS median, round((x[3 * n // 4] + x[3 * n // 4 + 1]) / 2, 6) AS q3 FROM a")
-_values("harmonic", statistics.harmonic, ["hmean", "hstd"], ", i AS (SELECT CASE WHEN x <> 0 THEN 1 / x ELSE 0 END AS i FROM s) SELECT round(count(*) / sum(i), 6) AS hmean, round(sqrt(sum(i * i) - sum(i) * sum(i) / count(*)) / (count(*) - 1) * (count(*) / sum(i)) * (count(*) / sum(i)), 6) AS hstd FROM i")
+_values("quartiles_A", statistics.quartiles_pairs, _Q, "SELECT round((x[(n - 1) // 4 + 1] + x[n // 4 + 1]) / 2, 6) AS q1, round((x[(n - 1) // 2 + 1] + x[n // 2 + 1]) / 2, 6) AS median, round((x[n - (n - 1) // 4] + x[n - n // 4]) / 2, 6) AS q3 FROM a")
+_values("quartiles_B", statistics.quartiles_interpolated, _Q, "SELECT round(CASE WHEN (n + 1) % 4 = 0 THEN x[(n + 1) // 4 + 1] ELSE 0.75 * x[(n + 1) // 4 + 1] + 0.25 * x[(n + 1) // 4 + 2] END, 6) AS q1, round(CASE WHEN (n + 1) % 2 = 0 THEN x[(n + 1) // 2 + 1] ELSE 0.5 * x[(n + 1) // 2 + 1] + 0.5 * x[(n + 1) // 2 + 2] END, 6) AS median, round(CASE WHEN 3 * (n + 1) % 4 = 0 THEN x[3 * (n + 1) // 4 + 1] ELSE 0.25 * x[3 * (n + 1) // 4 + 1] + 0.75 * x[3 * (n + 1) // 4 + 2] END, 6) AS q3 FROM a")
+_values("quartiles_C", statistics.quartiles_means, _Q, "SELECT round((x[n // 4] + x[n // 4 + 1]) / 2, 6) AS q1, round((x[n // 2] + x[n // 2 + 1]) / 2, 6) AS median, round((x[3 * n // 4] + x[3 * n // 4 + 1]) / 2, 6) AS q3 FROM a")
+_values("harmonic_stats", statistics.harmonic, ["hmean", "hstd"], ", i AS (SELECT CASE WHEN x <> 0 THEN 1 / x ELSE 0 END AS i FROM s) SELECT round(count(*) / sum(i), 6) AS hmean, round(sqrt(sum(i * i) - sum(i) * sum(i) / count(*)) / (count(*) - 1) * (count(*) / sum(i)) * (count(*) / sum(i)), 6) AS hstd FROM i")
 _values("value_summary", statistics.summary, ["mean", "stddev"], "SELECT min(x) AS min, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS stddev, max(x) AS max FROM s")
 
 
@@ -444,6 +451,25 @@ add("fennel_bisection", "u5", lambda e: partition.stream_partition(e.drop("w"),
 add("fennel_parked_hubs", "u5", lambda e: partition.stream_partition(e.drop("w"), 8, passes=3, cost="derivative", ties="high", cutoff=60))
 
 
+# Experiments.
+
+add("partition_testbed", "u5", lambda e: rounded(experiments.testbed(e, ks=(2, 8), gammas=(1.5, 2.0), trials=1), "lambda", "balance"))
+QUERIES["lambda_sweep_random"] = lambda spark, sf_dir: rounded(experiments.lambda_over_densities(spark, views.table(spark, sf_dir, "supplier").count(), (0.05, 0.1, 0.2), 4), "lambda")
+QUERIES["lambda_sweep_kronecker"] = lambda spark, sf_dir: rounded(experiments.lambda_over_factors(spark, 7, (4, 8), 4), "lambda")
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = views.table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("t"), F.col("event_type").alias("layer")).agg(F.count("*").alias("value"))
+    return rounded(statistics.stacked_layers(days), "low", "high")
+
+
+QUERIES["stacked_layers"] = _layers
+ORACLE_SQL["stacked_layers"] = """WITH d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS t, event_type AS layer, count(*) AS value FROM events GROUP BY 1, 2),
+l AS (SELECT layer, row_number() OVER (ORDER BY layer) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT layer FROM d)),
+b AS (SELECT t, -sum((n - k + 1) * value) / CAST(any_value(n) + 1 AS DOUBLE) AS b FROM d JOIN l USING (layer) GROUP BY t)
+SELECT t, layer, round(b + sum(value) OVER (PARTITION BY t ORDER BY layer) - value, 6) AS low, round(b + sum(value) OVER (PARTITION BY t ORDER BY layer), 6) AS high FROM d JOIN b USING (t)"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut of suppliers and parts over eight parts."""
-    return QUERIES["cut_mod_8"](spark, sf_dir)
+    return QUERIES["cut_hash_k8"](spark, sf_dir)

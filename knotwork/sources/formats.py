@@ -334,7 +334,16 @@ def write_hypergraph(a: DataFrame, path: str, rows: int, cols: int) -> None:
     one_file(head.unionByName(body), ["o"], path)
 
 
-READERS = {"mtx": read_matrix_market, "hb": read_harwell_boeing, "snap": read_snap, "metis": read_metis, "pajek": read_pajek}
+def read_mat(spark: SparkSession, path: str, name: str = "A") -> DataFrame:
+    """(row, col, val) of the sparse matrix Problem.A of a .mat file, read on the driver; needs SciPy."""
+    import scipy.io
+
+    held = scipy.io.loadmat(path)
+    m = (held["Problem"][name][0, 0] if "Problem" in held else held[name]).tocoo()
+    return spark.createDataFrame(pa.table({"row": m.row.astype("int64") + 1, "col": m.col.astype("int64") + 1, "val": m.data.astype("float64")}))
+
+
+READERS = {"mtx": read_matrix_market, "hb": read_harwell_boeing, "snap": read_snap, "metis": read_metis, "pajek": read_pajek, "mat": read_mat}
 
 
 def load(spark: SparkSession, path: str, kind: str = "mtx", **options) -> DataFrame:

@@ -101,3 +101,13 @@ def test_line_numbers_across_splits(spark, tmp_path):
         assert got.where(F.concat(F.lit("line "), F.col("line").cast("string")) != F.col("text")).count() == 0 and got.count() == 20_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_shell(spark, a, tmp_path):
+    from knotwork.sources.shell import Shell
+
+    formats.write_matrix_market(a, str(tmp_path / "a"), 3, 3)
+    shell = Shell(spark)
+    said = shell.run(f'LOAD "{tmp_path}/a" "mtx" AS A; FORMAT A; CONVERT A "rows"; FORMAT A; MULTIPLY A A AS B; SAVE B "{tmp_path}/b"; PRINT B; EXIT; PRINT A')
+    assert said == ["triples", "rows", "1 2 -1.5", "2 2 1.0", "3 2 3.0"]
+    assert rows(formats.read_matrix_market(spark, str(tmp_path / "b"))) == [(1, 2, -1.5), (2, 2, 1.0), (3, 2, 3.0)]
