@@ -29,7 +29,7 @@ from knotwork.llm._text import U, mix, shingle_rows
 #: Shingles whose place in the order follows their count: 3 MB of broadcast at most, at any input size.
 ORDERED = 1 << 18
 #: Tokens that a task counts together.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
 #: Members of a group and queries that meet in one piece of work.
 MEMBERS, QUERIES = 128, 512
 ENTRY = np.dtype([("low", "<u4"), ("mid", "u1"), ("node", "<u8"), ("n", "<u4"), ("pos", "<u2")])
@@ -96,23 +96,31 @@ def _prefixes(order, buckets: int, percent: int):
                 if not len(grams) or (node := _node(grams)) in seen:
                     continue
                 seen.add(node)
-                first = grams
+                first, known = grams, np.zeros(0, np.int64)
+                most = prefix_length(len(grams), percent)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
                     common = hot[at] == grams
                     if common.any():
-                        first = np.concatenate([grams[~common], grams[common][np.argsort(rank[at[common]], kind="stable")]])
-                first = first[: prefix_length(len(grams), percent)]
-                entry = np.empty(len(first), wide)
-                entry["bucket"] = (first >> U(40)) % U(buckets)
-                entry["low"] = first & U(0xFFFFFFFF)
-                entry["mid"] = (first >> U(32)) & U(0xFF)
+                        first, known = grams[~common], at[common]
+                        known = known[np.argsort(rank[known], kind="stable")][: max(0, most - len(first))]
+                first = first[:most]
+                entry = np.empty(len(first) + len(known), wide)
+                own, listed = entry[: len(first)], entry[len(first) :]
+                own["bucket"] = (first >> U(40)) % U(buckets)
+                own["low"] = first & U(0xFFFFFFFF)
+                own["mid"] = (first >> U(32)) & U(0xFF)
+                # A common shingle goes by its place in the list: several sets are known to hold it, so its entries
+                # need not meet, and are dealt by set.
+                listed["bucket"] = buckets + node % buckets
+                listed["low"] = known
+                listed["mid"] = 0
                 entry["node"] = np.uint64(node & 0xFFFFFFFFFFFFFFFF)
                 entry["n"] = len(grams)
-                entry["pos"] = np.minimum(np.arange(len(first)), 0xFFFF)
+                entry["pos"] = np.minimum(np.arange(len(entry)), 0xFFFF)
                 held.append(entry)
                 size += len(entry)
-            if size >= COUNTED // 4:
+            if size >= COUNTED // 2:
                 yield dealt()
                 held, size, seen = [], 0, set()
         if held:
@@ -121,19 +129,25 @@ def _prefixes(order, buckets: int, percent: int):
     return run
 
 
-def _runs(table: pa.Table) -> pa.Table:
-    """The entries of tokens that at least two nodes of a bucket share."""
-    bucket = table.column("bucket")[0].as_py()
-    every = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in table.column("entries")])
-    token = every["low"].astype(np.int64) | (every["mid"].astype(np.int64) << 32)
-    by = np.lexsort((every["node"], token))
-    every, token = every[by], token[by]
-    new = np.r_[True, (token[1:] != token[:-1]) | (every["node"][1:] != every["node"][:-1])]
-    every, token = every[new], token[new]
-    same = token[1:] == token[:-1]
-    keep = np.r_[False, same] | np.r_[same, False]
-    every, token = every[keep], token[keep]
-    return pa.table({"token": token + (bucket << 40), "node": every["node"].astype(np.uint64).view(np.int64), "n": every["n"].astype(np.int32), "pos": every["pos"].astype(np.int32)})
+def _runs(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The entries of tokens that at least two nodes of a bucket share, and those of listed tokens."""
+        bucket = table.column("bucket")[0].as_py()
+        every = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in table.column("entries")])
+        token = every["low"].astype(np.int64) | (every["mid"].astype(np.int64) << 32)
+        by = np.lexsort((every["node"], token))
+        every, token = every[by], token[by]
+        new = np.r_[True, (token[1:] != token[:-1]) | (every["node"][1:] != every["node"][:-1])]
+        every, token = every[new], token[new]
+        if bucket >= buckets:
+            token = -1 - token
+        else:
+            same = token[1:] == token[:-1]
+            keep = np.r_[False, same] | np.r_[same, False]
+            every, token = every[keep], token[keep] + (bucket << 40)
+        return pa.table({"token": token, "node": every["node"].astype(np.uint64).view(np.int64), "n": every["n"].astype(np.int32), "pos": every["pos"].astype(np.int32)})
+
+    return run
 
 
 def _opened(percent: int):
@@ -211,7 +225,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     buckets = int(min(65536, max(512, total // 1_000_000)))
     entries = in_arrow(rows.select("text"), _prefixes(order, buckets, percent), "bucket int, entries binary")
-    runs = cut(entries.groupBy("bucket").applyInArrow(_runs, "token long, node long, n int, pos int"), "runs")
+    runs = cut(entries.groupBy("bucket").applyInArrow(_runs(buckets), "token long, node long, n int, pos int"), "runs")
 
     known = sets.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
     wanted = known.join(runs.select("node").distinct(), "node", "left_semi")

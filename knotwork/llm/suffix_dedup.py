@@ -8,7 +8,8 @@ equal anchors at equal places, so a window can only repeat where its anchor's by
 anchor (about one for 85 bytes) stands for all windows that it anchors. The anchors are dealt by their hash.
 Where two occurrences of an anchor agree on all bytes of its windows, all of these repeat. Where they agree in
 part, the bytes are fetched and the windows are sorted by the remaining digits, DIGIT bytes each; groups of one
-leave after each pass.
+leave after each pass. An anchor of very many surroundings does not meet in one task: its windows are told apart
+by fingerprints of all their bytes, one row each.
 
 Defined cases: a null text is empty; texts under WINDOW bytes lose nothing; a repeated row repeats all of its
 windows, so it loses all that is WINDOW bytes or longer; matches never cross documents; null doc_ids take part;
@@ -32,7 +33,10 @@ WINDOW, GRAM, DIGIT = 200, 32, 40
 ENTRY = np.dtype([("gram", "<u8"), ("span", "<u8"), ("row", "<i8"), ("pos", "<u4"), ("known", "u1")])
 FULL, EDGE, WITNESS = 1, 2, 3
 #: Entries that a task sorts at a time, and bytes of spans.
-HELD, SPANS = 1 << 20, 4 << 20
+HELD, SPANS = 1 << 18, 2 << 20
+#: Kinds of surroundings of an anchor up to which its spans meet in one task. Beyond, each window goes by its own
+#: fingerprint, counted before the shuffle.
+MEET = 4096
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,11 +102,11 @@ def _entries(buckets: int):
     return run
 
 
-def _matched(buckets: int):
+def _matched(buckets: int, meet: int):
     def run(table: pa.Table) -> pa.Table:
         every = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in table.column("entries")])
         if table.column("bucket")[0].as_py() >= buckets:
-            flag = np.full(len(every), FULL, np.int8)
+            flag, wide = np.full(len(every), FULL, np.int8), np.zeros(len(every), bool)
         else:
             every = every[np.lexsort((every["span"], every["gram"]))]
             new_gram = np.r_[True, every["gram"][1:] != every["gram"][:-1]]
@@ -113,8 +117,9 @@ def _matched(buckets: int):
             single = np.bincount(gram[new_class], ~full)
             part = (kinds[gram] > 1) & (single[gram] > 0)
             flag = np.where(full[kind], np.where(part & new_class, WITNESS, FULL), np.where(part, EDGE, 0)).astype(np.int8)
-            every, flag = every[flag > 0], flag[flag > 0]
-        return pa.table({"row": every["row"], "pos": every["pos"].astype(np.int32), "flag": flag, "gram": every["gram"].astype(np.uint64).view(np.int64)})
+            wide = kinds[gram] > meet
+            every, flag, wide = every[flag > 0], flag[flag > 0], wide[flag > 0]
+        return pa.table({"row": every["row"], "pos": every["pos"].astype(np.int32), "flag": flag, "wide": wide})
 
     return run
 
@@ -139,6 +144,21 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(gram, pa.int64()), pa.array(row, pa.int64()), pa.array(pos, pa.int32()), pa.array(lead, pa.int32()), pa.array(flag, pa.int8()), pa.array(span, pa.binary())], ["gram", "row", "pos", "lead", "flag", "span"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of all windows of each marked anchor."""
+    for part in text_slices(batches):
+        data, offs = text_bytes(part.column("text"))
+        sums = prefix_sums(data)
+        at, low, high, _ = anchors(data, offs, sums)
+        for k, (r, own) in enumerate(zip(part.column("row").to_pylist(), part.column("marks").to_pylist(), strict=True)):
+            where = np.searchsorted(at, np.array([m["pos"] for m in own], np.int64) + offs[k])
+            n = high[where] - low[where] + 1
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(low[where], n) + inner
+            pos, flag = np.array([m["pos"] for m in own], np.int32), np.array([m["flag"] for m in own], np.int8)
+            yield pa.record_batch([pa.array(span_hash(sums, start, start + WINDOW).view(np.int64)), pa.array(np.full(len(start), r, np.int64)), pa.array(np.repeat(pos, n)), pa.array(inner.astype(np.int32)), pa.array(np.repeat(flag, n))], ["print", "row", "pos", "inner", "flag"])
+
+
 def radix_groups(data: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Which suffixes ``start`` share their first WINDOW bytes with another one of their ``group``."""
     sums = prefix_sums(data)
@@ -204,7 +224,10 @@ def _gone(offs: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, k
     where = np.searchsorted(at, np.array([m["pos"] for m in own], np.int64) + a)
     for j, m in zip(where.tolist(), own, strict=True):
         begin, n = int(low[j]) - a, int(high[j] - low[j]) + 1
-        starts[begin : begin + n] |= 1 if m["bits"] is None else np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=n)
+        if m["inner"] is not None:
+            starts[begin + np.array(m["inner"])] = 1
+        else:
+            starts[begin : begin + n] |= 1 if m["bits"] is None else np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=n)
     edge = np.zeros(b - a + 1, np.int32)
     edge += starts
     edge[WINDOW:] -= starts[:-WINDOW]
@@ -243,34 +266,47 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in names], names)
 
 
-def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a row key, and the marks of the repeated windows as (row, marks: pos, bits or null for all)."""
+def _marked(docs: DataFrame, meet: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a row key, and the marks of the repeated windows as (row, marks): an anchor's place, and which
+    of its windows repeat, as bits or as a list; all of them if both are null."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(65536, max(256, size // (64 << 20))))
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("row"))
-    found = in_arrow(keyed, _entries(buckets), "bucket int, entries binary").groupBy("bucket").applyInArrow(_matched(buckets), "row long, pos int, flag byte, gram long")
+    found = in_arrow(keyed, _entries(buckets), "bucket int, entries binary").groupBy("bucket").applyInArrow(_matched(buckets, meet), "row long, pos int, flag byte, wide boolean")
     found = cut(found, "anchors")
-    open_ = found.where(F.col("flag") >= EDGE).groupBy("row").agg(F.collect_list(F.struct("pos", "flag")).alias("marks"))
-    spans = in_arrow(keyed.join(open_.hint("shuffle_hash"), "row").select("row", "text", "marks"), _spans, "gram long, row long, pos int, lead int, flag byte, span binary")
-    dealt = spans.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram")
-    edges = in_arrow(dealt, _sorted_windows, "row long, pos int, bits binary")
-    full = found.where(F.col("flag") != EDGE).select("row", "pos", F.lit(None).cast("binary").alias("bits"))
-    return docs.withColumn("row", F.xxhash64("doc_id", "text")), full.union(edges).groupBy("row").agg(F.collect_list(F.struct("pos", "bits")).alias("marks"))
 
+    def marked(wide: bool) -> DataFrame:
+        own = found.where((F.col("flag") >= EDGE) & (F.col("wide") == wide)).groupBy("row").agg(F.collect_list(F.struct("pos", "flag")).alias("marks"))
+        return keyed.join(own.hint("shuffle_hash"), "row").select("row", "text", "marks")
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<int>").alias("inner")
+    full = found.where(F.col("flag") != EDGE).select("row", "pos", *none)
+    spans = in_arrow(marked(False), _spans, "gram long, row long, pos int, lead int, flag byte, span binary")
+    dealt = spans.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram")
+    edges = in_arrow(dealt, _sorted_windows, "row long, pos int, bits binary").select("row", "pos", "bits", none[1])
+    marks = full.union(edges)
+    if not found.where("wide").isEmpty():
+        prints = cut(in_arrow(marked(True), _windows, "print long, row long, pos int, inner int, flag byte"), "windows")
+        several = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+        hit = prints.where(F.col("flag") == EDGE).join(several, "print", "left_semi")
+        marks = marks.union(hit.groupBy("row", "pos").agg(F.collect_set("inner").alias("inner")).select("row", "pos", none[0], "inner"))
+    keyed_docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    return keyed_docs, marks.groupBy("row").agg(F.collect_list(F.struct("pos", "bits", "inner")).alias("marks"))
+
+
+def repeated_bytes(docs: DataFrame, meet: int = MEET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs`` (doc_id, text)."""
-    keyed, marks = _marked(docs.select("doc_id", "text"))
+    keyed, marks = _marked(docs.select("doc_id", "text"), meet)
     joined = keyed.join(marks, "row", "left").select("doc_id", "text", "marks")
     return in_arrow(joined, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, meet: int = MEET) -> DataFrame:
     """The rows of ``docs``, all columns, with the repeated bytes taken out of ``text``.
 
     Where a cut leaves part of a character's bytes, the rest of that character goes too.
     """
-    keyed, marks = _marked(docs)
+    keyed, marks = _marked(docs, meet)
     joined = keyed.join(marks.withColumnRenamed("row", "marked_row"), F.col("row") == F.col("marked_row"), "left").select(*docs.columns, "marks")
     return in_arrow(joined, _cleaned, docs.schema)

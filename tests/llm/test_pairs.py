@@ -66,6 +66,8 @@ def test_repeats_equal_brute_force(spark, seed):
     rows = made(seed)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_bytes(frame(spark, rows)).collect()}
     assert got == brute.removed(rows)
+    wide = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_bytes(frame(spark, rows), meet=3).collect()}
+    assert wide == got
 
 
 def test_repeats_in_one_text_and_in_repeated_rows(spark):
