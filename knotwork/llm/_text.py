@@ -27,7 +27,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """STEP**i and STEP**-i for i below n at least."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for k, base in enumerate((STEP, BACK)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -7,8 +7,7 @@ predicted. Profiles count every n-gram of every document that may be learned fro
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language first in
 order; n-grams of equal count are ranked by their letters; documents with null lang are not learned from; an
-empty training set leaves ``und`` for all; null doc_ids count as held in (their remainder is that of an empty
-text); columns other than doc_id, text and lang are ignored.
+empty training set leaves ``und`` for all; null doc_ids count by the remainder of an empty text, which is 0; columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from knotwork.llm._shared import in_arrow, text_slices
 #: Length of a profile and of a document's list.
 RANKS = 400
 #: n-grams of a language that a task keeps apart before it hands them on.
-COUNTED = 1 << 21
+COUNTED = 1 << 19
 PLANE = 0x110000
 _letters: list[np.ndarray] = []
 
