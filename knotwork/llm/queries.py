@@ -77,6 +77,22 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+g AS (SELECT doc_id, len(w) AS l, unnest(range(1, len(w) - 3)) AS p, unnest([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS s FROM d WHERE len(w) >= 5),
+b AS (SELECT item_id, any_value(l) AS l, s, count(*) AS c FROM (SELECT item_id, len(w) AS l, unnest([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS s FROM i WHERE len(w) >= 5) GROUP BY item_id, s),
+h AS (SELECT doc_id, item_id, g.l AS dl, b.l AS il, least(g.l, b.l) - 4 AS n, p FROM g JOIN b USING (s)),
+z AS (SELECT DISTINCT doc_id, item_id, dl, il, n, unnest(range(greatest(1, p - n + 1), least(p, dl - 4 - n + 1) + 1)) AS st FROM h),
+c AS (SELECT z.doc_id, z.item_id, dl, il, n, st, s, count(*) AS c FROM z JOIN g ON g.doc_id = z.doc_id AND p BETWEEN st AND st + n - 1 GROUP BY ALL),
+m AS (SELECT c.doc_id, c.item_id, dl, il, n, st, CAST(sum(least(c.c, b.c)) AS BIGINT) AS low FROM c JOIN b ON b.item_id = c.item_id AND b.s = c.s GROUP BY ALL),
+r AS (SELECT *, n + il - 4 - low AS high FROM m WHERE 100 * low >= 75 * (n + il - 4 - low)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY low / CAST(high AS DOUBLE) DESC, st) AS k FROM r)
+SELECT doc_id, item_id, low / CAST(high AS DOUBLE) AS similarity, st - 1 AS first_word, least(dl, il) AS n_words FROM k WHERE k = 1
+"""
+
 OP9_SQL = """
 WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
@@ -103,4 +119,4 @@ QUERIES = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op9_exact_top_k": OP9_SQL}
+ORACLE_SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_exact_top_k": OP9_SQL}
