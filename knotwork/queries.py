@@ -190,7 +190,7 @@ add("densify", "g3", lambda e: matrix.densify(as_matrix(e), 25, 25), "SELECT i A
 add("sparsify", "g3", lambda e: matrix.sparsify(matrix.densify(as_matrix(e), 25, 25)), "SELECT src AS row, dst AS col, w AS val FROM g")
 add("update_dense", "g3", lambda e: matrix.update_dense(matrix.densify(as_matrix(e), 25, 25), matrix.transpose(as_matrix(e)), lambda d, a: d - a), "SELECT i AS row, j AS col, coalesce(a.w, 0) - coalesce(b.w, 0) AS val FROM range(25) x(i) CROSS JOIN range(25) y(j) LEFT JOIN g a ON a.src = i AND a.dst = j LEFT JOIN g b ON b.src = j AND b.dst = i")
 add("expand_symmetry", "g5", lambda e: matrix.expand_symmetry(as_matrix(e.where("src < dst"))), "SELECT src AS row, dst AS col, w AS val FROM g WHERE src < dst UNION ALL SELECT dst, src, w FROM g WHERE src < dst")
-add("check_valid", "g5", lambda e: matrix.check_valid(as_matrix(e), 100, 100), "SELECT count(*) AS entries, count(*) FILTER (WHERE src < 0 OR src >= 100 OR dst < 0 OR dst >= 100) AS out_of_range, 0 AS repeated FROM g")
+add("check_valid", "g5", lambda e: matrix.check_valid(as_matrix(e), 100, 100), "SELECT count(*) AS entries, count(*) FILTER (WHERE src < 0 OR src >= 100 OR dst < 0 OR dst >= 100) AS out_of_range, CAST(0 AS BIGINT) AS repeated FROM g")
 add("density_bins", "g1", lambda e: matrix.binned(as_matrix(e), 50), "SELECT src // 50 AS row_bin, dst // 50 AS col_bin, count(*) AS n FROM g GROUP BY 1, 2")
 
 # Vectors: the number of lines of each supplier by id.
@@ -254,7 +254,7 @@ add("part_permutation", "g7", lambda e: partition.permutation(_mod8(e)), ", v AS
 add("part_ranges", "g7", lambda e: partition.part_ranges(partition.permutation(_mod8(e))), ", v AS (SELECT v, CAST(v % 8 AS INTEGER) AS part, row_number() OVER (ORDER BY v % 8, v) - 1 AS new FROM (SELECT DISTINCT src AS v FROM g)) SELECT part, min(new) AS lo, max(new) AS hi FROM v GROUP BY part")
 add("permuted_edges", "g5", lambda e: partition.relabel(e, partition.permutation(_mod8(e))), ", v AS (SELECT v, row_number() OVER (ORDER BY v % 8, v) - 1 AS new FROM (SELECT src AS v FROM g UNION SELECT dst FROM g)) SELECT a.new AS src, b.new AS dst, w FROM g JOIN v a ON a.v = src JOIN v b ON b.v = dst")
 add("redistributed", "g1", lambda e: partition.redistribute(e, _mod8(e), 200, 8), ", d AS (SELECT src AS v, count(*) AS deg FROM g GROUP BY src) SELECT src, dst, CAST(CASE WHEN deg >= 200 THEN dst % 8 ELSE src % 8 END AS INTEGER) AS home FROM g JOIN d ON v = src")
-add("assignment_counts", "g7", lambda e: partition.counts_of_assignment(rep.vertices(e), _mod8(e).where("part < 6")), "SELECT count(*) AS unassigned, 0 AS repeated FROM (SELECT DISTINCT src FROM g) WHERE src % 8 >= 6")
+add("assignment_counts", "g7", lambda e: partition.counts_of_assignment(rep.vertices(e), _mod8(e).where("part < 6")), "SELECT count(*) AS unassigned, CAST(0 AS BIGINT) AS repeated FROM (SELECT DISTINCT src FROM g) WHERE src % 8 >= 6")
 add("fennel_pass", "u5", lambda e: partition.stream_partition(e.drop("w"), 8))
 add("fennel_stream_tempered", "u5", lambda e: partition.stream_partition(e.drop("w"), 8, passes=5, rate=1.7, cost="derivative"))
 add("ldg", "u5", lambda e: partition.ldg_bisection(e.drop("w")))
@@ -277,7 +277,7 @@ add("bfs_direction_optimizing", "u5", lambda e: traversal.bfs_direction_optimizi
 add("bfs_depths", "u5", lambda e: traversal.depth_by_relaxation(_tree(e), e.agg(F.min("src")).first()[0]), f"{_B} SELECT v, CAST(level AS INTEGER) AS depth FROM t")
 add("bfs_parents_in_range", "u5", lambda e: traversal.parents_in_range(_tree(e), _last(e) + 1), "SELECT CAST(0 AS BIGINT) AS out_of_range FROM (SELECT 1)")
 add("bfs_filtered", "u5", lambda e: traversal.level_sets(traversal.bfs(e, e.agg(F.min("src")).first()[0], F.col("w") > 1)), _B.replace("JOIN g ON g.src = b.v WHERE", "JOIN g ON g.src = b.v WHERE g.w > 1 AND") + " SELECT CAST(level AS INTEGER) AS level, count(*) AS n FROM t GROUP BY level")
-add("bfs_tree_levels", "u5", lambda e: traversal.tree_levels(_tree(e).select("v", "parent")), f"{_B} SELECT v, level FROM t")
+add("bfs_tree_levels", "u5", lambda e: traversal.tree_levels(_tree(e).select("v", "parent")), f"{_B} SELECT v, CAST(level AS BIGINT) AS level FROM t")
 add("bfs_validation", "u5", lambda e: traversal.validate(_tree(e).select("v", "parent"), e, e.agg(F.min("src")).first()[0]), "SELECT 0 AS code, count(*) AS traversed FROM g")
 add("level_comm", "u5", lambda e: traversal.communication(_tree(e), e, _last(e) + 1, 4), f"""{_B}, o AS (SELECT (max(src) + 1) / 4.0 AS c FROM g), d AS (SELECT src AS v, count(*) AS deg FROM g GROUP BY src), x AS (SELECT a.level AS la, b.level AS lb, b.parent = g.src AND b.level = a.level + 1 AS child, b.level = a.level + 1 AS down, floor(g.src / c) <> floor(g.dst / c) AS crosses, deg FROM o, g JOIN p a ON a.v = g.src JOIN p b ON b.v = g.dst JOIN d ON d.v = g.dst)
 SELECT CAST(la AS INTEGER) AS level, count(*) FILTER (WHERE child) AS children, count(*) FILTER (WHERE down AND NOT child) AS failed_children, count(*) FILTER (WHERE la = lb) AS peers, count(*) FILTER (WHERE lb < la) AS parents, count(*) FILTER (WHERE child AND crosses) AS remote_children, count(*) FILTER (WHERE deg > 60) AS high_degree FROM x GROUP BY la""")
