@@ -35,7 +35,7 @@ TOXIC_FROM = 0.3
 # What digits, signs and look-alike letters stand for; l and i share one form, as 1 is read as either.
 STANDS_FOR = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "l": "i",
-    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ѕ": "s", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "т": "t", "у": "y", "х": "x", "ӏ": "i", "ԛ": "q", "ԝ": "w", "г": "r", "п": "n", "и": "u", "з": "e",
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "д": "d", "е": "e", "ѕ": "s", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "т": "t", "у": "y", "х": "x", "ӏ": "i", "ԛ": "q", "ԝ": "w", "г": "r", "п": "n", "и": "u", "з": "e",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "γ": "y", "σ": "o", "ɡ": "g", "ɑ": "a", "ı": "i", "ł": "i", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 LEFT_OUT = frozenset(".-_*'`~\u2019\u00ad\u200b\u200c\u200d\u2060\ufeff")
@@ -137,25 +137,33 @@ def learn_lexicon(sample: Sample) -> Lexicon:
     toxic, clean = sample.labels.count(1), sample.labels.count(0)
     if not toxic or not clean:
         return Lexicon({}, [], None)
-    counts = (Counter(), Counter())
+    # What toxic documents hold often enough is counted first: only that is looked for in the clean ones.
+    words_of = [sorted(set(fold(t).split())) if y else None for t, y in zip(sample.texts, sample.labels, strict=True)]
+    often = Counter()
+    for words in words_of:
+        if words:
+            often.update(f" {w} " for w in words)
+            often.update({f" {w[:n]}" for w in words for n in BEGINNINGS if len(w) > n})
+    often = Counter({e: t for e, t in often.items() if t >= 3})
+    rarely = Counter()
     kinds: dict[str, set[str]] = {}
     for text, y in zip(sample.texts, sample.labels, strict=True):
-        words = set(fold(text).split())
-        counts[y].update(f" {w} " for w in words)
-        counts[y].update({f" {w[:n]}" for w in words for n in BEGINNINGS if len(w) > n})
+        if not y:
+            words = set(fold(text).split())
+            rarely.update(e for w in words if (e := f" {w} ") in often)
+            rarely.update({e for w in words for n in BEGINNINGS if len(w) > n and (e := f" {w[:n]}") in often})
     chosen: dict[str, tuple[float, float]] = {}
-    for e, t in counts[1].items():
-        c = counts[0][e]
+    for e, t in often.items():
+        c = rarely[e]
         odds = math.log((t + 0.5) / (toxic - t + 0.5)) - math.log((c + 0.5) / (clean - c + 0.5))
         if t > c and odds >= ODDS and (g := _evidence(t, c, toxic, clean)) >= EVIDENCE:
             chosen[e] = (g, odds)
     # A beginning needs several words of its own, and more evidence than each of them.
-    for text, y in zip(sample.texts, sample.labels, strict=True):
-        if y:
-            for w in set(fold(text).split()):
-                for n in BEGINNINGS:
-                    if len(w) > n and f" {w[:n]}" in chosen:
-                        kinds.setdefault(f" {w[:n]}", set()).add(f" {w} ")
+    for words in words_of:
+        for w in words or ():
+            for n in BEGINNINGS:
+                if len(w) > n and f" {w[:n]}" in chosen:
+                    kinds.setdefault(f" {w[:n]}", set()).add(f" {w} ")
     for e, words in kinds.items():
         best = max((chosen.get(w, (0.0, 0.0))[0] for w in words), default=0.0)
         if len(words) < 3 or chosen[e][0] < 1.2 * best:
