@@ -49,8 +49,6 @@ class WordBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if steps != ["NFC", "Replace", "Lowercase"] or not split["invert"] or spec.get("decoder"):
             raise ValueError("this kind of vocabulary file is not known here")
-        self.space = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
-        self.blank = spec["normalizer"]["normalizers"][1]["content"]
         self.piece = regex.compile(split["pattern"]["Regex"])
         self.end = model["end_of_word_suffix"] or ""
         self.vocab = model["vocab"]
@@ -109,7 +107,7 @@ class WordBpe:
         return [p for p in parts if p >= 0]
 
     def _settled(self, piece: str) -> tuple[str, str, int]:
-        found = self.old.get(piece)
+        found = self.young.get(piece) or self.old.get(piece)
         if found is None:
             ids = self.word(piece)
             found = (" ".join(map(str, ids)), self.decode(ids), len(ids))
@@ -118,14 +116,23 @@ class WordBpe:
         self.young[piece] = found
         return found
 
+    def _plain(self, part: str) -> list[str]:
+        """The pieces of a text without added tokens. White space only parts them, whatever it is: the file's step
+        that makes it one blank changes nothing and is left out."""
+        plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        return self.piece.findall(plain.lower())
+
+    def _parts(self, text: str) -> list[str]:
+        """Texts and added tokens in turn."""
+        return self.marks.split(text) if self.marks and any(t in text for t in self.added) else [text]
+
     def pieces(self, text: str) -> Iterator[str | int]:
         """The pieces of a text in order; an added token is its id."""
-        for k, part in enumerate(self.marks.split(text) if self.marks else [text]):
+        for k, part in enumerate(self._parts(text)):
             if k % 2:
                 yield self.added[part]
             elif part:
-                plain = self.space.sub(self.blank, part if part.isascii() else unicodedata.normalize("NFC", part))
-                yield from self.piece.findall(plain.replace("Σ", "σ").lower())
+                yield from self._plain(part)
 
     def encode(self, text: str | None) -> list[int]:
         return [i for p in self.pieces(text or "") for i in ([p] if isinstance(p, int) else self.word(p))]
@@ -136,17 +143,16 @@ class WordBpe:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids, and of the text that they decode to."""
-        ids, names, n = [], [], 0
-        for p in self.pieces(text or ""):
-            if isinstance(p, int):
-                found = (str(p), self.names[p], 1)
-            else:
-                found = self.young.get(p) or self._settled(p)
-            if found[2]:
-                ids.append(found[0])
-                names.append(found[1])
-                n += found[2]
-        return n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(names).encode()).hexdigest()
+        found: list[tuple[str, str, int]] = []
+        for k, part in enumerate(self._parts(text or "")):
+            if k % 2:
+                found.append((str(self.added[part]), part, 1))
+            elif part:
+                get, settle = self.young.get, self._settled
+                found += [get(p) or settle(p) for p in self._plain(part)]
+        ids = " ".join([f[0] for f in found if f[2]])
+        names = " ".join([f[1] for f in found if f[2]])
+        return sum([f[2] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(names.encode()).hexdigest()
 
 
 def read_vocabulary(path: str) -> str:
