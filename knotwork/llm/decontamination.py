@@ -1,14 +1,16 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination: a shingle index finds the windows, SimHash and an exact count hold them to the measure.
 
 Each benchmark item of L words is held against the windows of L words of every document (the whole document,
-where it is shorter). Windows and items get BITS-bit SimHash fingerprints of their five-word shingles. Fingerprints
-are compared by RADIUS + 1 blocks of bits: two that differ in RADIUS bits or fewer agree on one whole block. What
-is left is held to the exact measure: shingles weighted by their number of occurrences, the sum of the lesser
-weights over the sum of the greater ones, at least ``percent``.
+where it is shorter). The measure: five-word shingles weighted by their number of occurrences, the sum of the
+lesser weights over the sum of the greater ones, at least ``percent``.
 
-Only windows that share a shingle with the item can reach any positive similarity, so only these are made; a
-sliding count of shared shingles bounds each. RADIUS lies four standard deviations above the distance expected
-at a similarity of 0.75.
+Only windows that share a shingle with the item can reach any positive similarity. An inverted index of the items'
+shingles finds these, and a sliding count of shared shingles bounds each. What is left is compared by SimHash: a
+fingerprint is the signs of BITS sums over the shingles, and a window as similar as ``percent`` differs from the item
+by so few shingles that a sum of the item beyond that number keeps its sign. Such bits are steady, and a window that
+differs in one of them is dropped, block by block of a fingerprint. A radius would lose matches: one shingle that
+occurs often rules all signs. Nothing is lost by the steady bits; where an item has none, all windows go to the exact
+count.
 
 Defined cases: null, empty or short texts (under five words) match nothing, nor do items of under five words or
 null; of windows as similar the first is reported; repeated rows and repeated items are each reported; columns
@@ -27,24 +29,11 @@ from pyspark.sql import functions as F
 from knotwork.llm._shared import in_arrow, text_bytes, text_slices
 from knotwork.llm._text import U, mix, shingles, word_hashes
 
-K, BITS, RADIUS = 5, 128, 39
+K, BITS = 5, 128
 #: Items that are broadcast at a time, by the bytes of their texts.
 BLOCK_BYTES = 16 << 20
 
 
-def block_masks(bits: int = BITS, radius: int = RADIUS) -> np.ndarray:
-    """radius + 1 masks that divide the bits among them, as rows of two 64-bit words."""
-    edges = np.linspace(0, bits, radius + 2).round().astype(int)
-    masks = np.zeros((radius + 1, 2), np.uint64)
-    for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-        for bit in range(a, b):
-            masks[k, bit // 64] |= U(1 << (bit % 64))
-    return masks
-
-
-MASKS = block_masks()
-
-
 def signs(grams: np.ndarray) -> np.ndarray:
     """A row of BITS ones and minus ones for each shingle."""
     wide = np.stack([mix(grams ^ U(0xA0761D6478BD642F)), mix(grams ^ U(0xE7037ED1A0B428DB))], 1)
@@ -56,27 +45,42 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)
 
 
-def within_radius(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Which windows differ from the item in RADIUS bits or fewer; looked at only where a block agrees."""
-    apart = windows ^ item
-    near = np.flatnonzero(((apart[:, None, :] & MASKS[None]) == 0).all(2).any(1))
-    near = near[np.bitwise_count(apart[near]).sum(1) <= RADIUS]
+def on_steady_bits(windows: np.ndarray, sums: np.ndarray, apart: int) -> np.ndarray:
+    """Which windows have the item's signs wherever ``apart`` shingles more or less cannot turn them.
+
+    sums: the item's summed signs; each shingle that only one side has, or has once more, moves a sum by one.
+    """
+    steady = fingerprints(np.abs(sums)[None] - apart)[0]
+    item = fingerprints(sums[None])[0]
+    near = np.arange(len(windows))
+    for block in np.flatnonzero(steady):
+        near = near[((windows[near, block] ^ item[block]) & steady[block]) == 0]
     out = np.zeros(len(windows), bool)
     out[near] = True
     return out
 
 
-def weighted_similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Sums of the lesser and the greater weights of two bags of shingles."""
-    ka, na = np.unique(a, return_counts=True)
-    kb, nb = np.unique(b, return_counts=True)
-    both, ia, ib = np.intersect1d(ka, kb, True, return_indices=True)
-    low = int(np.minimum(na[ia], nb[ib]).sum())
-    return low, len(a) + len(b) - low
+def lesser_weights(grams: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the lesser weights of the item and of each window of ``size`` shingles.
+
+    An occurrence counts in the windows that hold it, but not as many of its like before it as the item has.
+    """
+    own, times = np.unique(item, return_counts=True)
+    key = np.minimum(np.searchsorted(own, grams), len(own) - 1)
+    hits = np.flatnonzero(own[key] == grams)
+    hits = hits[np.argsort(key[hits], kind="stable")]
+    key = key[hits]
+    before = np.arange(len(hits)) - times[key]
+    known = before >= np.searchsorted(key, key)
+    low = np.maximum(hits - size + 1, np.where(known, hits[before] + 1, 0)).clip(0)
+    high = np.minimum(hits, len(grams) - size)
+    some = low <= high
+    steps = np.bincount(low[some], minlength=len(grams) + 1) - np.bincount(high[some] + 1, minlength=len(grams) + 1)
+    return np.cumsum(steps)[: len(grams) - size + 1]
 
 
 class Items:
-    """Shingles, postings and fingerprints of one block of items."""
+    """Shingles, postings and summed signs of one block of items."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         col = pa.array(texts, pa.string())
@@ -96,7 +100,7 @@ class Items:
         self.keys, self.first, self.count = np.unique(self.post, return_index=True, return_counts=True)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.keys >> U(44)] = True
-        self.prints = np.concatenate([fingerprints(signs(g).sum(0, keepdims=True)) for g in self.grams]) if self.grams else np.zeros((0, 2), np.uint64)
+        self.sums = [signs(g).sum(0) for g in self.grams]
 
     def best(self, grams: np.ndarray, hits: np.ndarray, item: int, percent: int) -> tuple[float, int] | None:
         """The most similar window of a document for one of its items: similarity and first word."""
@@ -114,13 +118,16 @@ class Items:
         a, b = int(start[0]), int(start[-1]) + size
         sums = np.zeros((b - a + 1, BITS), np.int32)
         np.cumsum(signs(grams[a:b]), axis=0, out=sums[1:])
-        near = within_radius(fingerprints(sums[start - a + size] - sums[start - a]), self.prints[item])
-        found = None
-        for s in start[near].tolist():
-            low, high = weighted_similarity(grams[s : s + size], self.grams[item])
-            if 100 * low >= percent * high and (found is None or low / high > found[0]):
-                found = (low / high, s)
-        return found
+        total = size + len(self.grams[item])
+        least = -(-percent * total // (100 + percent))
+        near = on_steady_bits(fingerprints(sums[start - a + size] - sums[start - a]), self.sums[item], total - 2 * least)
+        start = start[near]
+        low = lesser_weights(grams[a:b], self.grams[item], size)[start - a]
+        start, low = start[low >= least], low[low >= least]
+        if not len(start):
+            return None
+        k = int(low.argmax())
+        return int(low[k]) / (total - int(low[k])), int(start[k])
 
     def matches(self, data: np.ndarray, offs: np.ndarray, percent: int) -> list[tuple[int, int, float, int, int]]:
         """(row, item id, similarity, first word, words) of each item found in each row of a slice."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from knotwork.llm.decontamination import contaminated, without_contaminated
+from knotwork.llm._shared import text_bytes
+from knotwork.llm.decontamination import Items, contaminated, without_contaminated
 from knotwork.llm.jaccard_join import near_duplicate_classes
 from knotwork.llm.suffix_dedup import repeated_bytes, without_repeats
 from tests.llm import brute
@@ -86,6 +88,24 @@ def test_texts_without_repeats_keep_whole_characters(spark):
     assert kept == {1: ("wn", "z"), 2: ("urs", "z"), 3: (None, "z")}
 
 
+def test_leaks_with_repeated_shingles(spark):
+    items = [(1, "a b " * 6 + "a"), (2, "c " * 30 + "d e f g h i j k l m"), (3, " ".join(f"w{i}" for i in range(40)))]
+    texts = ["b a " * 6 + "b", "x y z " + "b a " * 6 + "b q", "a b " * 300, "c " * 27 + "d e f g h i j k l m", "d e f g h i j k l m " + "c " * 28, " ".join(f"w{i}" for i in range(1, 41))]
+    rows = list(enumerate(texts))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(frame(spark, rows), bench).collect()}
+    assert got == brute.leaks(rows, items) and {(0, 1), (1, 1), (2, 1)} <= got
+
+
+def test_windows_of_short_vocabularies_equal_brute_force():
+    r = random.Random(6)
+    for _ in range(150):
+        item = " ".join(r.choices("ab", k=r.randint(5, 25)))
+        texts = [" ".join(r.choices("ab", k=r.randint(0, 60))) for _ in range(8)]
+        found = Items([7], [item]).matches(*text_bytes(pa.array(texts)), 75)
+        assert {(x[0], x[1]) for x in found} == brute.leaks(list(enumerate(texts)), [(7, item)])
+
+
 def test_leaks_equal_brute_force(spark):
     r = random.Random(5)
     vocabulary = ["".join(r.choices("abcde", k=r.randint(1, 5))) for _ in range(400)]
