@@ -1,14 +1,15 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
 Normalised text is the sequence of its runs of ASCII letters and digits, lowered. What is compared with a
-template is every run of whole lines of a document; the Dice coefficient of the two sets of bigrams must reach
-``percent``. Sizes bound the work: a set that reaches t with b bigrams has between b*t/(2-t) and b*(2-t)/t of its
-own, so at least b*t/(2-t) of the template's bigrams are in the document, and a run of lines stops growing when
-it has too many. Only templates whose bigrams a document holds in that number are candidates.
+template is every run of words of a document, across lines and inside them; the Dice coefficient of the two sets
+of bigrams must reach ``percent``. Sizes bound the work: a set that reaches t with b bigrams has between b*t/(2-t)
+and b*(2-t)/t of its own, so at least b*t/(2-t) of the template's bigrams are in the document, and a run of words
+stops growing when it has too many. Only templates whose bigrams a document holds in that number are candidates.
+The best run starts and ends with bigrams of the template, and its first one does not come again in it.
 
 Defined cases: null, empty and one-word texts match nothing; of runs as similar the first counts, then the
 shorter one; repeated rows are each reported; null doc_ids are reported; columns other than doc_id and text are
-ignored.
+ignored. first_line and n_lines are the lines that the run touches.
 """
 
 from __future__ import annotations
@@ -43,6 +44,16 @@ OUTSIDE = np.ones(256, bool)
 OUTSIDE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
+def neighbours(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the same bigram before (or -1) and after (or the length) each place."""
+    before, after = np.full(len(grams), -1), np.full(len(grams), len(grams))
+    by = np.argsort(grams, kind="stable")
+    same = grams[by][1:] == grams[by][:-1]
+    before[by[1:][same]] = by[:-1][same]
+    after[by[:-1][same]] = by[1:][same]
+    return before, after
+
+
 class Templates:
     """Sets of bigrams of the templates, and one table of all of them."""
 
@@ -58,38 +69,42 @@ class Templates:
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[self.keys >> U(48)] = True
 
-    def best(self, grams: np.ndarray, known: np.ndarray, line: np.ndarray, template: int) -> tuple[float, int, int] | None:
-        """The most similar run of lines of a document: Dice coefficient, first line and lines.
+    def best(self, grams: np.ndarray, known: np.ndarray, unit: np.ndarray, template: int) -> tuple[float, int, int] | None:
+        """The most similar run of units (words or lines) of a document: Dice coefficient, first unit and units.
 
-        grams: the document's bigrams; known: their places in ``keys`` or -1; line: of the word of each bigram,
+        grams: the document's bigrams; known: their places in ``keys`` or -1; unit: of the word of each bigram,
         and of the last word.
         """
         need, size = self.percent, int(self.sizes[template])
+        most = size * (200 - need) // need
         inside = (known >= 0) & self.holds[known, template]
+        before, after = neighbours(grams)
+        last = np.r_[unit[2:] != unit[1:-1], True]  # a bigram ends in the unit of its second word
+        words = bool(last.all())
+        starts = np.flatnonzero(inside) if words else np.searchsorted(unit, np.unique(unit[:-1][inside]))
         found = None
-        order = np.unique(line[:-1][inside])
-        for first in order.tolist():
-            a = int(np.searchsorted(line, first))
-            seen: set[int] = set()
-            both = 0
-            at = a
-            while at < len(grams):
-                last = int(line[at + 1])  # a bigram ends in the line of its second word
-                g = int(grams[at])
-                if g not in seen:
-                    seen.add(g)
-                    both += bool(inside[at])
-                at += 1
-                if at < len(grams) and line[at + 1] == last:
-                    continue
-                if len(seen) * need > size * (200 - need):
-                    break
-                if 200 * both >= need * (len(seen) + size) and (found is None or 2 * both / (len(seen) + size) > found[0]):
-                    found = (2 * both / (len(seen) + size), first, last - first + 1)
+        for a in starts.tolist():
+            end, stop = a, int(after[a]) if words else len(grams)
+            n = both = 0
+            while end < stop and n <= most:
+                begin, end = end, min(stop, max(end + 64, 2 * end - a))
+                new = before[begin:end] < a
+                sizes = n + np.cumsum(new)
+                shared = both + np.cumsum(new & inside[begin:end])
+                n, both = int(sizes[-1]), int(shared[-1])
+                good = np.flatnonzero(last[begin:end] & (sizes <= most) & (200 * shared >= need * (sizes + size)))
+                if len(good):
+                    dice = 2 * shared[good] / (sizes[good] + size)
+                    k = int(dice.argmax())
+                    if found is None or dice[k] > found[0]:
+                        found = (float(dice[k]), int(unit[a]), int(unit[begin + good[k] + 1] - unit[a]) + 1)
         return found
 
-    def matches(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, str, float, int, int]]:
-        """(row, template, Dice coefficient, first line, lines) of all templates found in the rows of a slice."""
+    def matches(self, data: np.ndarray, offs: np.ndarray, words: bool = False) -> list[tuple[int, str, float, int, int]]:
+        """(row, template, Dice coefficient, first line, lines) of all templates found in the rows of a slice.
+
+        Runs of whole lines are compared, or all runs of ``words``.
+        """
         hashes, rows, starts, _ = word_hashes(data, offs, OUTSIDE)
         if len(hashes) < 2 or not len(self.keys):
             return []
@@ -116,8 +131,11 @@ class Templates:
             mine = slice(*np.searchsorted(doc, [d, d + 1]).tolist())
             known[at[mine] - a] = key[mine]
             for t in np.flatnonzero(enough[k]).tolist():
-                if best := self.best(grams[a : b - 1], known, line, t):
-                    found.append((d, self.names[t], *best))
+                if best := self.best(grams[a : b - 1], known, np.arange(b - a) if words else line, t):
+                    dice, first, n = best
+                    if words:
+                        first, n = int(line[first]), int(line[first + n - 1] - line[first]) + 1
+                    found.append((d, self.names[t], dice, first, n))
         return found
 
 
@@ -127,7 +145,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            found = held.value.matches(*text_bytes(part.column("text")))
+            found = held.value.matches(*text_bytes(part.column("text")), words=True)
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
             yield pa.record_batch([part.column("doc_id").take(pa.array([x[0] for x in found], pa.int64())), *(pa.array([x[k + 1] for x in found], t) for k, t in enumerate(kinds))], ["doc_id", "license", "dice", "first_line", "n_lines"])
 

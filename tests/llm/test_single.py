@@ -110,6 +110,27 @@ def test_licences(spark):
     assert got == [(1, "MIT", 1), (2, "MIT-notice", 1), (5, "Apache-2.0-notice", 0)]
 
 
+def test_licences_inside_lines(spark):
+    mit = license_scan.TEMPLATES["MIT"]
+    other = " ".join(f"word{i} of the thing" for i in range(300))
+    rows = [(1, f"{other} {mit} {other}", "en"), (2, "Copyright 2020 Foo. Released under the MIT License.", "en"), (3, mit.replace(" ", "\r"), "en"), (4, f"one\n{other} Licensed under CC BY-NC 4.0. {other}\nthree", "en"), (5, other, "en")]
+    got = sorted((r["doc_id"], r["license"], r["dice"], r["first_line"], r["n_lines"]) for r in license_scan.scan(docs(spark, rows)).collect())
+    assert got == [(1, "MIT", 1.0, 0, 1), (2, "MIT-notice", 1.0, 0, 1), (3, "MIT", 1.0, 0, 1), (4, "CC-BY-NC-4.0-notice", 1.0, 1, 1)]
+
+
+def test_licence_windows_equal_brute_force():
+    r = random.Random(4)
+    own = {("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c"), ("c", "b")}
+    t = license_scan.Templates({"x": "a b c d a c b"}, 70)
+    for _ in range(200):
+        words = r.choices("abcde", k=r.randint(0, 40))
+        runs = [set(zip(words[i:j], words[i + 1 : j])) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]  # noqa: B905
+        best = max((2 * len(b & own) / (len(b) + len(own)) for b in runs), default=0)
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        got = t.matches(data, np.array([0, len(data)]), words=True)
+        assert (got[0][2] if got else None) == (pytest.approx(best) if best >= 0.7 else None)
+
+
 def test_licence_runs_equal_brute_force():
     r = random.Random(3)
     template = license_scan.TEMPLATES["ISC"]
