@@ -5,7 +5,9 @@ template is every run of words of a document, across lines and inside them; the
 of bigrams must reach ``percent``. Sizes bound the work: a set that reaches t with b bigrams has between b*t/(2-t)
 and b*(2-t)/t of its own, so at least b*t/(2-t) of the template's bigrams are in the document, and a run of words
 stops growing when it has too many. Only templates whose bigrams a document holds in that number are candidates.
-The best run starts and ends with bigrams of the template, and its first one does not come again in it.
+The best run starts and ends with bigrams of the template, and its first one does not come again in it. Of runs
+that overlap and whose templates are of one family only the one that shares most bigrams with its template is
+reported, then the more similar one: a version's text is not reported as that of another version too.
 
 Defined cases: null, empty and one-word texts match nothing; of runs as similar the first counts, then the
 shorter one; repeated rows are each reported; null doc_ids are reported; columns other than doc_id and text are
@@ -15,6 +17,7 @@ ignored. first_line and n_lines are the lines that the run touches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,38 @@ TEMPLATES = {
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, see https://www.gnu.org/licenses/.""",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, see https://www.gnu.org/licenses/.""",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "EPL-1.0": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
 
+
+def all_templates() -> dict[str, str]:
+    """TEMPLATES, and the whole texts of ``licenses``, named with -text."""
+    found = dict(TEMPLATES)
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        found[f"{path.stem}-text"] = path.read_text(encoding="utf-8")
+    return found
+
+
+def family(name: str) -> str:
+    """Licences of one family share most of their words: the versions of one, and the GNU ones."""
+    first = name.split("-")[0]
+    return "GPL" if first in ("LGPL", "AGPL") else first
+
+
 OUTSIDE = np.ones(256, bool)
 OUTSIDE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
@@ -66,8 +99,8 @@ class Templates:
         self.keys = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
         self.holds = np.stack([np.isin(self.keys, s) for s in sets], 1) if sets else np.zeros((0, 0), bool)
         self.sizes = self.holds.sum(0)
-        self.sieve = np.zeros(1 << 16, bool)
-        self.sieve[self.keys >> U(48)] = True
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[self.keys >> U(44)] = True
 
     def best(self, grams: np.ndarray, known: np.ndarray, unit: np.ndarray, template: int) -> tuple[float, int, int] | None:
         """The most similar run of units (words or lines) of a document: Dice coefficient, first unit and units.
@@ -82,8 +115,12 @@ class Templates:
         last = np.r_[unit[2:] != unit[1:-1], True]  # a bigram ends in the unit of its second word
         words = bool(last.all())
         starts = np.flatnonzero(inside) if words else np.searchsorted(unit, np.unique(unit[:-1][inside]))
+        rest = np.cumsum((inside & (after == len(grams)))[::-1])[::-1]
         found = None
         for a in starts.tolist():
+            ahead = int(rest[a])  # no run from here on shares more
+            if 200 * ahead < need * (ahead + size) or (found and 2 * ahead / (ahead + size) <= found[0]):
+                break
             end, stop = a, int(after[a]) if words else len(grams)
             n = both = 0
             while end < stop and n <= most:
@@ -109,7 +146,7 @@ class Templates:
         if len(hashes) < 2 or not len(self.keys):
             return []
         grams = shingles(hashes, 2)
-        at = np.flatnonzero(self.sieve[grams >> U(48)])
+        at = np.flatnonzero(self.sieve[grams >> U(44)])
         doc = np.searchsorted(rows, at, "right") - 1
         key = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
         good = (self.keys[key] == grams[at]) & (at + 2 <= rows[doc + 1])
@@ -130,18 +167,34 @@ class Templates:
             known = np.full(b - a - 1, -1)
             mine = slice(*np.searchsorted(doc, [d, d + 1]).tolist())
             known[at[mine] - a] = key[mine]
+            runs = []
             for t in np.flatnonzero(enough[k]).tolist():
                 if best := self.best(grams[a : b - 1], known, np.arange(b - a) if words else line, t):
-                    dice, first, n = best
-                    if words:
-                        first, n = int(line[first]), int(line[first + n - 1] - line[first]) + 1
-                    found.append((d, self.names[t], dice, first, n))
+                    runs.append((t, *best))
+            for t, dice, first, n in self.best_of_families(grams[a:b], runs) if words else runs:
+                if words:
+                    first, n = int(line[first]), int(line[first + n - 1] - line[first]) + 1
+                found.append((d, self.names[t], dice, first, n))
         return found
 
+    def best_of_families(self, grams: np.ndarray, runs: list[tuple[int, float, int, int]]) -> list[tuple[int, float, int, int]]:
+        """Runs (template, Dice coefficient, first word, words) without those that overlap a better one of their family."""
+
+        def worth(run: tuple[int, float, int, int]) -> tuple[int, float]:
+            t, dice, first, n = run
+            return round(dice * (len(np.unique(grams[first : first + n - 1])) + int(self.sizes[t])) / 2), dice
+
+        kept: list[tuple[int, float, int, int]] = []
+        for run in sorted(runs, key=worth, reverse=True):
+            t, _, first, n = run
+            if all(family(self.names[u]) != family(self.names[t]) or first + n <= f or f + m <= first for u, _, f, m in kept):
+                kept.append(run)
+        return sorted(kept)
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80) -> DataFrame:
     """(doc_id, license, dice, first_line, n_lines) for each licence found in each row of ``docs`` (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES, percent))
+    held = docs.sparkSession.sparkContext.broadcast(Templates(templates or all_templates(), percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):

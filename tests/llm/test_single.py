@@ -118,6 +118,23 @@ def test_licences_inside_lines(spark):
     assert got == [(1, "MIT", 1.0, 0, 1), (2, "MIT-notice", 1.0, 0, 1), (3, "MIT", 1.0, 0, 1), (4, "CC-BY-NC-4.0-notice", 1.0, 1, 1)]
 
 
+def test_versions_of_licences():
+    every = license_scan.all_templates()
+    t = license_scan.Templates(every, 80)
+    other = "of the thing and other words " * 20
+
+    def found(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [x[1] for x in t.matches(data, np.array([0, len(data)]), words=True)]
+
+    for name in every:
+        assert found(f"{other} {every[name]} {other}") == [name], name
+    assert found("This is licensed under the GNU General Public License, version 2.") == ["GPL-2.0-notice"]
+    assert found("one " + every["GPL-2.0-notice"] + " two " + every["GPL-3.0-notice"]) == ["GPL-3.0-notice", "GPL-2.0-notice"]
+    copy = every["LGPL-2.1-text"].split()
+    assert found(" ".join(copy[:2000] + ["changed"] * 40 + copy[2040:])) == ["LGPL-2.1-text"]
+
+
 def test_licence_windows_equal_brute_force():
     r = random.Random(4)
     own = {("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c"), ("c", "b")}
