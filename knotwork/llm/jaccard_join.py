@@ -3,7 +3,8 @@
 Documents are sets of distinct five-word shingles. Documents with equal sets are one node. The nodes that
 share a rare shingle are put into groups of similar documents; a group's token union bounds what a query
 document can have in common with any member, and only groups whose bound reaches the need are opened and
-compared exactly, against all their members at once.
+compared exactly, against all their members at once. Classes need one link of a query into a piece of a group;
+the number of links needs them all, and opens each class once more.
 
 Which pairs can link at all follows from one global order of the shingles, rare ones first: two sets with
 Jaccard similarity t or more share one of their first n - ceil(t * n) + 1 shingles. The order is a hint
@@ -150,25 +151,40 @@ def _runs(buckets: int):
     return run
 
 
-def _opened(percent: int):
-    def links(members: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-        tokens = np.concatenate([g for _, g in members])
-        owner = np.repeat(np.arange(len(members)), [len(g) for _, g in members])
+class Members:
+    """Members (node, copies, shingles) of a piece of a group, side by side."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]], percent: int):
+        self.percent, self.nodes = percent, [node for node, _, _ in members]
+        self.copies = np.array([copies for _, copies, _ in members])
+        tokens = np.concatenate([g for _, _, g in members])
+        owner = np.repeat(np.arange(len(members)), [len(g) for _, _, g in members])
         by = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[by], owner[by]
-        union = tokens[np.r_[True, tokens[1:] != tokens[:-1]]]
-        sizes = np.array([len(g) for _, g in members])
-        found = []
-        for node, grams in queries:
-            at = np.minimum(np.searchsorted(union, grams), len(union) - 1)
-            if 100 * int((union[at] == grams).sum()) < percent * len(grams):
-                continue
-            left, right = np.searchsorted(tokens, grams, "left"), np.searchsorted(tokens, grams, "right")
-            n = right - left
-            at = np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            both = np.bincount(owner[at], minlength=len(members))
-            good = np.flatnonzero(100 * both >= percent * (len(grams) + sizes - both))
-            found += [(node, members[k][0]) for k in good[:1].tolist() if members[k][0] != node]
+        self.tokens, self.owner = tokens[by], owner[by]
+        self.union = self.tokens[np.r_[True, self.tokens[1:] != self.tokens[:-1]]]
+        self.sizes = np.array([len(g) for _, _, g in members])
+
+    def linked(self, grams: np.ndarray) -> np.ndarray:
+        """Places of all members that link with a set of shingles."""
+        at = np.minimum(np.searchsorted(self.union, grams), len(self.union) - 1)
+        if 100 * int((self.union[at] == grams).sum()) < self.percent * len(grams):
+            return np.zeros(0, np.int64)
+        left, right = np.searchsorted(self.tokens, grams, "left"), np.searchsorted(self.tokens, grams, "right")
+        n = right - left
+        at = np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= self.percent * (len(grams) + self.sizes - both))
+
+
+def _opened(percent: int, count: bool):
+    def links(members: list[tuple[int, int, np.ndarray]], queries: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        held, found = Members(members, percent), []
+        for node, _, grams in queries:
+            good = held.linked(grams)
+            if not count:
+                found += [(node, held.nodes[k]) for k in good[:1].tolist() if held.nodes[k] != node]
+            elif len(good):
+                found.append((node, int(held.copies[good].sum())))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +193,13 @@ def _opened(percent: int):
             for part in text_slices(iter([batch])):
                 rows = shingle_rows(*text_bytes(part.column("text")))
                 keys = zip(*(part.column(c).to_pylist() for c in ("label", "sub", "chunk")), strict=True)
-                for now, node, role, grams in zip(keys, part.column("node").to_pylist(), part.column("role").to_pylist(), rows, strict=True):
+                copies = part.column("copies").to_pylist() if count else [1] * part.num_rows
+                for now, node, role, times, grams in zip(keys, part.column("node").to_pylist(), part.column("role").to_pylist(), copies, rows, strict=True):
                     if now != key:
                         if members and queries:
                             found += links(members, queries)
                         key, members, queries = now, [], []
-                    (queries if role else members).append((node, grams))
+                    (queries if role else members).append((node, times, grams))
             if len(found) > 10_000:
                 yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
                 found = []
@@ -193,11 +210,12 @@ def _opened(percent: int):
     return run
 
 
-def open_groups(asked: DataFrame, members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def open_groups(asked: DataFrame, members: DataFrame, texts: DataFrame, percent: int, count: bool = False) -> DataFrame:
     """Links (a, b) of the queries ``asked`` (node, label) into the groups ``members`` (label, node).
 
     Large groups are split, and so are a group's queries, so that no piece of work exceeds MEMBERS and
-    QUERIES documents. A query gets one link into each piece it links with: its members are one class.
+    QUERIES documents. A query gets one link into each piece it links with: its members are one class. With
+    ``count`` it gets all: b is the number of rows, by the ``copies`` in ``texts``, that it links with in a piece.
     """
     sizes = members.groupBy("label").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("subs"))
     chunks = asked.groupBy("label").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))
@@ -207,11 +225,11 @@ def open_groups(asked: DataFrame, members: DataFrame, texts: DataFrame, percent:
     work = q.union(m).join(texts, "node")
     spark = asked.sparkSession
     dealt = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "sub", "chunk")
-    return in_arrow(dealt.sortWithinPartitions("label", "sub", "chunk", "role"), _opened(percent), "a long, b long")
+    return in_arrow(dealt.sortWithinPartitions("label", "sub", "chunk", "role"), _opened(percent, count), "a long, b long")
 
 
-def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); see the module's text."""
+def _classified(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their sets' nodes (doc_id, n, node), classes of linked nodes (node, label) and texts (node, text)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     marks = cut(in_arrow(rows, _fingerprints, FINGERPRINT), "sets")
@@ -260,6 +278,32 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not second.isEmpty():
         labels = components(first.union(second))
 
+    return sets.select("doc_id", "n", "node"), labels, texts
+
+
+def _named(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node) of every row."""
     classes = sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return classes.join(least, "label", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return classes.join(least, "label", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+
+
+def near_duplicate_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); see the module's text."""
+    sets, labels, _ = _classified(docs, percent)
+    return _named(sets, labels).drop("node")
+
+
+def near_duplicate_links(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): n_links is the number of other rows that the row links with.
+
+    Links never leave a class, so each class is opened once more, by all its nodes, and every pair is compared.
+    """
+    sets, labels, texts = _classified(docs, percent)
+    copies = sets.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
+    labels = cut(labels, "labels")
+    held = texts.join(labels.select("node"), "node", "left_semi").join(copies, "node")
+    linked = open_groups(labels, labels.select("label", "node"), held, percent, count=True)
+    linked = linked.groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("linked"))
+    counts = copies.join(linked, "node", "left").select("node", (F.coalesce("linked", "copies") - 1).alias("n_links"))
+    return _named(sets, labels).join(counts, "node", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -9,7 +9,7 @@ import pytest
 
 from knotwork.llm._shared import text_bytes
 from knotwork.llm.decontamination import Items, contaminated, without_contaminated
-from knotwork.llm.jaccard_join import near_duplicate_classes
+from knotwork.llm.jaccard_join import near_duplicate_classes, near_duplicate_links
 from knotwork.llm.suffix_dedup import repeated_bytes, without_repeats
 from tests.llm import brute
 
@@ -56,6 +56,16 @@ def test_classes_equal_brute_force(spark, seed):
     assert got == brute.classes(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_equal_brute_force(spark, seed):
+    rows = made(seed)
+    rows += [(d + 1000, t) for d, t in rows[:20]]
+    sets = {d: brute.shingle_set(t) for d, t in rows}
+    links = {a: sum(4 * len(x & y) >= 3 * len(x | y) and bool(x) and a != b for b, y in sets.items()) for a, x in sets.items()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in near_duplicate_links(frame(spark, rows)).collect()}
+    assert got == {d: (*c, links[d]) for d, c in brute.classes(rows).items()} and max(links.values()) > 20
+
+
 def test_classes_of_empty_and_repeated_rows(spark):
     assert near_duplicate_classes(frame(spark, [(1, "a")]).where("doc_id > 5")).collect() == []
     rows = [(7, "same words again and again here"), (7, "same words again and again here"), (None, "same words again and again here"), (9, "")]
