@@ -192,14 +192,15 @@ def louvain(e: DataFrame, take: str = "max") -> DataFrame:
     return _on_matrix(e, lambda ids, a: pd.DataFrame({"v": ids, "part": louvain_moves(a, take).astype("int32")}), "v long, part int", 2000)
 
 
-def louvain_rounds(e: DataFrame, rounds: int = 10, seed: int = 1) -> DataFrame:
+def louvain_rounds(e: DataFrame, rounds: int | None = 10, seed: int = 1) -> DataFrame:
     """(v, part) by Louvain moves on the cluster: in a round half of the vertices look at their neighbours'
-    modules as they stood before it, and move where the gain is greatest and positive."""
+    modules as they stood before it, and move where the gain is greatest and positive. Ends when no vertex of
+    either half would move, or after ``rounds``; with None it goes on until then, and fails after 500."""
     e = cut(weighted(e).where("src <> dst").groupBy("src", "dst").agg(F.sum("w").cast("double").alias("w")), "edges")
     total = e.agg(F.sum("w")).first()[0] or 1.0
     k = cut(e.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k")), "ends")
     parts = k.select("v", F.col("v").alias("part"))
-    for step in range(rounds):
+    for step in range(500 if rounds is None else rounds):
         sums = parts.join(k, "v").groupBy("part").agg(F.sum("k").alias("total"))
         near = e.join(parts.withColumnsRenamed({"v": "dst"}), "dst").groupBy(F.col("src").alias("v"), "part").agg(F.sum("w").alias("into"))
         own = parts.join(k, "v").join(sums, "part").select("v", F.col("part").alias("home"), "k", F.col("total").alias("home_total"))
@@ -208,9 +209,12 @@ def louvain_rounds(e: DataFrame, rounds: int = 10, seed: int = 1) -> DataFrame:
         both = both.join(inside, ["v", "home"], "left").where("part <> home")
         gain = (F.col("into") - F.coalesce("stay", F.lit(0.0))) * 2 / total - 2 * F.col("k") * (F.col("total") - (F.col("home_total") - F.col("k"))) / total**2
         moving = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "v"), F.lit(2)) == 0
-        best = both.where(moving).select("v", F.struct(gain.alias("g"), (-F.col("part")).alias("p")).alias("b")).groupBy("v").agg(F.max("b").alias("b")).where("b.g > 1e-12")
-        new = cut(parts.join(best, "v", "left").select("v", F.coalesce(-F.col("b.p"), "part").alias("part"), F.col("b").isNotNull().alias("moved")), "parts")
-        parts = new.select("v", "part")
-        if step and new.where("moved").isEmpty():
+        best = both.select("v", F.struct(gain.alias("g"), (-F.col("part")).alias("p")).alias("b")).groupBy("v").agg(F.max("b").alias("b")).where("b.g > 1e-12")
+        new = cut(parts.join(best, "v", "left").select("v", F.when(moving, -F.col("b.p")).alias("to"), "part", F.col("b").isNotNull().alias("would")), "parts")
+        parts = new.select("v", F.coalesce("to", "part").alias("part"))
+        if new.where("would").isEmpty():
             break
+    else:
+        if rounds is None:
+            raise RuntimeError("the modules did not settle")
     return parts

@@ -258,8 +258,8 @@ add("assignment_counts", "g7", lambda e: partition.counts_of_assignment(rep.vert
 add("fennel_pass", "u5", lambda e: partition.stream_partition(e.drop("w"), 8))
 add("fennel_stream_tempered", "u5", lambda e: partition.stream_partition(e.drop("w"), 8, passes=5, rate=1.7, cost="derivative"))
 add("ldg", "u5", lambda e: partition.ldg_bisection(e.drop("w")))
-add("restream_pass", "g7", lambda e: partition.restreamed(e.drop("w"), 8, passes=2, batches=2))
-add("label_propagation", "u5", lambda e: partition.label_propagation(e.drop("w"), 8, rounds=2))
+add("restream_pass", "g7", lambda e: partition.restreamed(e.drop("w"), 8))
+add("label_propagation", "u5", lambda e: partition.label_propagation(e.drop("w"), 8))
 
 # Traversal.
 
@@ -357,7 +357,7 @@ add("newman_eigenvector", "n3", community.newman_eigenvector)
 add("girvan_newman", "n3", lambda e: community.girvan_newman(e, 3))
 add("louvain", "n3", community.louvain)
 add("louvain_least_gain", "n3", lambda e: community.louvain(e, take="min"))
-add("louvain_rounds", "g7", lambda e: community.louvain_rounds(e, rounds=2))
+add("louvain_rounds", "g7", lambda e: community.louvain_rounds(e, rounds=None))
 add("spectral_parts", "n3", lambda e: spectral.spectral_parts(e, k=4))
 add("spectrum", "n3", lambda e: rounded(spectral.spectrum(e), "value"))
 add("fiedler_vector", "n3", lambda e: rounded(spectral.fiedler_vector(e), "x"))

@@ -287,3 +287,33 @@ def test_markov_clusters(spark):
 def test_similarity(spark, triangle):
     a = triangle.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("w").cast("double").alias("val"))
     assert {round(r["val"], 6) for r in apps.vertex_similarity(a, a).collect()} == {round(1 / 3, 6)}
+
+
+def test_louvain_rounds_settle(spark):
+    """Modules of a ring of cliques after which no single move gains; two rounds leave some."""
+    n, size = 12, 5
+    e = {(c * size + i, c * size + j) for c in range(n) for i in range(size) for j in range(size) if i != j}
+    e |= {x for c in range(n) for a, b in [(c * size, (c + 1) % n * size + 1)] for x in ((a, b), (b, a))}
+    near = {}
+    for a, b in e:
+        near.setdefault(a, []).append(b)
+    part = {r["v"]: r["part"] for r in community.louvain_rounds(spark.createDataFrame(sorted(e), "src long, dst long").selectExpr("*", "1.0 as w"), rounds=None).collect()}
+    total = {}
+    for v, p in part.items():
+        total[p] = total.get(p, 0) + len(near[v])
+    for v, home in part.items():
+        into = {p: sum(part[u] == p for u in near[v]) for p in {part[u] for u in near[v]} | {home}}
+        for p in set(into) - {home}:
+            assert (into[p] - into[home]) / len(e) <= len(near[v]) * (total[p] - total[home] + len(near[v])) / len(e) ** 2 + 1e-9
+
+
+def test_registered_rounds_are_the_operators_own(spark, monkeypatch):
+    from knotwork import queries
+
+    asked = {}
+    monkeypatch.setattr(queries, "graph", lambda *_: spark.createDataFrame([(1, 2, 1)], "src long, dst long, w long"))
+    for module, name in ((queries.partition, "restreamed"), (queries.partition, "label_propagation"), (queries.community, "louvain_rounds")):
+        monkeypatch.setattr(module, name, lambda e, *k, name=name, **options: asked.update({name: options}) or e)
+    for name in ("restream_pass", "label_propagation", "louvain_rounds"):
+        queries.QUERIES[name](spark, "")
+    assert asked == {"restreamed": {}, "label_propagation": {}, "louvain_rounds": {"rounds": None}}
