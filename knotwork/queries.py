@@ -437,7 +437,7 @@ _made("forest_fire", lambda s, n: sequential.forest_fire(s, n, 0.3, 0.2))
 _made("spatial_distribution", lambda s, n: sequential.spatial_distribution(s, n, 0.5))
 _made("hierarchy_with_shortcuts", lambda s, n: sequential.hierarchy_with_shortcuts(s, n, 3, n // 4, 2.0, 2.0))
 _made("degree_sequence_graph", lambda s, n: sequential.from_degree_sequence(s, [3 if k % 2 else 2 for k in range(n - n % 4)]))
-_made("largest_s_graph", lambda s, n: sequential.largest_s_graph(s, [4 if k % 2 else 2 for k in range(min(n, 1000))]))
+_made("largest_s_graph", lambda s, n: sequential.largest_s_graph(s, [4 if k % 2 else 2 for k in range(n)]))
 _made("uniform_regular", lambda s, n: sequential.uniform_regular(s, n, 4))
 _made("random_permutation", lambda s, n: vector.random_permutation(s, n, 1))
 _made("select_candidates", lambda s, n: vector.select_candidates(s, 64, n, 1))
@@ -455,7 +455,7 @@ add("fennel_parked_hubs", "u5", lambda e: partition.stream_partition(e.drop("w")
 
 add("partition_testbed", "u5", lambda e: rounded(experiments.testbed(e, ks=(2, 8), gammas=(1.5, 2.0), trials=1), "lambda", "balance"))
 QUERIES["lambda_sweep_random"] = lambda spark, sf_dir: rounded(experiments.lambda_over_densities(spark, views.table(spark, sf_dir, "supplier").count(), (0.05, 0.1, 0.2), 4), "lambda")
-QUERIES["lambda_sweep_kronecker"] = lambda spark, sf_dir: rounded(experiments.lambda_over_factors(spark, 7, (4, 8), 4), "lambda")
+QUERIES["lambda_sweep_kronecker"] = lambda spark, sf_dir: rounded(experiments.lambda_over_factors(spark, max(1, (views.table(spark, sf_dir, "supplier").count() - 1).bit_length()), (4, 8), 4), "lambda")
 
 
 def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,3 +317,16 @@ def test_registered_rounds_are_the_operators_own(spark, monkeypatch):
     for name in ("restream_pass", "label_propagation", "louvain_rounds"):
         queries.QUERIES[name](spark, "")
     assert asked == {"restreamed": {}, "label_propagation": {}, "louvain_rounds": {"rounds": None}}
+
+
+def test_generators_grow_with_the_table(spark, monkeypatch):
+    from knotwork import queries
+
+    asked = []
+    monkeypatch.setattr(queries.views, "table", lambda *_: spark.range(1500))
+    monkeypatch.setattr(queries, "rounded", lambda df, *_: df)
+    monkeypatch.setattr(queries.sequential, "largest_s_graph", lambda s, degrees: asked.append(len(degrees)))
+    monkeypatch.setattr(queries.experiments, "lambda_over_factors", lambda s, scale, *_: asked.append(scale))
+    queries.QUERIES["largest_s_graph"](spark, "")
+    queries.QUERIES["lambda_sweep_kronecker"](spark, "")
+    assert asked == [1500, 11]
