@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -36,5 +36,5 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/knotwork-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
