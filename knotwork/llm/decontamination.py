@@ -1,16 +1,19 @@
-"""Benchmark decontamination: a shingle index finds the windows, SimHash and an exact count hold them to the measure.
+"""Benchmark decontamination: SimHash fingerprints of item-sized windows, found by multi-index Hamming blocks.
 
 Each benchmark item of L words is held against the windows of L words of every document (the whole document,
 where it is shorter). The measure: five-word shingles weighted by their number of occurrences, the sum of the
 lesser weights over the sum of the greater ones, at least ``percent``.
 
-Only windows that share a shingle with the item can reach any positive similarity. An inverted index of the items'
-shingles finds these, and a sliding count of shared shingles bounds each. What is left is compared by SimHash: a
-fingerprint is the signs of BITS sums over the shingles, and a window as similar as ``percent`` differs from the item
-by so few shingles that a sum of the item beyond that number keeps its sign. Such bits are steady, and a window that
-differs in one of them is dropped, block by block of a fingerprint. A radius would lose matches: one shingle that
-occurs often rules all signs. Nothing is lost by the steady bits; where an item has none, all windows go to the exact
-count.
+Every document's windows get fingerprints for each length that items have: the signs of BITS sums over their shingles,
+read from running sums. A fingerprint is cut into BLOCKS blocks. Two that differ in RADIUS bits at most differ in
+RADIUS / BLOCKS bits at most in some block, so the items that agree so far in any block are all within the radius,
+and about one unrelated window in a hundred is among them. What is within the radius is verified by the exact measure, over all
+windows of that document. Windows of long items are taken every ``n // STRIDE`` shingles, and at a document's ends.
+
+What the radius leaves out: two windows of unlike shingles at a similarity of 75 % differ in 22 of 128 bits on
+average, at a stride's greatest offset in 28, standard deviation 4.7; RADIUS is three deviations beyond that. Fingerprints
+say little where one shingle occurs often, since it rules all signs: where windows or items have repeated shingles,
+the exact measure decides whatever their bits.
 
 Defined cases: null, empty or short texts (under five words) match nothing, nor do items of under five words or
 null; of windows as similar the first is reported; repeated rows and repeated items are each reported; columns
@@ -30,6 +33,14 @@ from knotwork.llm._shared import in_arrow, text_bytes, text_slices
 from knotwork.llm._text import U, mix, shingles, word_hashes
 
 K, BITS = 5, 128
+#: Hamming radius of the fingerprints, and blocks that a fingerprint is cut into (of 64 bits each).
+RADIUS, BLOCKS = 43, 2
+#: Windows of n shingles are taken every max(1, n // STRIDE) shingles: one is within n / 12 of any other.
+STRIDE = 6
+#: Items of one length that are held against a row of windows at a time.
+ABREAST = 16
+#: Words whose running sums are held at a time.
+SUMMED = 1 << 14
 #: Items that are broadcast at a time, by the bytes of their texts.
 BLOCK_BYTES = 16 << 20
 
@@ -37,26 +48,37 @@ BLOCK_BYTES = 16 << 20
 def signs(grams: np.ndarray) -> np.ndarray:
     """A row of BITS ones and minus ones for each shingle."""
     wide = np.stack([mix(grams ^ U(0xA0761D6478BD642F)), mix(grams ^ U(0xE7037ED1A0B428DB))], 1)
-    return np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+    return np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").view(np.int8) * np.int8(2) - np.int8(1)
 
 
-def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """Fingerprints, as rows of two words, of summed signs."""
-    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)
+def running_sums(rows: np.ndarray, kind: type) -> np.ndarray:
+    """Sums of the first 0, 1, ... rows; inside strips side by side, then from strip to strip."""
+    wide = 64
+    strips = np.zeros((len(rows) // wide + 1, wide, rows.shape[1]), kind)
+    strips.reshape(-1, rows.shape[1])[1 : len(rows) + 1] = rows
+    for k in range(1, wide):
+        strips[:, k] += strips[:, k - 1]
+    strips[1:] += np.cumsum(strips[:-1, -1], axis=0, dtype=kind)[:, None]
+    return strips.reshape(-1, rows.shape[1])[: len(rows) + 1]
 
 
-def on_steady_bits(windows: np.ndarray, sums: np.ndarray, apart: int) -> np.ndarray:
-    """Which windows have the item's signs wherever ``apart`` shingles more or less cannot turn them.
+def fingerprints(positive: np.ndarray) -> np.ndarray:
+    """Fingerprints, as rows of two words, from the signs of sums."""
+    return np.packbits(positive, axis=1, bitorder="little").view(np.uint64)
 
-    sums: the item's summed signs; each shingle that only one side has, or has once more, moves a sum by one.
-    """
-    steady = fingerprints(np.abs(sums)[None] - apart)[0]
-    item = fingerprints(sums[None])[0]
-    near = np.arange(len(windows))
-    for block in np.flatnonzero(steady):
-        near = near[((windows[near, block] ^ item[block]) & steady[block]) == 0]
-    out = np.zeros(len(windows), bool)
-    out[near] = True
+
+def in_some_block(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which windows, in rows by block, differ from the item in RADIUS // BLOCKS bits at most in some block."""
+    first, second = (np.bitwise_count(windows[k] ^ item[k]) <= RADIUS // BLOCKS for k in range(BLOCKS))
+    return first | second
+
+
+def repeats(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each shingle the place of the last one before it, of its document, that is the same; -1 if none is."""
+    by = np.lexsort((np.arange(len(grams)), grams, doc))
+    same = (grams[by][1:] == grams[by][:-1]) & (doc[by][1:] == doc[by][:-1])
+    out = np.full(len(grams), -1)
+    out[by[1:][same]] = by[:-1][same]
     return out
 
 
@@ -100,28 +122,72 @@ class Items:
         self.keys, self.first, self.count = np.unique(self.post, return_index=True, return_counts=True)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.keys >> U(44)] = True
-        self.sums = [signs(g).sum(0) for g in self.grams]
+        self.prints = fingerprints(np.stack([signs(g).sum(0, dtype=np.int64) > 0 for g in self.grams])) if self.ids else np.zeros((0, 2), np.uint64)
+        self.sizes = np.array([len(g) for g in self.grams], np.int64)
+        self.plain = np.array([len(np.unique(g)) == len(g) for g in self.grams], bool)
+
+    def near(self, grams: np.ndarray, room: np.ndarray, rel: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(starts, items) of the windows within the radius of an item, and how many passed a block.
+
+        room: shingles from each place to its document's end; rel: those before it. A shorter document is one window.
+        """
+        starts, found, passed = [], [], 0
+        lengths = np.unique(self.sizes[self.plain])
+        if not len(lengths):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        begins = np.flatnonzero((rel == 0) & (room > 0))
+        ends = begins + room[begins]
+        most = int(lengths[-1])
+        kind = np.int16 if SUMMED + most < 32768 else np.int32
+        for a in range(0, len(grams), SUMMED):
+            own = grams[a : a + SUMMED + most]
+            sums = running_sums(signs(own), kind)
+            here = room[a : a + SUMMED]
+            for n in lengths[lengths <= len(own)].tolist():
+                step = max(1, n // STRIDE)
+                up = min(len(here), len(own) - n + 1)
+                at = np.arange(0, up, step)
+                words = [fingerprints(sums[n : n + up : step] > sums[:up:step] if step >= 4 else (sums[n : n + up] > sums[:up])[::step])]
+                if step > 1:  # the first and last windows of the documents
+                    i, j = np.searchsorted(begins, (a, a + up))
+                    k, m = np.searchsorted(ends, (a + n, a + n + up))
+                    more = np.concatenate([begins[i:j][ends[i:j] - begins[i:j] >= n], ends[k:m][ends[k:m] - begins[k:m] > n] - n]) - a
+                    at = np.concatenate([at, more])
+                    words.append(fingerprints(sums[more + n] > sums[more]))
+                windows = np.ascontiguousarray(np.concatenate(words).T)
+                fits = here[at] >= n
+                items = np.flatnonzero(self.plain & (self.sizes == n))
+                for j in range(0, len(items), ABREAST):
+                    k, some = np.nonzero(in_some_block(windows, self.prints[items[j : j + ABREAST]].T[:, :, None]) & fits)
+                    k = items[j + k]
+                    passed += len(some)
+                    good = np.bitwise_count(windows[:, some] ^ self.prints[k].T).sum(0) <= RADIUS
+                    starts.append(a + at[some[good]])
+                    found.append(k[good])
+            i, j = np.searchsorted(begins, (a, a + SUMMED))
+            whole = begins[i:j][ends[i:j] - begins[i:j] < most] - a
+            windows = fingerprints(sums[whole + here[whole]] > sums[whole])
+            for j, w in enumerate(whole.tolist()):
+                items = np.flatnonzero(self.plain & (self.sizes > here[w]) & (percent * self.sizes <= 100 * here[w]))
+                items = items[in_some_block(self.prints[items].T, windows[j])]
+                items = items[np.bitwise_count(self.prints[items] ^ windows[j]).sum(1) <= RADIUS]
+                starts.append(np.full(len(items), a + w))
+                found.append(items)
+        return np.concatenate(starts).astype(np.int64), np.concatenate(found).astype(np.int64), passed
 
     def best(self, grams: np.ndarray, hits: np.ndarray, item: int, percent: int) -> tuple[float, int] | None:
-        """The most similar window of a document for one of its items: similarity and first word."""
+        """The most similar window of a document for an item, by the exact measure: similarity and first word."""
         size = min(self.words[item] - K + 1, len(grams))
         last = len(grams) - size
-        marks = np.zeros(len(grams) + 1, np.int32)
-        marks[hits + 1] = 1
-        marks = np.cumsum(marks)
         low, high = max(0, int(hits[0]) - size + 1), min(last, int(hits[-1]))
         start = np.arange(low, high + 1)
-        shared = marks[start + size] - marks[start]
-        start = start[shared * (100 + percent) >= percent * (size + len(self.grams[item]))]
+        shared = np.searchsorted(hits, start + size) - np.searchsorted(hits, start)
+        total = size + len(self.grams[item])
+        least = -(-percent * total // (100 + percent))
+        start = start[shared >= least]
         if not len(start):
             return None
         a, b = int(start[0]), int(start[-1]) + size
-        sums = np.zeros((b - a + 1, BITS), np.int32)
-        np.cumsum(signs(grams[a:b]), axis=0, out=sums[1:])
-        total = size + len(self.grams[item])
-        least = -(-percent * total // (100 + percent))
-        near = on_steady_bits(fingerprints(sums[start - a + size] - sums[start - a]), self.sums[item], total - 2 * least)
-        start = start[near]
         low = lesser_weights(grams[a:b], self.grams[item], size)[start - a]
         start, low = start[low >= least], low[low >= least]
         if not len(start):
@@ -135,23 +201,38 @@ class Items:
         if len(hashes) < K or not len(self.keys):
             return []
         grams = shingles(hashes, K)
-        at = np.flatnonzero(self.sieve[grams >> U(44)])
-        doc = np.searchsorted(rows, at, "right") - 1
+        doc = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+        place = np.arange(len(grams))
+        room, rel = np.maximum(0, rows[1:][doc] - K + 1 - place), place - rows[:-1][doc]
+        start, item, _ = self.near(grams, room, rel, percent)
+        pairs = np.unique(np.stack([doc[start], item]), axis=1)
+
+        # For the exact measure: where the documents hold an item's shingles.
+        at = np.flatnonzero(self.sieve[grams >> U(44)] & (room > 0))
         key = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
-        good = (self.keys[key] == grams[at]) & (at + K <= rows[doc + 1])
-        at, doc, key = at[good], doc[good], key[good]
+        good = self.keys[key] == grams[at]
+        at, key = at[good], key[good]
         n = self.count[key]
         where = np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, at, doc = self.owner[where], np.repeat(at, n), np.repeat(doc, n)
-        by = np.lexsort((at, item, doc))
-        item, at, doc = item[by], at[by], doc[by]
-        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), True]) if len(by) else np.zeros(1, int)
+        item, at = self.owner[where], np.repeat(at, n)
+        by = np.lexsort((at, item, doc[at]))
+        item, at = item[by], at[by]
+        cuts = np.flatnonzero(np.r_[True, (doc[at][1:] != doc[at][:-1]) | (item[1:] != item[:-1]), True]) if len(by) else np.zeros(1, int)
+        near = np.zeros(0, np.int64) if not pairs.size else pairs[0] * len(self.ids) + pairs[1]
+        held = doc[at[cuts[:-1]]] * len(self.ids) + item[cuts[:-1]]
+        again = repeats(grams, np.where(room > 0, doc, -1 - place))
+        checked = np.isin(held, near)
         found = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            d, k = int(doc[a]), int(item[a])
+        for j, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            d, k = int(doc[at[a]]), int(item[a])
             begin, end = int(rows[d]), int(rows[d + 1]) - K + 1
-            if (b - a) * (100 + percent) < percent * (min(self.words[k] - K + 1, end - begin) + len(self.grams[k])):
-                continue
+            size = min(self.words[k] - K + 1, end - begin)
+            if not checked[j]:
+                if (b - a) * (100 + percent) < percent * (size + len(self.grams[k])):
+                    continue
+                low, high = max(begin, int(at[a]) - size + 1), min(end, int(at[b - 1]) + size)
+                if self.plain[k] and not (again[low:high] > np.arange(low, high) - size).any():
+                    continue
             if best := self.best(grams[begin:end], at[a:b] - begin, k, percent):
                 found.append((d, self.ids[k], best[0], best[1], min(self.words[k], end - begin + K - 1)))
         return found
