@@ -20,6 +20,7 @@ import functools
 import html as references
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,7 +53,7 @@ BAD_TOKENS = {
 }
 TAGS = "html body main article section div p h1 h2 h3 ul ol li table td nav header footer aside form blockquote pre figure figcaption button dl address details".split()
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,512}+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-label|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -98,7 +99,8 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str, bool]]]:
         return nodes, texts
     # Open elements: tag, block node that they belong to, whether in a link, whether never text.
     stack = [("root", 0, False, False)]
-    broken, at = True, 0
+    places: dict[str, list[int]] = {}  # of each open tag in the stack, from the bottom up
+    broken = True
 
     def say(piece: str) -> None:
         nonlocal broken
@@ -118,44 +120,48 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str, bool]]]:
 
     def close(k: int) -> None:
         nonlocal broken
-        broken |= any(t not in INLINE for t, *_ in stack[k:])
+        for t, *_ in stack[k:]:
+            broken |= t not in INLINE
+            places[t].pop()
         del stack[k:]
 
-    position, length = 0, len(page)
+    def innermost(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
+
+    # No tag ends behind the last ">", only a comment may begin there: looking for tags stops there.
+    position, length, limit = 0, len(page), page.rfind(">") + 1
     while position < length:
-        m = _TAG.search(page, position)
+        m = _TAG.search(page, position, limit)
         if not m:
-            say(page[position:])
+            comment = page.find("<!--", max(position, limit))
+            say(page[position : comment if comment >= 0 else length])
             break
         say(page[position : m.start()])
         position = m.end()
+        if page.startswith("<!--", m.start()) and not page.endswith("-->", m.start() + 4, position):
+            break
         name = m[2] or m[5]
         if not name:
             continue
         tag, ends, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ends:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if k:
+            if k := innermost(tag):
                 close(k)
             elif tag == "p":
                 broken = True
             continue
         block = tag not in INLINE
         if block:
-            if stack[-1][0] == "head" or len(stack) > 1 and any(s[0] == "head" for s in stack) and tag not in NEVER and tag not in VOID:
-                k = next(k for k in range(len(stack)) if stack[k][0] == "head")
-                if tag not in NEVER and tag not in VOID:
-                    close(k)
+            if places.get("head") and tag not in NEVER and tag not in VOID:
+                close(places["head"][0])
             if tag in CLOSES:
                 ended, within = CLOSES[tag]
-                k = len(stack) - 1
-                while k > 0 and stack[k][0] not in within:
-                    if stack[k][0] in ended:
-                        close(k)
-                    k -= 1
+                floor = max(innermost(t) for t in within)
+                above = [own[k] for t in ended if (own := places.get(t)) and (k := bisect_right(own, floor)) < len(own)]
+                if above:
+                    close(min(above))
             elif tag not in VOID:  # a block ends an open paragraph
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-                if k:
+                if k := innermost("p"):
                     close(k)
         never, linked, owner = stack[-1][3] or tag in NEVER, stack[-1][2] or tag == "a", stack[-1][1]
         if tag == "a":
@@ -174,6 +180,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str, bool]]]:
             position = end.end() if end else length
             broken = True
             continue
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, owner, linked, never))
     return nodes, texts
 
