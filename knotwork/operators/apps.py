@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.random import uniform
-from knotwork.operators.matrix import multiply, times_vector, transpose
+from knotwork.operators.matrix import add, multiply, times_vector, transpose
 from knotwork.operators.representation import reverse, vertices, weighted
 from knotwork.plans.storage import cut
 
@@ -21,18 +23,19 @@ def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance:
     """(v, rank): x = d W x + (1 - d) / n from 1/n on; what leaves a vertex without edges is lost."""
     every = cut(vertices(e), "vertices")
     n = every.count()
-    w = cut(column_stochastic(e), "weights")
+    w = cut(column_stochastic(e).withColumn("val", F.lit(damping) * F.col("val")), "weights")
+    base = every.select(F.col("v").alias("idx"), F.lit((1 - damping) / max(1, n)).alias("val"))
     x = every.select(F.col("v").alias("idx"), F.lit(1.0 / max(1, n)).alias("val"))
     for k in range(rounds):
-        y = times_vector(w, x).withColumnRenamed("val", "y")
-        new = x.join(y, "idx", "left").select("idx", (F.lit(damping) * F.coalesce("y", F.lit(0.0)) + F.lit((1 - damping) / max(1, n))).alias("val"), F.col("val").alias("old"))
+        new = times_vector(w, x).unionByName(base).groupBy("idx").agg(F.sum("val").alias("val"))
         if tolerance is None and k % 5 != 4:  # nothing to look at: several rounds are one job
-            x = new.select("idx", "val")
+            x = new
             continue
-        new = cut(new, "ranks")
-        x = new.select("idx", "val")
-        if tolerance is not None and (new.agg(F.max(F.abs(F.col("val") - F.col("old")))).first()[0] or 0) <= tolerance:
+        new, old = cut(new, "ranks"), x.withColumnRenamed("val", "old")
+        if tolerance is not None and (new.join(old, "idx").agg(F.max(F.abs(F.col("val") - F.col("old")))).first()[0] or 0) <= tolerance:
+            x = new
             break
+        x = new
     return x.select(F.col("idx").alias("v"), F.col("val").alias("rank"))
 
 
@@ -95,6 +98,27 @@ def clusters_of(m: DataFrame, v: DataFrame) -> DataFrame:
     return weak_components(m.select(F.col("row").alias("src"), F.col("col").alias("dst")), v)
 
 
+def _batches(sources: DataFrame, batch: int) -> Iterator[DataFrame]:
+    """The vertices ``sources`` (v) in parts of about ``batch``, by a hash of the vertex, as (s)."""
+    sources = cut(sources.select(F.col("v").cast("long").alias("s")).distinct(), "sources")
+    parts = -(-sources.count() // batch)
+    for k in range(parts):
+        yield sources.where(F.pmod(F.xxhash64("s"), F.lit(parts)) == k)
+
+
+def _path_counts(steps: DataFrame, own: DataFrame) -> list[DataFrame]:
+    """Level by level (s, v, sigma): the numbers of shortest paths from each vertex ``own`` (s)."""
+    levels = [cut(own.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")), "level")]
+    seen = levels[0].select("s", "v")
+    while True:
+        front = levels[-1].join(steps.withColumnRenamed("src", "v"), "v").groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
+        front = cut(front.join(seen, ["s", "v"], "left_anti"), "level")
+        if front.isEmpty():
+            return levels
+        levels.append(front)
+        seen = seen.unionByName(front.select("s", "v"))
+
+
 def betweenness(e: DataFrame, sources: DataFrame | None = None, batch: int = 64) -> DataFrame:
     """(v, score): dependencies of all ``sources`` (v) on each vertex over shortest paths of steps.
 
@@ -103,19 +127,9 @@ def betweenness(e: DataFrame, sources: DataFrame | None = None, batch: int = 64)
     """
     steps = cut(e.where("src <> dst").select("src", "dst").distinct(), "steps")
     every = vertices(e)
-    chosen = sorted(r[0] for r in (every if sources is None else sources).select("v").distinct().collect())
     total = None
-    for at in range(0, len(chosen), batch):
-        own = e.sparkSession.createDataFrame([(s,) for s in chosen[at : at + batch]], "s long")
-        levels = [cut(own.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")), "level")]
-        seen = levels[0].select("s", "v")
-        while True:
-            front = levels[-1].join(steps.withColumnRenamed("src", "v"), "v").groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
-            front = cut(front.join(seen, ["s", "v"], "left_anti"), "level")
-            if front.isEmpty():
-                break
-            levels.append(front)
-            seen = seen.unionByName(front.select("s", "v"))
+    for own in _batches(every if sources is None else sources, batch):
+        levels = _path_counts(steps, own)
         below, scores = None, None
         for level in range(len(levels) - 1, 0, -1):
             here = levels[level].withColumn("delta", F.lit(0.0)) if below is None else levels[level].join(below, ["s", "v"], "left").select("s", "v", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta"))
@@ -140,29 +154,29 @@ def node_betweenness(e: DataFrame) -> DataFrame:
     return betweenness(e).select("v", (F.col("score") / max(1, n * (n - 1))).alias("score"))
 
 
-def edge_betweenness(e: DataFrame) -> DataFrame:
-    """(src, dst, score): share of the ordered pairs' shortest paths over each edge, split evenly among equal ones."""
+def edge_betweenness(e: DataFrame, batch: int = 64) -> DataFrame:
+    """(src, dst, score): share of the ordered pairs' shortest paths over each edge, split evenly among equal ones.
+
+    Sources go in batches, as in ``betweenness``.
+    """
     steps = cut(e.where("src <> dst").select("src", "dst").distinct(), "steps")
-    n = vertices(e).count()
-    levels = [cut(vertices(e).select(F.col("v").alias("s"), "v", F.lit(1.0).alias("sigma")), "level")]
-    seen = levels[0].select("s", "v")
-    while True:
-        front = levels[-1].join(steps.withColumnRenamed("src", "v"), "v").groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        front = cut(front.join(seen, ["s", "v"], "left_anti"), "level")
-        if front.isEmpty():
-            break
-        levels.append(front)
-        seen = seen.unionByName(front.select("s", "v"))
-    below, flows = None, None
-    for level in range(len(levels) - 1, 0, -1):
-        here = levels[level].withColumn("delta", F.lit(0.0)) if below is None else levels[level].join(below, ["s", "v"], "left").select("s", "v", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta"))
-        share = here.select("s", F.col("v").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-        over = cut(share.join(steps, "dst").join(levels[level - 1].withColumnRenamed("v", "src"), ["s", "src"]).select("s", "src", "dst", (F.col("share") * F.col("sigma")).alias("flow")), "flow")
-        flows = over if flows is None else flows.unionByName(over)
-        below = over.groupBy("s", F.col("src").alias("v")).agg(F.sum("flow").alias("delta"))
-    if flows is None:
+    every = cut(vertices(e), "vertices")
+    n, total = every.count(), None
+    for own in _batches(every, batch):
+        levels = _path_counts(steps, own)
+        below, flows = None, None
+        for level in range(len(levels) - 1, 0, -1):
+            here = levels[level].withColumn("delta", F.lit(0.0)) if below is None else levels[level].join(below, ["s", "v"], "left").select("s", "v", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta"))
+            share = here.select("s", F.col("v").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+            over = cut(share.join(steps, "dst").join(levels[level - 1].withColumnRenamed("v", "src"), ["s", "src"]).select("s", "src", "dst", (F.col("share") * F.col("sigma")).alias("flow")), "flow")
+            flows = over if flows is None else flows.unionByName(over)
+            below = over.groupBy("s", F.col("src").alias("v")).agg(F.sum("flow").alias("delta"))
+        if flows is not None:
+            part = cut(flows.groupBy("src", "dst").agg(F.sum("flow").alias("flow")), "flows")
+            total = part if total is None else total.unionByName(part)
+    if total is None:
         return steps.withColumn("score", F.lit(0.0))
-    summed = flows.groupBy("src", "dst").agg((F.sum("flow") / (n * (n - 1))).alias("score"))
+    summed = total.groupBy("src", "dst").agg((F.sum("flow") / (n * (n - 1))).alias("score"))
     return steps.join(summed, ["src", "dst"], "left").select("src", "dst", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -171,15 +185,18 @@ def eigenvector_centrality(e: DataFrame, rounds: int = 400, tolerance: float = 1
 
     ``steps`` multiplications are one job, between two looks at the change.
     """
-    a = weighted(e).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("w").cast("double").alias("val"))
-    every = vertices(e)
+    every = cut(vertices(e), "vertices")
+    entries = weighted(e).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("w").cast("double").alias("val"))
+    diagonal = every.select(F.col("v").alias("row"), F.col("v").alias("col"), F.lit(1.0).alias("val"))
+    a = cut(add(entries, diagonal), "shifted")
     x = every.select(F.col("v").alias("idx"), F.lit(1.0).alias("val"))
     for _ in range(0, rounds, steps):
         y = x
         for _ in range(steps):
-            y = y.unionByName(times_vector(a, y)).groupBy("idx").agg(F.sum("val").alias("val"))
-        size = y.agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("size"))
-        new = cut(y.crossJoin(F.broadcast(size)).select("idx", (F.col("val") / F.col("size")).alias("val")), "power")
+            y = times_vector(a, y)
+        y = cut(y, "power")
+        size = y.agg(F.sqrt(F.sum(F.col("val") * F.col("val")))).first()[0] or 1.0
+        new = y.select("idx", (F.col("val") / F.lit(size)).alias("val"))
         apart = new.join(x.withColumnRenamed("val", "old"), "idx").agg(F.max(F.abs(F.col("val") - F.col("old")))).first()[0]
         x = new
         if (apart or 0) <= tolerance:
@@ -187,16 +204,27 @@ def eigenvector_centrality(e: DataFrame, rounds: int = 400, tolerance: float = 1
     return x.select(F.col("idx").alias("v"), F.col("val").alias("x"))
 
 
-def vertex_similarity(a: DataFrame, b: DataFrame, tolerance: float = 1e-3, most_rounds: int = 100) -> DataFrame:
-    """(row, col, val): likeness of the vertices of b (rows) and a (columns), S = B S A' + B' S A, two steps a round."""
-    s = cut(b.select(F.explode(F.array("row", "col")).alias("row")).distinct().crossJoin(a.select(F.explode(F.array("row", "col")).alias("col")).distinct()).withColumn("val", F.lit(1.0)), "similar")
+#: Pairs of vertices up to which two graphs' likeness is computed: it is a dense matrix.
+MOST_PAIRS = 4_000_000
+
+
+def vertex_similarity(a: DataFrame, b: DataFrame, tolerance: float = 1e-3, most_rounds: int = 100, most: int = MOST_PAIRS) -> DataFrame:
+    """(row, col, val): likeness of the vertices of b (rows) and a (columns), S = B S A' + B' S A, two steps a round.
+
+    Beyond ``most`` pairs of vertices it refuses.
+    """
+    a, b = cut(a, "matrix"), cut(b, "matrix")
+    rows, cols = (m.select(F.explode(F.array("row", "col")).alias(c)).distinct() for m, c in ((b, "row"), (a, "col")))
+    if (pairs := rows.count() * cols.count()) > most:
+        raise ValueError(f"{pairs} pairs of vertices are beyond {most}")
+    s = cut(rows.crossJoin(cols).withColumn("val", F.lit(1.0)), "similar")
     at, bt = transpose(a), transpose(b)
     for _ in range(most_rounds):
         new = s
         for _ in range(2):
-            new = multiply(multiply(b, new), at).unionByName(multiply(multiply(bt, new), a)).groupBy("row", "col").agg(F.sum("val").alias("val"))
-        size = new.agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("size"))
-        new = cut(new.crossJoin(F.broadcast(size)).select("row", "col", (F.col("val") / F.col("size")).alias("val")), "similar")
+            new = cut(multiply(multiply(b, new), at).unionByName(multiply(multiply(bt, new), a)).groupBy("row", "col").agg(F.sum("val").alias("val")), "similar")
+        size = new.agg(F.sqrt(F.sum(F.col("val") * F.col("val")))).first()[0] or 1.0
+        new = new.select("row", "col", (F.col("val") / F.lit(size)).alias("val"))
         apart = new.join(s.withColumnRenamed("val", "o"), ["row", "col"], "left").agg(F.sqrt(F.sum(F.pow(F.col("val") - F.coalesce("o", F.lit(0.0)), F.lit(2))))).first()[0]
         s = new
         if (apart or 0) < tolerance:

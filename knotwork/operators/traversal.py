@@ -19,7 +19,7 @@ LEVELS = 10_000
 
 def bfs(e: DataFrame, root: int, keep: Column | None = None, parent: str = "max", most_levels: int = LEVELS) -> DataFrame:
     """(v, level, parent) of what the root reaches over edges that ``keep`` accepts; the root is its own parent."""
-    steps = (e if keep is None else e.where(keep)).where("src <> dst").select("src", "dst").distinct()
+    steps = cut((e if keep is None else e.where(keep)).where("src <> dst").select("src", "dst").distinct(), "steps")
     choose = F.max if parent == "max" else F.min
     start = e.sparkSession.range(1).select(F.lit(root).cast("long").alias("v"), F.lit(0).alias("level"), F.lit(root).cast("long").alias("parent"))
     front = seen = cut(start, "front")
@@ -36,7 +36,7 @@ def bfs(e: DataFrame, root: int, keep: Column | None = None, parent: str = "max"
 
 def bfs_bottom_up(e: DataFrame, root: int, most_levels: int = LEVELS) -> DataFrame:
     """The same tree, by unreached vertices looking for a parent in the frontier."""
-    steps = e.where("src <> dst").select("src", "dst").distinct()
+    steps = cut(e.where("src <> dst").select("src", "dst").distinct(), "steps")
     front = seen = cut(e.sparkSession.range(1).select(F.lit(root).cast("long").alias("v"), F.lit(0).alias("level"), F.lit(root).cast("long").alias("parent")), "front")
     for level in range(1, most_levels + 1):
         open_edges = steps.join(seen.select(F.col("v").alias("dst")), "dst", "left_anti")
