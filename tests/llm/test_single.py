@@ -289,6 +289,8 @@ def test_search_equals_brute_force(spark):
             want |= {(q, k + 1, i, -z) for k, (z, i) in enumerate(s)} if q != 50 else set()
     assert {tuple(g) for g in got if g["query_id"] != 50} == want
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [0.5, 2.0]), (2, [-1e30, 3.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in top_k(huge).where("query_id = 50 and vec_id = 1").collect()][0][1:] == (1, 256 * (128 + 512))
 
 
 def test_slices_add_up():
