@@ -61,6 +61,27 @@ def choose(n: Column, k: int) -> Column:
     return F.when(n >= k, out).otherwise(0.0)
 
 
+# What the searches decide by. A parent that is not set is null.
+
+
+def keep_in_frontier(parent: Column, known: Column) -> Column:
+    """An edge that brings a parent to a vertex that has none yet."""
+    return parent.isNotNull() & known.isNull()
+
+
+def parent_is_set(parent: Column) -> Column:
+    return parent.isNotNull()
+
+
+def second_is_smaller(a: Column, b: Column) -> Column:
+    return b < a
+
+
+def select_degree(parent: Column, degree: Column) -> Column:
+    """The degree of a vertex that is reached, 0 of another."""
+    return F.when(parent.isNotNull(), degree).otherwise(0)
+
+
 # Typed edges: follower BOOLEAN, latest TIMESTAMP (NULL: never), count.
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.operators.components import weak_components
 from knotwork.operators.representation import reverse, vertices, weighted
+from knotwork.plans.storage import cut
 
 
 def _is_empty(df: DataFrame, name: str = "answer", negate: bool = False) -> DataFrame:
@@ -57,6 +58,27 @@ def is_eulerian(e: DataFrame, directed: bool = False) -> DataFrame:
     return d.agg(F.bool_and(F.col("o") == F.col("i") if directed else F.col("i") % 2 == 0).alias("answer"))
 
 
+def bipartite(e: DataFrame) -> DataFrame:
+    """(v, component, side, proper): two colours, the least vertex of a component has false; proper says whether no edge
+    of the component joins equal colours. All components are searched at once, level by level."""
+    steps = cut(e.select("src", "dst").unionByName(reverse(e.select("src", "dst"))).distinct(), "steps")
+    named = cut(weak_components(e), "components")
+    front = seen = cut(named.where("v = component").select("v", F.lit(False).alias("side")), "front")
+    while True:
+        step = steps.join(front.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), (~F.col("side")).alias("side")).distinct()
+        front = cut(step.groupBy("v").agg(F.min("side").alias("side")).join(seen.select("v"), "v", "left_anti"), "front")
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front), "seen")
+    ends = steps.join(seen.withColumnsRenamed({"v": "src", "side": "a"}), "src").join(seen.withColumnsRenamed({"v": "dst", "side": "b"}), "dst")
+    wrong = ends.where("a = b").select(F.col("src").alias("v")).join(named, "v").select("component").distinct().withColumn("proper", F.lit(False))
+    return seen.join(named, "v").join(wrong, "component", "left").select("v", "component", "side", F.coalesce("proper", F.lit(True)).alias("proper"))
+
+
+def is_bipartite(e: DataFrame) -> DataFrame:
+    return bipartite(e).agg(F.coalesce(F.bool_and("proper"), F.lit(True)).alias("answer"))
+
+
 def num_nodes(e: DataFrame) -> DataFrame:
     return vertices(e).agg(F.count("*").alias("n"))
 

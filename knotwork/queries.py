@@ -16,6 +16,7 @@ from knotwork.operators import apps, community, components, experiments, gnn, ma
 from knotwork.operators import generators as gen
 from knotwork.operators import representation as rep
 from knotwork.plans import views
+from knotwork.plans.storage import cut
 from knotwork.plans.views import SQL as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,11 +295,21 @@ for _i in range(1, 21):
     _P += f", x{_i} AS (SELECT v.v, 0.85 * coalesce(sum(p * x), 0) + 0.15 / any_value(n) AS x FROM v CROSS JOIN k LEFT JOIN m ON m.r = v.v LEFT JOIN x{_i - 1} ON x{_i - 1}.v = m.c GROUP BY v.v)"
 add("pagerank_20", "u5", lambda e: rounded(apps.pagerank(e, rounds=20, tolerance=None), "rank"), f"{_P} SELECT v, round(x, 6) AS rank FROM x20")
 add("mis_seeded", "u5", apps.independent_set)
-add("betweenness", "n3", lambda e: rounded(apps.betweenness(e), "score"))
-add("node_betweenness", "n3", lambda e: rounded(apps.node_betweenness(e), "score"))
-add("edge_betweenness", "n3", lambda e: rounded(apps.edge_betweenness(e), "score"))
+#: Distances d and numbers n of shortest paths between all pairs of the small graph, for its betweenness.
+_SP = ", v AS (SELECT src AS v FROM g UNION SELECT dst FROM g), b AS (SELECT v AS s, v, 0 AS d FROM v UNION SELECT b.s, g.dst, b.d + 1 FROM b JOIN g ON g.src = b.v WHERE b.d < 12), t AS (SELECT s, v, min(d) AS d FROM b GROUP BY 1, 2), e AS (SELECT DISTINCT src, dst FROM g WHERE src <> dst)"
+_SP += ", sp0 AS (SELECT s, v, 1.0::DOUBLE AS n FROM t WHERE d = 0)" + "".join(f", sp{_i} AS (SELECT t.s, t.v, sum(x.n) AS n FROM t JOIN e ON e.dst = t.v JOIN sp{_i - 1} x ON x.s = t.s AND x.v = e.src WHERE t.d = {_i} GROUP BY 1, 2)" for _i in range(1, 9))
+_SP += ", p AS (SELECT t.s, t.v, t.d, q.n FROM t JOIN (" + " UNION ALL ".join(f"SELECT * FROM sp{_i}" for _i in range(9)) + ") q ON q.s = t.s AND q.v = t.v)"
+_THROUGH = "SELECT a.v, sum(a.n * b.n / c.n) AS x FROM p a JOIN p b ON a.v = b.s JOIN p c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d WHERE a.s <> a.v AND b.v <> a.v GROUP BY a.v"
+_PAIRS = "(SELECT CAST(count(*) * (count(*) - 1) AS DOUBLE) FROM v)"
+add("betweenness", "n3", lambda e: rounded(apps.betweenness(e), "score"), f"{_SP} SELECT v.v, round(coalesce(x, 0), 6) AS score FROM v LEFT JOIN ({_THROUGH}) h ON h.v = v.v")
+add("node_betweenness", "n3", lambda e: rounded(apps.node_betweenness(e), "score"), f"{_SP} SELECT v.v, round(coalesce(x, 0) / {_PAIRS}, 6) AS score FROM v LEFT JOIN ({_THROUGH}) h ON h.v = v.v")
+add("edge_betweenness", "n3", lambda e: rounded(apps.edge_betweenness(e), "score"), f"{_SP} SELECT e.src, e.dst, round(sum(a.n * b.n / c.n) / {_PAIRS}, 6) AS score FROM e JOIN p a ON a.v = e.src JOIN p b ON b.s = e.dst JOIN p c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d + 1 GROUP BY 1, 2")
 add("markov_clusters", "n3", lambda e: rounded(apps.markov_clusters(as_matrix(e).withColumn("val", F.col("val").cast("double")), normalize=True), "val"))
-add("eigenvector_centrality", "n3", lambda e: rounded(apps.eigenvector_centrality(e), "x"))
+#: The shifted matrix, squared ten times and brought to a greatest entry of 1 each time: its columns are the vector.
+_E = ", v AS (SELECT src AS v FROM g UNION SELECT dst FROM g), e0 AS (SELECT i, j, CAST(sum(x) AS DOUBLE) AS x FROM (SELECT src AS i, dst AS j, w AS x FROM g UNION ALL SELECT v, v, 1 FROM v) GROUP BY 1, 2)"
+for _i in range(1, 11):
+    _E += f", f{_i} AS MATERIALIZED (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM e{_i - 1} a JOIN e{_i - 1} b ON a.j = b.i GROUP BY 1, 2), e{_i} AS MATERIALIZED (SELECT i, j, x / (SELECT max(x) FROM f{_i}) AS x FROM f{_i})"
+add("eigenvector_centrality", "n3", lambda e: rounded(apps.eigenvector_centrality(e), "x"), f"{_E}, r AS (SELECT i AS v, sum(x) AS x FROM e10 GROUP BY i) SELECT v, round(x / sqrt((SELECT sum(x * x) FROM r)), 6) AS x FROM r")
 
 # Shortest paths over the nations, an edge as long as 1 + w mod 5.
 
@@ -328,8 +339,8 @@ add("radius", "n3", _hops(paths.radius), f"{_R3} SELECT min(far) AS radius FROM
 add("closeness", "n3", lambda e: rounded(_hops(paths.closeness)(e), "closeness"), f"{_R3} SELECT a AS v, round(1 / total, 6) AS closeness FROM sp")
 add("average_path_length", "n3", lambda e: rounded(_hops(paths.average_path_length)(e), "average"), f"{_R3} SELECT round(sum(d) / any_value(n * n - n), 6) AS average FROM ap, nn")
 add("distance_distribution", "n3", lambda e: rounded(_hops(paths.distance_distribution)(e), "share"), f"{_R3} SELECT CAST(i AS DOUBLE) AS d, round(count(a) / CAST(any_value(n * (n - 1)) AS DOUBLE), 6) AS share FROM nn, range(1, 25) t(i) LEFT JOIN ap ON d = i AND a <> b GROUP BY i")
-add("smooth_diameter", "n3", lambda e: rounded(_hops(paths.smooth_diameter)(e), "smooth_diameter"))
-add("minimum_spanning_tree", "n3", lambda e: paths.minimum_spanning_tree(_long(e)))
+add("smooth_diameter", "n3", lambda e: rounded(_hops(paths.smooth_diameter)(e), "smooth_diameter"), f"{_SP}, k AS (SELECT d, count(*) / {_PAIRS} AS x FROM t WHERE d > 0 GROUP BY d), u AS (SELECT d, sum(x) OVER (ORDER BY d) AS upto, x FROM k) SELECT round(min(d - (upto - 0.9) / x), 6) AS smooth_diameter FROM u WHERE upto >= 0.9 AND upto - x < 0.9")
+add("minimum_spanning_tree", "n3", lambda e: paths.minimum_spanning_tree(_long(e)), ", e AS (SELECT row_number() OVER (ORDER BY w, src, dst) AS k, src, dst, w FROM (SELECT src, dst, w % 5 + 1 AS w FROM g) WHERE src < dst), b AS (SELECT k, src AS v FROM e UNION SELECT b.k, CASE WHEN e.src = b.v THEN e.dst ELSE e.src END FROM b JOIN e ON e.k < b.k AND b.v IN (e.src, e.dst)) SELECT src, dst, w FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = e.k AND b.v = e.dst)")
 add("top_edges", "g5", lambda e: apps.top_edges(e, 3), "SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM g) WHERE k <= 3")
 
 # Statistics of the events' values.
@@ -470,6 +481,112 @@ b AS (SELECT t, -sum((n - k + 1) * value) / CAST(any_value(n) + 1 AS DOUBLE) AS
 SELECT t, layer, round(b + sum(value) OVER (PARTITION BY t ORDER BY layer) - value, 6) AS low, round(b + sum(value) OVER (PARTITION BY t ORDER BY layer), 6) AS high FROM d JOIN b USING (t)"""
 
 
+# Every other operator on matrices, vectors, representations and values, one query each.
+
+
+def _ones(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1).alias("val"))
+
+
+def _said(spark: SparkSession, **answers: bool) -> DataFrame:
+    return spark.range(1).select(*(F.lit(x).alias(name) for name, x in answers.items()))
+
+
+_NO_REVERSE = "NOT EXISTS (SELECT 1 FROM g b WHERE b.src = a.dst AND b.dst = a.src)"
+_SPLIT = views.PART_BASE + 500
+add("matrix_accumulate", "g3", lambda e: matrix.accumulate(as_matrix(e), as_matrix(e), as_matrix(e)), "SELECT src AS row, dst AS col, CAST(sum(x) AS BIGINT) AS val FROM (SELECT src, dst, w AS x FROM g UNION ALL SELECT a.src, b.dst, a.w * b.w FROM g a JOIN g b ON a.dst = b.src) GROUP BY 1, 2")
+add("matrix_accumulate_transposed", "g3", lambda e: matrix.accumulate(as_matrix(e), as_matrix(e), as_matrix(e), b_transposed=True), "SELECT src AS row, dst AS col, CAST(sum(x) AS BIGINT) AS val FROM (SELECT src, dst, w AS x FROM g UNION ALL SELECT a.src, b.src, a.w * b.w FROM g a JOIN g b ON a.dst = b.dst) GROUP BY 1, 2")
+add("apply_where_absent", "g5", lambda e: matrix.apply_where_absent(as_matrix(e), matrix.transpose(as_matrix(e)), lambda x, y: x * 10 + y, True, 7), f"SELECT src AS row, dst AS col, w * 10 + 7 AS val FROM g a WHERE {_NO_REVERSE}")
+add("apply_where_present", "g5", lambda e: matrix.apply_where_absent(as_matrix(e), matrix.transpose(as_matrix(e)), lambda x, y: x * 10 + y, False), "SELECT a.src AS row, a.dst AS col, a.w * 10 + b.w AS val FROM g a JOIN g b ON b.src = a.dst AND b.dst = a.src")
+add("matrix_scale", "g3", lambda e: matrix.scale(as_matrix(e), matrix.densify(matrix.transpose(as_matrix(e)), 25, 25)), "SELECT a.src AS row, a.dst AS col, a.w * coalesce(b.w, 0) AS val FROM g a LEFT JOIN g b ON b.src = a.dst AND b.dst = a.src")
+add("matrix_find_places", "g1", lambda e: matrix.find(as_matrix(e), values=False), "SELECT src AS row, dst AS col FROM g")
+add("matrix_find", "g1", lambda e: matrix.find(as_matrix(e)), "SELECT src AS row, dst AS col, w AS val FROM g")
+add("matrix_sparse", "g6", lambda e: matrix.sparse(_ones(e)), "SELECT src AS row, dst AS col, count(*) AS val FROM g GROUP BY 1, 2")
+add("matrix_sparse_scalar", "g6", lambda e: matrix.sparse(_ones(e), F.max, 3), "SELECT DISTINCT src AS row, dst AS col, 3 AS val FROM g")
+add("matrix_equal", "g5", lambda e: _said(e.sparkSession, itself=matrix.equal(as_matrix(e), as_matrix(e)), reverse=matrix.equal(as_matrix(e), matrix.transpose(as_matrix(e)))), "SELECT true AS itself, NOT EXISTS (SELECT 1 FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.src = a.dst AND b.dst = a.src AND b.w = a.w)) AS reverse")
+add("matrix_without_loops", "g6", lambda e: matrix.without_loops(_ones(e)), "SELECT src AS row, dst AS col, 1 AS val FROM g WHERE src <> dst")
+add("matrix_nnz", "g1", lambda e: matrix.nnz(as_matrix(e)), "SELECT count(*) AS nnz FROM g")
+add("matrix_cast", "g1", lambda e: matrix.cast(as_matrix(e), "double", "int"), "SELECT CAST(src AS INTEGER) AS row, CAST(dst AS INTEGER) AS col, CAST(w AS DOUBLE) AS val FROM g")
+add("matrix_split_right", "g1", lambda e: matrix.split_columns(as_matrix(e), 2 * _SPLIT)[1], f"SELECT src AS row, dst - {_SPLIT} AS col, w AS val FROM g WHERE dst >= {_SPLIT}")
+add("matrix_split_merged", "g1", lambda e: matrix.merge_columns(*matrix.split_columns(as_matrix(e), 2 * _SPLIT), _SPLIT), "SELECT src AS row, dst AS col, w AS val FROM g")
+add("matrix_merge_max", "g5", lambda e: matrix.merge([as_matrix(e), matrix.transpose(as_matrix(e)), as_matrix(e)], F.max), "SELECT src AS row, dst AS col, max(w) AS val FROM (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g) GROUP BY 1, 2")
+
+
+def _halves(e: DataFrame) -> DataFrame:
+    return indices(e, "src", 2, 0).select("idx", F.col("pos").alias("val"))
+
+
+add("vector_find", "g1", lambda e: vector.find(_lines(e), lambda c: c % 2 == 0), f"{_V} SELECT idx, val FROM v WHERE val % 2 = 0")
+add("vector_get", "g1", lambda e: vector.get_element(_lines(e), 5), f"{_V} SELECT max(val) FILTER (WHERE idx = 5) AS val, count(*) FILTER (WHERE idx = 5) > 0 AS found FROM v")
+add("vector_get_absent", "g1", lambda e: vector.get_element(_lines(e), -5), f"{_V} SELECT CAST(NULL AS BIGINT) AS val, count(*) FILTER (WHERE idx = -5) > 0 AS found FROM v")
+add("vector_apply", "g1", lambda e: vector.apply(_lines(e), lambda c: c * 2 + 1), f"{_V} SELECT idx, val * 2 + 1 AS val FROM v")
+add("vector_apply_elements", "g1", lambda e: vector.apply_elements(_lines(e), _halves(e), lambda a, b: a - b, allow_w_nulls=True), f"{_V} SELECT idx, val - CASE WHEN idx % 2 = 0 THEN idx // 2 ELSE 0 END AS val FROM v")
+add("vector_apply_common", "g1", lambda e: vector.apply_elements(_lines(e), _halves(e), lambda a, b: a * b, do=lambda a, b: a > b), f"{_V} SELECT idx, val * (idx // 2) AS val FROM v WHERE idx % 2 = 0 AND val > idx // 2")
+add("vector_plus", "g1", lambda e: vector.add(_lines(e), _halves(e)), f"{_V} SELECT idx, val + CASE WHEN idx % 2 = 0 THEN idx // 2 ELSE 0 END AS val FROM v")
+add("vector_equal", "g1", lambda e: _said(e.sparkSession, itself=vector.equal(_lines(e), _lines(e)), other=vector.equal(_lines(e), vector.set_element(_lines(e), 5, -1))), "SELECT true AS itself, false AS other")
+add("vector_value_is_index", "g1", lambda e: vector.value_is_index(_lines(e)), f"{_V} SELECT idx, idx AS val FROM v")
+add("vector_nnz", "g1", lambda e: vector.nnz(_lines(e)), f"{_V} SELECT count(*) AS nnz FROM v")
+add("vector_empty", "g1", lambda e: vector.nnz(vector.empty(_lines(e))), "SELECT CAST(0 AS BIGINT) AS nnz")
+add("vector_bulk_set", "g1", lambda e: vector.bulk_set(e.select(F.col("dst").alias("idx"))), "SELECT DISTINCT dst AS idx, dst AS val FROM g")
+QUERIES["vector_iota"] = lambda spark, sf_dir: vector.iota(spark, views.table(spark, sf_dir, "supplier").count(), 3)
+ORACLE_SQL["vector_iota"] = "SELECT i AS idx, i + 3 AS val FROM (SELECT unnest(range((SELECT count(*) FROM supplier))) AS i)"
+
+add("matrix_edges", "g5", lambda e: rep.edges_of_matrix(matrix.add(as_matrix(e), matrix.apply(matrix.transpose(as_matrix(e)), lambda c: -c))), "SELECT * FROM (SELECT src, dst, CAST(sum(x) AS BIGINT) AS w FROM (SELECT src, dst, w AS x FROM g UNION ALL SELECT dst, src, -w FROM g) GROUP BY 1, 2) WHERE w > 0")
+add("matrix_of_lists", "g5", lambda e: rep.matrix_of_lists(rep.adjacency_lists(e)), "SELECT DISTINCT src AS row, dst AS col, 1 AS val FROM g")
+add("simple_edges", "g6", rep.simple_edges, "SELECT src, dst, 1 AS w FROM g WHERE src <> dst")
+add("vertices_without_leaves", "g5", lambda e: rep.difference(rep.vertices(e), metrics.leaf_nodes(e), "v"), "SELECT v FROM (SELECT src AS v FROM g UNION SELECT dst FROM g) WHERE v NOT IN (SELECT dst FROM g GROUP BY dst HAVING count(*) = 1)")
+_CC = ", r AS (SELECT src AS v, src AS c FROM g UNION SELECT g.dst, r.c FROM r JOIN g ON g.src = r.v), k AS (SELECT v, min(c) AS c FROM r GROUP BY v)"
+add("component_count", "n3", components.component_count, f"{_CC} SELECT count(DISTINCT c) AS n FROM k")
+add("independent_loops", "n3", lambda e: rep.undirected_pairs(e).agg(F.count("*").alias("m")).crossJoin(rep.vertices(e).agg(F.count("*").alias("v"))).crossJoin(components.component_count(e)).select(metrics.cyclomatic(F.col("m"), F.col("v"), F.col("n")).alias("loops")), f"{_CC} SELECT (SELECT count(*) FROM g WHERE src < dst) - count(*) + count(DISTINCT c) AS loops FROM k")
+add("bipartite", "g1", lambda e: predicates.bipartite(e).agg(F.count("*").alias("n"), F.count_if("side").alias("sides"), F.bool_and("proper").alias("proper")), f"SELECT count(*) AS n, count(*) FILTER (WHERE v >= {views.PART_BASE}) AS sides, true AS proper FROM (SELECT src AS v FROM g UNION SELECT dst FROM g)")
+add("bipartite_answers", "u5", lambda e: predicates.is_bipartite(e).select(F.lit("all").alias("part"), "answer").unionByName(predicates.is_bipartite(e.where((F.col("src") - F.col("dst")) % 2 != 0)).select(F.lit("odd").alias("part"), "answer")), ", r AS (SELECT min(src) AS v, 0 AS p FROM g UNION SELECT g.dst, 1 - p FROM r JOIN g ON g.src = r.v) SELECT 'all' AS part, NOT EXISTS (SELECT 1 FROM r GROUP BY v HAVING count(*) > 1) AS answer UNION ALL SELECT 'odd', true")
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber")
+    return rep.arrival_lists(lines, "l_linenumber").select("v", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
+
+
+QUERIES["arrival_lists"] = _arrivals
+ORACLE_SQL["arrival_lists"] = "SELECT l_orderkey AS v, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey) AS nbrs FROM lineitem GROUP BY 1"
+
+_S, _T2, _W = F.col("src"), F.col("dst"), F.col("w")
+_FUNCTORS = {
+    "constant": (functors.constant(7), "7"), "identity": (functors.identity(_W), "w"), "totality": (functors.totality(_W), "true"), "totality_of_two": (functors.totality(_S, _T2), "true"),
+    "power": (functors.exponentiate(_W, F.lit(2)), "CAST(pow(w, 2) AS DOUBLE)"), "maximum": (functors.maximum(_S, _T2), "greatest(src, dst)"), "minimum": (functors.minimum(_S, _T2), "least(src, dst)"),
+    "band": (functors.bitwise_and(_S, _T2), "src & dst"), "bor": (functors.bitwise_or(_S, _T2), "src | dst"), "bxor": (functors.bitwise_xor(_S, _T2), "xor(src, dst)"),
+    "lxor": (functors.logical_xor(_S % 2 == 0, _T2 % 2 == 0), "(src % 2 = 0) <> (dst % 2 = 0)"), "choice": (functors.symmetric_choice(_S, _T2), "CASE WHEN (src + dst) % 2 = 1 THEN least(src, dst) ELSE greatest(src, dst) END"),
+    "kept": (functors.keep_in_frontier(F.when(_S % 3 != 0, _S), F.when(_T2 % 2 == 0, _T2)), "src % 3 <> 0 AND dst % 2 <> 0"), "parent_set": (functors.parent_is_set(F.when(_S % 3 != 0, _S)), "src % 3 <> 0"),
+    "second_smaller": (functors.second_is_smaller(_S, _T2), "dst < src"), "degree": (functors.select_degree(F.when(_S % 3 != 0, _S), _W), "CASE WHEN src % 3 <> 0 THEN w ELSE 0 END"),
+}
+add("functors", "g5", lambda e: e.select("src", "dst", *(c.alias(name) for name, (c, _) in _FUNCTORS.items())), "SELECT src, dst, " + ", ".join(f"{x} AS {name}" for name, (_, x) in _FUNCTORS.items()) + " FROM g")
+_typed("followers", lambda e: e.where(functors.is_follower(F.col("follower"))).select("src", "event_type"), "SELECT src, event_type FROM g WHERE follower")
+_typed("active_edges", lambda e: e.where(functors.is_active(F.col("count"))).select("src", "event_type", "count"), "SELECT src, event_type, count FROM g WHERE count > 0")
+
+# What a validator has to say of trees that are none, and of parents that are out of range.
+
+
+def _broken(e: DataFrame) -> DataFrame:
+    e = cut(e, "edges")
+    tree = cut(_tree(e).select("v", "parent", "level"), "tree")
+    root, last = e.agg(F.min("src")).first()[0], tree.orderBy(F.desc("level"), "v").first()["v"]
+    at, up = F.col("v") == last, tree.where(F.col("v") == last).first()["parent"]
+    trees = {
+        "two roots": tree.withColumn("parent", F.when(at, F.col("v")).otherwise(F.col("parent"))),
+        "cycle": tree.withColumn("parent", F.when(at, F.lit(up)).when(F.col("v") == up, F.lit(last)).otherwise(F.col("parent"))),
+        "leaving": tree.withColumn("parent", F.when(at, F.lit(-7)).otherwise(F.col("parent"))),
+    }
+    out = None
+    for name, broken in trees.items():
+        row = traversal.validate(broken.select("v", "parent"), e, root).select(F.lit(name).alias("tree"), "code")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+add("bfs_validation_broken", "u5", _broken, "SELECT * FROM (VALUES ('two roots', -16), ('cycle', -1), ('leaving', -2)) t(tree, code)")
+add("bfs_parents_beyond_half", "u5", lambda e: traversal.parents_in_range(_tree(e), _last(e) // 2), f"{_B} SELECT count(*) FILTER (WHERE parent >= (SELECT max(src) // 2 FROM g)) AS out_of_range FROM p")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut of suppliers and parts over eight parts."""
     return QUERIES["cut_hash_k8"](spark, sf_dir)

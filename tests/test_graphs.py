@@ -330,3 +330,23 @@ def test_generators_grow_with_the_table(spark, monkeypatch):
     queries.QUERIES["largest_s_graph"](spark, "")
     queries.QUERIES["lambda_sweep_kronecker"](spark, "")
     assert asked == [1500, 11]
+
+
+def test_two_colours_of_each_component(spark):
+    e = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 1, 1), (10, 11, 1), (11, 12, 1), (12, 10, 1), (20, 20, 1)], "src long, dst long, w int")
+    got = {r["v"]: (r["component"], r["proper"]) for r in predicates.bipartite(e).collect()}
+    assert got == {1: (1, True), 2: (1, True), 3: (1, True), 4: (1, True), 10: (10, False), 11: (10, False), 12: (10, False), 20: (20, False)}
+    assert predicates.is_bipartite(e.where("src < 5")).first()["answer"] and not predicates.is_bipartite(e).first()["answer"]
+    assert predicates.is_bipartite(e.where("src > 99")).first()["answer"]
+
+
+def test_betweenness_does_not_depend_on_batches(spark):
+    e = spark.createDataFrame([(a, b, 1) for a, b in [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6)] for a, b in [(a, b), (b, a)]], "src long, dst long, w int")
+    one, many = ({r["v"]: round(r["score"], 9) for r in apps.betweenness(e, batch=k).collect()} for k in (64, 2))
+    assert one == many == {1: 0, 2: 0, 3: 12, 4: 12, 5: 0, 6: 0}
+
+
+def test_dense_likeness_is_refused_beyond_its_bound(spark):
+    m = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "row long, col long, val double")
+    with pytest.raises(ValueError):
+        apps.vertex_similarity(m, m, most=8)
