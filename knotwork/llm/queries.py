@@ -8,7 +8,7 @@ from knotwork.llm._shared import table
 from knotwork.llm.bpe import round_trip_digests
 from knotwork.llm.decontamination import contaminated
 from knotwork.llm.html_extract import main_texts
-from knotwork.llm.jaccard_join import near_duplicate_classes, near_duplicate_links
+from knotwork.llm.jaccard_join import near_duplicate_classes
 from knotwork.llm.language_id import predict_languages
 from knotwork.llm.license_scan import scan
 from knotwork.llm.quality import predict_quality
@@ -32,10 +32,6 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
-def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_links(table(spark, sf_dir, "documents"))
-
-
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -48,13 +44,10 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n)
   FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p WHERE 100 * i >= 75 * (na + nb - i)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, (SELECT count(*) FROM l WHERE l.a = s.doc_id) AS n_links
 FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id
 """
 
-#: As OP2_SQL, with the number of a document's links.
-OP2_LINKS_SQL = OP2_SQL.replace("m.c AS component_id\n", "m.c AS component_id, (SELECT count(*) FROM l WHERE l.a = s.doc_id) AS n_links\n")
-
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
@@ -117,7 +110,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
-    "op2_ngram_jaccard_links": op2_ngram_jaccard_links,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_language_id": op4_language_id,
     "op5_license_scan": op5_license_scan,
@@ -127,4 +119,4 @@ QUERIES = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op2_ngram_jaccard_links": OP2_LINKS_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_exact_top_k": OP9_SQL}
+ORACLE_SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_exact_top_k": OP9_SQL}

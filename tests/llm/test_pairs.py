@@ -9,7 +9,7 @@ import pytest
 
 from knotwork.llm._shared import text_bytes
 from knotwork.llm.decontamination import Items, contaminated, without_contaminated
-from knotwork.llm.jaccard_join import near_duplicate_classes, near_duplicate_links
+from knotwork.llm.jaccard_join import near_duplicate_classes, one_of_each_class
 from knotwork.llm.suffix_dedup import repeated_bytes, without_repeats
 from tests.llm import brute
 
@@ -62,10 +62,35 @@ def test_links_equal_brute_force(spark, seed):
     rows += [(d + 1000, t) for d, t in rows[:20]]
     sets = {d: brute.shingle_set(t) for d, t in rows}
     links = {a: sum(4 * len(x & y) >= 3 * len(x | y) and bool(x) and a != b for b, y in sets.items()) for a, x in sets.items()}
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in near_duplicate_links(frame(spark, rows)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in near_duplicate_classes(frame(spark, rows)).collect()}
     assert got == {d: (*c, links[d]) for d, c in brute.classes(rows).items()} and max(links.values()) > 20
 
 
+def test_links_where_one_shingle_is_in_hundreds_of_classes(spark):
+    r = random.Random(9)
+    passage, rows = [f"p{i}" for i in range(30)], []
+    for k in range(300):
+        own = [f"w{r.randrange(4000)}" for _ in range(r.randint(0, 14))]
+        rows.append((len(rows), " ".join(own[:6] + passage + own[6:])))
+        if k % 3 == 0:
+            copy = own + ["x"]
+            rows.append((len(rows), " ".join(copy[:6] + passage + copy[6:])))
+    sets = {d: brute.shingle_set(t) for d, t in rows}
+    links = {a: sum(4 * len(x & y) >= 3 * len(x | y) and a != b for b, y in sets.items()) for a, x in sets.items()}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in near_duplicate_classes(frame(spark, rows)).collect()}
+    classes = brute.classes(rows)
+    assert got == {d: (*c, links[d]) for d, c in classes.items()} and len({c for _, c in classes.values()}) > 100
+
+
+def test_one_row_of_each_class_stays(spark):
+    same, other = "same words again and again here", "quite another text of some words here"
+    rows = [(7, same, "a"), (7, same, "a"), (None, same, "b"), (9, "", "c"), (9, "", "c"), (7, other, "d"), (3, other, "e"), (None, "nobody else has these words at all", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Row string").repartition(3)
+    kept = one_of_each_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("Row in ('c', 'e', 'f') or Row = 'a'").dropDuplicates(["Row"]).union(docs.where("Row = 'c'").limit(1)).collect()))
+
+
 def test_classes_of_empty_and_repeated_rows(spark):
     assert near_duplicate_classes(frame(spark, [(1, "a")]).where("doc_id > 5")).collect() == []
     rows = [(7, "same words again and again here"), (7, "same words again and again here"), (None, "same words again and again here"), (9, "")]
@@ -82,6 +107,24 @@ def test_repeats_equal_brute_force(spark, seed):
     assert wide == got
 
 
+def test_repeats_around_a_crowded_anchor_equal_brute_force(spark):
+    r = random.Random(8)
+    line = "".join(r.choices("abcdefgh ", k=160))
+    pairs = ["".join(r.choices("ijklmnop ", k=30)) for _ in range(60)]
+    rows = [(k, "".join(r.choices("qrstuvw ", k=r.randint(0, 40))) + r.choice(pairs) + line + r.choice(pairs) + "".join(r.choices("qrstuvw ", k=r.randint(0, 9)))) for k in range(4600)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_bytes(frame(spark, rows)).collect()}
+    assert got == brute.removed(rows) and 300 < sum(x[1] > 0 for x in got.values()) < 4600
+
+
+def test_texts_without_repeats_keep_columns_of_any_name(spark):
+    once = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(260))
+    rows = [(2, "a", 1, once + " own", "x"), (3, "b", 2, once, None)]
+    docs = spark.createDataFrame(rows, "row long, marks string, doc_id long, Text string, row_ string")
+    got = without_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(2, "a", 1, " own", "x"), (3, "b", 2, "", None)]
+
+
 def test_repeats_in_one_text_and_in_repeated_rows(spark):
     once = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(260))
     rows = [(1, once + "|" + once), (2, "unlike"), (None, None)]
