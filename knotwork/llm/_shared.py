@@ -6,8 +6,10 @@ so that a lost executor costs a rerun of its tasks only.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.plans.storage import cut
+from knotwork.plans.storage import cut, remove, shared_dir
 from knotwork.shipping import ship
 
 SLICE_BYTES = 1 << 18
@@ -55,6 +57,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut_by(df: DataFrame, what: str, column: str) -> DataFrame:
+    """As ``cut``, dealt into buckets by ``column``: joins on it do not shuffle these rows again."""
+    spark = df.sparkSession
+    name = f"knotwork_{what}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    atexit.register(_dropped, spark, name, path)
+    return spark.table(name)
+
+
+def _dropped(spark: SparkSession, name: str, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove(spark, path)
+
+
 def unused(columns: list[str], name: str) -> str:
     """A column name that ``columns`` do not hold, in any case of letters."""
     held = {c.lower() for c in columns}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm._shared import components, cut, in_arrow, text_bytes, text_slices, unused
+from knotwork.llm._shared import components, cut, cut_by, in_arrow, text_bytes, text_slices, unused
 from knotwork.llm._text import U, mix, shingle_rows
 
 #: Shingles whose place in the order follows their count: 3 MB of broadcast at most, at any input size.
@@ -399,7 +399,7 @@ def _classified(docs: DataFrame, percent: int, seed: int = 0) -> tuple[DataFrame
     wanted = grouped.join(asked.select("label").distinct(), "label", "left_semi").select("node").union(asked.select("node")).distinct()
     wanted = known.select("node", "at.*", "copies").join(wanted, "node")
     texts = rows.select("row", "twin", "text").join(wanted.hint("shuffle_hash"), ["row", "twin"]).select("node", "copies", "text").dropDuplicates(["node"])
-    texts = cut(in_arrow(texts, _sketched, "node long, copies long, text string, columns binary"), "texts")
+    texts = cut_by(in_arrow(texts, _sketched, "node long, copies long, text string, columns binary"), "texts", "node")
     return sets.drop("proof").join(known.select("node", "copies"), "node", "left"), open_groups(asked, grouped, texts, percent)
 
 
