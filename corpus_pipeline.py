@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from knotwork.llm._shared import cut, table
 from knotwork.llm.bpe import round_trip_digests
 from knotwork.llm.decontamination import without_contaminated
-from knotwork.llm.jaccard_join import near_duplicate_classes
+from knotwork.llm.jaccard_join import one_of_each_class
 from knotwork.llm.language_id import held_out, identify, learn_profiles
 from knotwork.llm.queries import vocabulary_path
 from knotwork.llm.suffix_dedup import without_repeats
@@ -29,14 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates: the one of smallest doc_id, once.
-
-    Documents with a null doc_id stay; a doc_id that occurs more than once stays once if it leads its class.
-    """
-    docs = docs.select(*COLUMNS)
-    first = near_duplicate_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(*COLUMNS)
+    """Keeps one document of each class of near duplicates: the one of smallest doc_id, nulls last, once."""
+    return one_of_each_class(docs.select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
