@@ -39,7 +39,7 @@ STANDS_FOR = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "γ": "y", "σ": "o", "ɡ": "g", "ɑ": "a", "ı": "i", "ł": "i", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 LEFT_OUT = frozenset(".-_*'`~\u2019\u00ad\u200b\u200c\u200d\u2060\ufeff")
-#: Phrases in which the word is no insult.
+#: Phrases in which the word is no insult, beside those that are learned.
 HARMLESS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown", "pond scum")
 
 
@@ -133,6 +133,23 @@ def fitted_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int =
     return b.tolist()
 
 
+def _harmless(sample: Sample, entries: dict[str, float], toxic: int, clean: int) -> set[str]:
+    """Two words, one of them an entry, that are as much of clean documents as an entry is of toxic ones."""
+    held: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    begins = tuple(e for e in entries if not e.endswith(" "))
+    for text, y in zip(sample.texts, sample.labels, strict=True):
+        words = fold(text).split()
+        hit = [f" {w} " in entries or f" {w}".startswith(begins) for w in words]
+        held[y].update({f" {words[k]} {words[k + 1]} " for k in range(len(words) - 1) if hit[k] or hit[k + 1]})
+    found = set()
+    for phrase, c in held[0].items():
+        t = held[1][phrase]
+        odds = math.log((t + 0.5) / (toxic - t + 0.5)) - math.log((c + 0.5) / (clean - c + 0.5))
+        if c > t and odds <= -ODDS and _evidence(t, c, toxic, clean) >= EVIDENCE:
+            found.add(phrase)
+    return found
+
+
 def learn_lexicon(sample: Sample) -> Lexicon:
     toxic, clean = sample.labels.count(1), sample.labels.count(0)
     if not toxic or not clean:
@@ -169,7 +186,7 @@ def learn_lexicon(sample: Sample) -> Lexicon:
         if len(words) < 3 or chosen[e][0] < 1.2 * best:
             del chosen[e]
     entries = {e: odds for e, (_, odds) in sorted(chosen.items(), key=lambda x: -x[1][0])[:ENTRIES]}
-    exceptions = [f" {' '.join(fold(p).split())} " for p in HARMLESS]
+    exceptions = sorted({f" {' '.join(fold(p).split())} " for p in HARMLESS} | _harmless(sample, entries, toxic, clean))
     lexicon = Lexicon(entries, exceptions, None)
     x = np.array([lexicon.features(t) for t in sample.texts])
     y = np.array(sample.labels, float)
