@@ -9,14 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where a local session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="knotwork-")
     return _own[app]
@@ -31,10 +34,23 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the program ends."""
+    path = f"{shared_dir(spark)}/knotwork-{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    atexit.register(remove, spark, path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all scratch tables so far, for a long session that needs none of its results any more."""
+    while _made:
+        remove(spark, _made.pop())
+
+
 def cut(df: DataFrame, what: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/knotwork-{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,8 +16,9 @@ from knotwork.operators import apps, community, components, experiments, gnn, ma
 from knotwork.operators import generators as gen
 from knotwork.operators import representation as rep
 from knotwork.plans import views
-from knotwork.plans.storage import cut
+from knotwork.plans.storage import cut, scratch
 from knotwork.plans.views import SQL as G
+from knotwork.sources import formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -586,6 +587,39 @@ def _broken(e: DataFrame) -> DataFrame:
 add("bfs_validation_broken", "u5", _broken, "SELECT * FROM (VALUES ('two roots', -16), ('cycle', -1), ('leaving', -2)) t(tree, code)")
 add("bfs_parents_beyond_half", "u5", lambda e: traversal.parents_in_range(_tree(e), _last(e) // 2), f"{_B} SELECT count(*) FILTER (WHERE parent >= (SELECT max(src) // 2 FROM g)) AS out_of_range FROM p")
 
+# Sources and sinks: what is written is read back.
+
+
+def _stored(name: str, over: str, write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    def round_trip(e: DataFrame) -> DataFrame:
+        path = scratch(e.sparkSession, name)
+        write(e, path)
+        return read(e.sparkSession, path)
+
+    add(name, over, round_trip, sql)
+
+
+def _from_one(e: DataFrame) -> DataFrame:
+    return e.select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"), F.col("w").cast("double").alias("w"))
+
+
+def _dated(e: DataFrame) -> DataFrame:
+    return e.select("src", "dst", (F.col("w") % 2 == 0).alias("follower"), F.col("w").cast("short").alias("count"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("dst")).alias("latest"))
+
+
+_TRIPLES = "SELECT src AS row, dst AS col, CAST(w AS DOUBLE) AS val FROM g"
+_stored("source_matrix_market", "g1", lambda e, p: formats.write_matrix_market(as_matrix(e), p, _last(e), 2 * views.PART_BASE), formats.read_matrix_market, _TRIPLES)
+_stored("source_triples", "g5", lambda e, p: formats.write_triples(as_matrix(e), p, _last(e) + 1, _last(e) + 1), lambda s, p: formats.read_triples(s, p)[1], _TRIPLES)
+_stored("source_vector", "g1", lambda e, p: formats.write_vector(_lines(e), p, _last(e) + 1), formats.read_vector, f"{_V} SELECT idx, CAST(val AS DOUBLE) AS val FROM v")
+_stored("source_snap", "g5", lambda e, p: formats.write_edges(e, p, sep="\t"), formats.read_snap, "SELECT DISTINCT src, dst, 1 AS w FROM g")
+_stored("source_metis", "u5", lambda e, p: formats.write_metis(_from_one(e), p, _last(e) + 1), formats.read_metis, "SELECT src + 1 AS src, dst + 1 AS dst, CAST(1 AS DOUBLE) AS w FROM g")
+_stored("source_pajek", "u5", lambda e, p: formats.write_pajek(_from_one(e), p, _last(e) + 1), formats.read_pajek, "SELECT src + 1 AS src, dst + 1 AS dst, CAST(w AS DOUBLE) AS w FROM g")
+_stored("source_parts", "g7", lambda e, p: formats.write_parts(_mod8(e), p), formats.read_parts, "SELECT DISTINCT src AS v, CAST(src % 8 AS INTEGER) AS part FROM g")
+_stored("source_edge_dump_64", "g5", formats.write_edge_dump, formats.read_edge_dump, "SELECT src, dst FROM g")
+_stored("source_edge_dump_32", "g5", lambda e, p: formats.write_edge_dump(e, p, 32), lambda s, p: formats.read_edge_dump(s, p, 32), "SELECT src, dst FROM g")
+_stored("source_binary_triples", "g5", lambda e, p: formats.write_binary_triples(as_matrix(e), p, _last(e) + 1, _last(e) + 1), formats.read_binary_triples, _TRIPLES)
+_stored("source_typed_edge_records", "g5", lambda e, p: formats.write_typed_edge_records(_dated(e), p), formats.read_typed_edge_records, "SELECT src, dst, w % 2 = 0 AS follower, CAST(w AS SMALLINT) AS count, make_timestamp((1700000000 + dst) * 1000000) AS latest FROM g")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut of suppliers and parts over eight parts."""

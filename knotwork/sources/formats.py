@@ -236,6 +236,34 @@ def _records(spark: SparkSession, path: str, dtype: np.dtype, schema: str, skip:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
+def _write_records(rows: DataFrame, dtype: np.dtype, path: str, head: bytes = b"") -> None:
+    """One file of a head and fixed-width records. Tasks pack them; the driver passes on one chunk at a time."""
+    names = list(dtype.names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = np.empty(batch.num_rows, dtype)
+            for n in names:
+                packed[n] = batch.column(n).to_numpy(zero_copy_only=False)
+            yield pa.record_batch([pa.array([packed[at : at + (1 << 15)].tobytes() for at in range(0, len(packed), 1 << 15)], pa.binary())], ["chunk"])
+
+    context = rows.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(head))
+        for row in rows.select(*names).mapInArrow(pack, "chunk binary").toLocalIterator():
+            out.write(bytearray(row["chunk"]))
+    finally:
+        out.close()
+
+
+def write_edge_dump(e: DataFrame, path: str, bits: int = 64) -> None:
+    """Raw pairs (src, dst)."""
+    kind = "<i8" if bits == 64 else "<i4"
+    _write_records(e.where("src IS NOT NULL AND dst IS NOT NULL"), np.dtype([("src", kind), ("dst", kind)]), path)
+
+
 def read_edge_dump(spark: SparkSession, path: str, bits: int = 64) -> DataFrame:
     """(src, dst) of raw pairs; negative ids are no edges."""
     kind, name = ("<i8", "long") if bits == 64 else ("<i4", "int")
@@ -256,10 +284,24 @@ def read_binary_triples(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path, np.dtype([("row", "<i8"), ("col", "<i8"), ("val", "<f8")]), "row long, col long, val double", skip=52)
 
 
+def write_binary_triples(a: DataFrame, path: str, rows: int, cols: int) -> None:
+    """A binary header, then records of int64, int64, double."""
+    head = b"HKDT" + struct.pack("<6Q", 1, 24, 0, rows, cols, a.count())
+    _write_records(a.select("row", "col", F.col("val").cast("double").alias("val")), np.dtype([("row", "<i8"), ("col", "<i8"), ("val", "<f8")]), path, head)
+
+
+_TYPED = np.dtype([("src", "<i4"), ("dst", "<i4"), ("follower", "?"), ("count", "<i2"), ("time", "<i8")])
+
+
+def write_typed_edge_records(e: DataFrame, path: str) -> None:
+    """(src, dst, follower, count, latest) from 0 on as packed records; never active is time 0."""
+    time = F.coalesce(F.unix_timestamp("latest"), F.lit(0)).alias("time")
+    _write_records(e.select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"), "follower", "count", time), _TYPED, path)
+
+
 def read_typed_edge_records(spark: SparkSession, path: str) -> DataFrame:
     """int32 from, int32 to (from 1), bool follow, int16 retweets, int64 time, packed."""
-    d = np.dtype([("src", "<i4"), ("dst", "<i4"), ("follower", "?"), ("count", "<i2"), ("time", "<i8")])
-    e = _records(spark, path, d, "src int, dst int, follower boolean, count short, time long")
+    e = _records(spark, path, _TYPED, "src int, dst int, follower boolean, count short, time long")
     return e.select((F.col("src").cast("long") - 1).alias("src"), (F.col("dst").cast("long") - 1).alias("dst"), "follower", "count", F.when(F.col("count") > 0, F.timestamp_seconds("time")).alias("latest"))
 
 
