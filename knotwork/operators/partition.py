@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from knotwork.functions.random import integer, order
 from knotwork.operators.representation import vertices
 from knotwork.plans.ranking import positions
-from knotwork.plans.storage import cut
+from knotwork.plans.storage import cut, cut_by
 from knotwork.shipping import ship
 
 MOST_STREAMED = 2_000_000
@@ -150,10 +150,12 @@ def restream(e: DataFrame, k: int, *, v: DataFrame | None = None, alpha: float |
 
     In each of ``batches`` rounds of a pass the vertices of one hash class move together: score = count -
     alpha * gamma / 2 * size^(gamma - 1), with the sizes after the round before; ties go to the lowest part.
-    Counts come from one join with the current parts; the k costs are the only thing that is broadcast.
+    Counts come from one join with the current parts; the k costs are a literal of the plan.
     """
-    spark = e.sparkSession
     e = cut(e.select("src", "dst"), "edges")
+    moving = F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(batches))
+    # A round reads the edges of its own class only, which lie by the vertex whose neighbours are counted.
+    classes = [cut_by(e.where(moving == b).repartition("src"), "class", "src") for b in range(batches)]
     every = cut(vertices(e) if v is None else v.select("v").distinct(), "vertices")
     n, nnz = every.count(), e.count()
     a = fennel_alpha(nnz, n, gamma) if alpha is None else alpha
@@ -165,11 +167,10 @@ def restream(e: DataFrame, k: int, *, v: DataFrame | None = None, alpha: float |
         for b in range(batches):
             sizes = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}
             costs = [(p, a * gamma / 2 * sizes.get(p, 0) ** (gamma - 1)) for p in range(k)]
-            cost = spark.createDataFrame(costs, "part int, cost double")
+            cost = F.split(F.lit(",".join(repr(c) for _, c in costs)), ",").cast("array<double>")  # one literal
             cheap = min(costs, key=lambda x: (x[1], x[0]))
-            moving = F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(batches)) == b
-            near = e.where(moving).join(parts.withColumnsRenamed({"v": "dst"}), "dst").groupBy(F.col("src").alias("v"), "part").count()
-            scored = near.join(F.broadcast(cost), "part").select("v", (F.col("count") - F.col("cost")).alias("score"), "part")
+            near = classes[b].join(parts.withColumnsRenamed({"v": "dst"}), "dst").groupBy(F.col("src").alias("v"), "part").count()
+            scored = near.where(F.col("part").between(0, k - 1)).select("v", (F.col("count") - F.element_at(cost, F.col("part") + 1)).alias("score"), "part")
             best = scored.groupBy("v").agg(F.max(F.struct("score", (-F.col("part")).alias("low"))).alias("b"))
             to = F.when((F.lit(-cheap[1]) > F.col("b.score")) | ((F.lit(-cheap[1]) == F.col("b.score")) & (F.lit(-cheap[0]) > F.col("b.low"))), F.lit(cheap[0])).otherwise(-F.col("b.low"))
             moved = best.select("v", to.cast("int").alias("to"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -54,3 +55,19 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_by(df: DataFrame, what: str, column: str) -> DataFrame:
+    """As ``cut``, dealt into buckets by ``column``: joins on it and groups by it do not shuffle these rows again."""
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    name = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    atexit.register(_dropped, spark, name)
+    return spark.table(name)
+
+
+def _dropped(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

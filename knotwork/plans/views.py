@@ -33,13 +33,18 @@ def co_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _together(spark, sf_dir, "l_partkey")
 
 
-def nation_trade(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
-    """Nations of customers to nations of suppliers by lines: the ``most`` heaviest of each source, no loops."""
+def nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of customers to nations of suppliers by lines, no loops."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("k"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     both = lines.join(orders, "l_orderkey").join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("src")), "c_custkey")
     both = both.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("dst")), "l_suppkey")
-    e = both.where("src <> dst").groupBy("src", "dst").agg(F.sum("k").alias("w"))
+    return both.where("src <> dst").groupBy("src", "dst").agg(F.sum("k").alias("w"))
+
+
+def foremost_trade(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
+    """A report on the nations' trade: the ``most`` heaviest arcs of each source."""
+    e = nation_trade(spark, sf_dir)
     own = Window.partitionBy("src").orderBy(F.desc("w"), "dst")
     return e.withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= most).drop("_k")
 
@@ -76,11 +81,11 @@ SQL = {
     "g1": f"SELECT l_suppkey AS src, l_partkey + {PART_BASE} AS dst, count(*) AS w FROM lineitem GROUP BY 1, 2",
     "g2": "SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2",
     "g7": "SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2",
-    "g3": """SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM (
-        SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)) WHERE k <= 3""",
+    "g0": """SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2""",
     "g4": """SELECT user_id AS src, event_type, count(*) AS n, bool_or(event_type = 'signup') AS follower,
         count(*) FILTER (WHERE event_type = 'purchase') AS count, max(ts) AS latest FROM events GROUP BY 1, 2""",
     "g5": "SELECT src, dst, count(*) AS w FROM (SELECT lag(user_id) OVER (ORDER BY ts, event_id) AS src, user_id AS dst FROM events) WHERE src <> dst GROUP BY 1, 2",
     "g6": "SELECT o_custkey AS src, l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 }
+SQL["g3"] = f"SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM ({SQL['g0']})) WHERE k <= 3"

@@ -24,26 +24,31 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-GRAPHS = {"g1": views.supplier_part, "g2": views.co_supply, "g3": views.nation_trade, "g5": views.user_transitions, "g6": views.customer_supplier_lines, "g7": views.co_purchase}
-#: The nations' graph both ways, and the users' graph both ways.
-N3 = f"n3 AS (WITH g AS ({G['g3']}) SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g) GROUP BY 1, 2)"
-U5 = f"u5 AS (WITH g AS ({G['g5']}) SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g) GROUP BY 1, 2)"
+GRAPHS = {"g1": views.supplier_part, "g2": views.co_supply, "g0": views.nation_trade, "g3": views.foremost_trade, "g5": views.user_transitions, "g6": views.customer_supplier_lines, "g7": views.co_purchase}
+#: Graphs with both ways of each edge: of the nations, of their foremost trade, of the users.
+BOTH_WAYS = {"n0": "g0", "n3": "g3", "u5": "g5"}
 
 
 def graph(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name == "n3":
-        return rep.symmetrized(views.nation_trade(spark, sf_dir))
-    if name == "u5":
-        return rep.symmetrized(views.user_transitions(spark, sf_dir))
-    return GRAPHS[name](spark, sf_dir)
+    e = GRAPHS[BOTH_WAYS.get(name, name)](spark, sf_dir)
+    return rep.symmetrized(e) if name in BOTH_WAYS else e
+
+
+def source(name: str) -> str:
+    """The graph as the table ``g`` of a WITH."""
+    if name not in BOTH_WAYS:
+        return f"g AS ({G[name]})"
+    return f"{name} AS (WITH g AS ({G[BOTH_WAYS[name]]}) SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g) GROUP BY 1, 2), g AS (SELECT * FROM {name})"
 
 
 def add(name: str, over: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    """Register ``run`` over a graph; the SQL may read it as ``g``."""
+    """Register ``run`` over a graph; the SQL may read it as ``g``. A query over the nations has a second one, of the
+    same name and _top3, over their foremost trade: that graph is sparse, where the whole one is nearly complete."""
+    if over in ("g0", "n0"):
+        add(f"{name}_top3", over.replace("0", "3"), run, sql)
     QUERIES[name] = lambda spark, sf_dir: run(graph(spark, sf_dir, over))
     if sql is not None:
-        source = {"n3": f"{N3}, g AS (SELECT * FROM n3)", "u5": f"{U5}, g AS (SELECT * FROM u5)"}.get(over) or f"g AS ({G[over]})"
-        ORACLE_SQL[name] = f"WITH RECURSIVE {source} {sql}"
+        ORACLE_SQL[name] = f"WITH RECURSIVE {source(over)} {sql}"
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -73,13 +78,13 @@ add("vertices", "g7", rep.vertices, "SELECT src AS v FROM g UNION SELECT dst FRO
 add("adjacency_lists", "g5", lambda e: rep.adjacency_lists(e).select("v", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs")), "SELECT v, coalesce(string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst), '') AS nbrs FROM (SELECT src AS v FROM g UNION SELECT dst FROM g) LEFT JOIN (SELECT DISTINCT src, dst FROM g) ON v = src GROUP BY v")
 add("edges_of_lists", "g5", lambda e: rep.edges_of_lists(rep.adjacency_lists(e)), "SELECT DISTINCT src, dst, 1 AS w FROM g")
 add("compacted_matrix", "g5", rep.matrix_of_edges, ", r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM (SELECT src AS v FROM g UNION SELECT dst FROM g)) SELECT a.k AS row, b.k AS col, w AS val FROM g JOIN r a ON a.v = src JOIN r b ON b.v = dst")
-add("incidence", "g3", lambda e: rep.incidence(e.withColumn("w", F.lit(1)), True), ", k AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS edge_id FROM g) SELECT src AS node, edge_id, -1 AS sign FROM k UNION ALL SELECT dst, edge_id, 1 FROM k")
-add("edges_of_incidence", "g3", lambda e: rep.edges_of_incidence(rep.incidence(e.withColumn("w", F.lit(1)), True)), "SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM g")
-add("graph_text", "n3", lambda e: rep.to_string(rep.adjacency_lists(e)), "SELECT string_agg(p || ',', '' ORDER BY src) AS text FROM (SELECT src, string_agg('.' || CAST(dst AS VARCHAR), '' ORDER BY dst) AS p FROM g GROUP BY src)")
-add("graph_text_parsed", "n3", lambda e: rep.from_string(rep.to_string(rep.adjacency_lists(e))), ", k AS (SELECT src, row_number() OVER (ORDER BY src) AS r FROM (SELECT DISTINCT src FROM g)) SELECT r AS src, dst, 1 AS w FROM g JOIN k USING (src)")
+add("incidence", "g0", lambda e: rep.incidence(e.withColumn("w", F.lit(1)), True), ", k AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS edge_id FROM g) SELECT src AS node, edge_id, -1 AS sign FROM k UNION ALL SELECT dst, edge_id, 1 FROM k")
+add("edges_of_incidence", "g0", lambda e: rep.edges_of_incidence(rep.incidence(e.withColumn("w", F.lit(1)), True)), "SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM g")
+add("graph_text", "n0", lambda e: rep.to_string(rep.adjacency_lists(e)), "SELECT string_agg(p || ',', '' ORDER BY src) AS text FROM (SELECT src, string_agg('.' || CAST(dst AS VARCHAR), '' ORDER BY dst) AS p FROM g GROUP BY src)")
+add("graph_text_parsed", "n0", lambda e: rep.from_string(rep.to_string(rep.adjacency_lists(e))), ", k AS (SELECT src, row_number() OVER (ORDER BY src) AS r FROM (SELECT DISTINCT src FROM g)) SELECT r AS src, dst, 1 AS w FROM g JOIN k USING (src)")
 add("subgraph_even", "g7", lambda e: rep.subgraph(e, rep.vertices(e).where("v % 2 = 0")), "SELECT src, dst, w FROM g WHERE src % 2 = 0 AND dst % 2 = 0")
-add("complement", "n3", rep.complement, ", v AS (SELECT DISTINCT src AS v FROM g) SELECT a.v AS src, b.v AS dst, 1 AS w FROM v a CROSS JOIN v b WHERE NOT EXISTS (SELECT 1 FROM g WHERE src = a.v AND dst = b.v)")
-add("line_graph", "n3", rep.line_graph, ", p AS (SELECT DISTINCT src AS a, dst AS b FROM g WHERE src < dst) SELECT x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM p x JOIN p y ON (x.a < y.a OR (x.a = y.a AND x.b < y.b)) AND (x.a IN (y.a, y.b) OR x.b IN (y.a, y.b))")
+add("complement", "n0", rep.complement, ", v AS (SELECT DISTINCT src AS v FROM g) SELECT a.v AS src, b.v AS dst, 1 AS w FROM v a CROSS JOIN v b WHERE NOT EXISTS (SELECT 1 FROM g WHERE src = a.v AND dst = b.v)")
+add("line_graph", "n0", rep.line_graph, ", p AS (SELECT DISTINCT src AS a, dst AS b FROM g WHERE src < dst) SELECT x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM p x JOIN p y ON (x.a < y.a OR (x.a = y.a AND x.b < y.b)) AND (x.a IN (y.a, y.b) OR x.b IN (y.a, y.b))")
 
 # Predicates and counts.
 
@@ -94,7 +99,7 @@ def _answers(e: DataFrame) -> DataFrame:
 
 
 _N = "(SELECT count(*) FROM (SELECT src FROM g UNION SELECT dst FROM g))"
-add("predicates", "n3", _answers, f"""
+add("predicates", "n0", _answers, f"""
 , d AS (SELECT dst, count(*) AS d, sum(w) AS s FROM g GROUP BY dst),
 r AS (SELECT min(src) AS v FROM g UNION SELECT g.dst FROM r JOIN g ON g.src = r.v)
 SELECT 'directed' AS question, EXISTS (SELECT 1 FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.src = a.dst AND b.dst = a.src AND b.w = a.w)) AS answer
@@ -124,23 +129,23 @@ add("leaf_nodes", "g5", metrics.leaf_nodes, "SELECT dst AS v FROM g GROUP BY dst
 add("leaf_edges", "g5", metrics.leaf_edges, "SELECT src, dst, w FROM g WHERE dst IN (SELECT dst FROM g GROUP BY dst HAVING count(*) = 1)")
 add("order_by_max_neighbour", "u5", metrics.order_by_max_neighbour, f"{_D} SELECT v, row_number() OVER (ORDER BY deg, far, v) - 1 AS pos FROM (SELECT a.v, any_value(a.deg) AS deg, max(b.deg) AS far FROM d a JOIN g ON g.src = a.v JOIN d b ON b.v = g.dst GROUP BY a.v)")
 add("degree_order", "g7", metrics.order_by_degree, "SELECT src AS v, row_number() OVER (ORDER BY count(*) DESC, src) - 1 AS pos FROM g GROUP BY src")
-add("order_by_neighbour_sums", "n3", lambda e: metrics.order_by_neighbour_sums(e, 2), f"{_D}, two AS (SELECT DISTINCT a.src, b.dst FROM g a JOIN g b ON a.dst = b.src) SELECT v, row_number() OVER (ORDER BY deg DESC, s1 DESC, s2 DESC, v) - 1 AS pos FROM (SELECT v, deg, (SELECT sum(b.deg) FROM (SELECT DISTINCT src, dst FROM g) x JOIN d b ON b.v = x.dst WHERE x.src = d.v) AS s1, (SELECT sum(b.deg) FROM two x JOIN d b ON b.v = x.dst WHERE x.src = d.v) AS s2 FROM d)")
-add("kneighbors_2", "g3", lambda e: metrics.walk_neighbours(e, 0, 2), "SELECT DISTINCT b.dst AS v FROM g a JOIN g b ON a.dst = b.src WHERE a.src = 0")
-add("first_reached_2", "g3", lambda e: metrics.first_reached(e, 0, 2), "SELECT DISTINCT b.dst AS v FROM g a JOIN g b ON a.dst = b.src WHERE a.src = 0 AND b.dst <> 0 AND b.dst NOT IN (SELECT dst FROM g WHERE src = 0)")
+add("order_by_neighbour_sums", "n0", lambda e: metrics.order_by_neighbour_sums(e, 2), f"{_D}, two AS (SELECT DISTINCT a.src, b.dst FROM g a JOIN g b ON a.dst = b.src) SELECT v, row_number() OVER (ORDER BY deg DESC, s1 DESC, s2 DESC, v) - 1 AS pos FROM (SELECT v, deg, (SELECT sum(b.deg) FROM (SELECT DISTINCT src, dst FROM g) x JOIN d b ON b.v = x.dst WHERE x.src = d.v) AS s1, (SELECT sum(b.deg) FROM two x JOIN d b ON b.v = x.dst WHERE x.src = d.v) AS s2 FROM d)")
+add("kneighbors_2", "g0", lambda e: metrics.walk_neighbours(e, 0, 2), "SELECT DISTINCT b.dst AS v FROM g a JOIN g b ON a.dst = b.src WHERE a.src = 0")
+add("first_reached_2", "g0", lambda e: metrics.first_reached(e, 0, 2), "SELECT DISTINCT b.dst AS v FROM g a JOIN g b ON a.dst = b.src WHERE a.src = 0 AND b.dst <> 0 AND b.dst NOT IN (SELECT dst FROM g WHERE src = 0)")
 add("triangles", "g7", metrics.triangle_count, f"{_T} SELECT count(*) AS triangles FROM t")
 add("triangles_per_vertex", "u5", metrics.triangles_per_vertex, f"{_T} SELECT v, count(*) AS t FROM (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY v")
-add("four_loops", "n3", metrics.four_loops, ", s AS (SELECT DISTINCT src, dst FROM g WHERE src <> dst) SELECT count(*) AS loops4 FROM (SELECT DISTINCT list_sort([a.dst, b.dst, a.src, c.src]) FROM s a JOIN s b ON a.src = b.src AND a.dst < b.dst JOIN s c ON c.dst = a.dst AND c.src > a.src JOIN s d ON d.src = c.src AND d.dst = b.dst)")
+add("four_loops", "n0", metrics.four_loops, ", s AS (SELECT DISTINCT src, dst FROM g WHERE src <> dst) SELECT count(*) AS loops4 FROM (SELECT DISTINCT list_sort([a.dst, b.dst, a.src, c.src]) FROM s a JOIN s b ON a.src = b.src AND a.dst < b.dst JOIN s c ON c.dst = a.dst AND c.src > a.src JOIN s d ON d.src = c.src AND d.dst = b.dst)")
 add("triples", "u5", metrics.connected_triples, f"{_T}{_K} SELECT (SELECT CAST(sum(n * (n - 1) / 2) AS DOUBLE) FROM n) - 2 * (SELECT count(*) FROM t) AS triples")
 add("star_motifs", "u5", lambda e: metrics.star_motifs(e, 3), f"{_D} SELECT sum(deg * (deg - 1) / 2) AS stars FROM d")
 add("clustering", "u5", lambda e: rounded(metrics.clustering(e), "c"), f"{_T}{_K}, k AS (SELECT v, count(*) AS t FROM (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY v) SELECT n.v, round(CASE WHEN n > 1 THEN 2 * coalesce(t, 0) / CAST(n * (n - 1) AS DOUBLE) ELSE 0 END, 6) AS c FROM n LEFT JOIN k ON k.v = n.v")
 add("clustering_summary", "u5", lambda e: rounded(metrics.clustering_summary(e), "c1", "c2"), f"{_T}{_K}, k AS (SELECT v, count(*) AS t FROM (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY v) SELECT round((SELECT count(*) FROM t) / ((SELECT CAST(sum(n * (n - 1) / 2) AS DOUBLE) FROM n) - 2 * (SELECT count(*) FROM t)), 6) AS c1, round(avg(CASE WHEN n > 1 THEN 2 * coalesce(t, 0) / CAST(n * (n - 1) AS DOUBLE) ELSE 0 END), 6) AS c2 FROM n LEFT JOIN k ON k.v = n.v")
-add("weighted_clustering", "n3", lambda e: rounded(metrics.weighted_clustering(e), "c"), ", s AS (SELECT src AS v, sum(w) AS s, count(*) AS n FROM g GROUP BY src), t AS (SELECT a.src AS v, sum((a.w + b.w) / 2.0) AS t FROM g a JOIN g b ON a.src = b.src AND a.dst <> b.dst JOIN g c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src) SELECT s.v, round(CASE WHEN n > 1 THEN coalesce(t, 0) / (s * (n - 1.0)) ELSE 0 END, 6) AS c FROM s LEFT JOIN t ON s.v = t.v")
+add("weighted_clustering", "n0", lambda e: rounded(metrics.weighted_clustering(e), "c"), ", s AS (SELECT src AS v, sum(w) AS s, count(*) AS n FROM g GROUP BY src), t AS (SELECT a.src AS v, sum((a.w + b.w) / 2.0) AS t FROM g a JOIN g b ON a.src = b.src AND a.dst <> b.dst JOIN g c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src) SELECT s.v, round(CASE WHEN n > 1 THEN coalesce(t, 0) / (s * (n - 1.0)) ELSE 0 END, 6) AS c FROM s LEFT JOIN t ON s.v = t.v")
 add("assortativity", "u5", lambda e: rounded(metrics.assortativity(e), "r"), f"{_D}, m AS (SELECT sum(deg * deg) / sum(deg) AS xb FROM d) SELECT round((SELECT sum((a.deg - xb) * w * (b.deg - xb)) FROM g JOIN d a ON a.v = src JOIN d b ON b.v = dst, m) / (SELECT sum(deg * (deg - xb) * (deg - xb)) FROM d, m), 6) AS r")
 add("s_metric", "u5", metrics.s_metric, f"{_D} SELECT sum(a.deg * b.deg) AS s FROM g JOIN d a ON a.v = src JOIN d b ON b.v = dst")
 add("rich_club", "g7", lambda e: rounded(metrics.rich_club(e, 140), "phi"), f"{_D}, r AS (SELECT v FROM d WHERE deg >= 140) SELECT round(CASE WHEN (SELECT count(*) FROM r) > 1 THEN 2 * (SELECT count(*) FROM g WHERE src < dst AND src IN (SELECT v FROM r) AND dst IN (SELECT v FROM r)) / CAST((SELECT count(*) FROM r) * ((SELECT count(*) FROM r) - 1) AS DOUBLE) ELSE 0 END, 6) AS phi")
 add("degree_cdf_rank", "g7", lambda e: rounded(metrics.cdf_and_rank(metrics.neighbour_counts(e), "n"), "cdf", "log_rank", "log_x"), f"{_K}, k AS (SELECT CAST(n AS DOUBLE) AS x, count(*) AS n FROM n GROUP BY 1) SELECT x, n, round(sum(n) OVER (ORDER BY x) / (SELECT sum(n) FROM k), 6) AS cdf, round(ln(coalesce(sum(n) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1), 6) AS log_rank, round(ln(x), 6) AS log_x FROM k")
 add("degree_pdf", "g7", lambda e: rounded(metrics.window_pdf(metrics.neighbour_counts(e), "n", 10), "pdf"), f"{_K}, k AS (SELECT CAST(n AS DOUBLE) AS x, count(*) AS n FROM n GROUP BY 1) SELECT x, round(sum(n) OVER (ORDER BY x RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) / (SELECT sum(n) FROM k), 6) AS pdf FROM k")
-add("laplacian", "n3", metrics.laplacian, f"{_D} SELECT src AS row, dst AS col, -w AS val FROM g UNION ALL SELECT v, v, CAST(deg AS BIGINT) FROM d")
+add("laplacian", "n0", metrics.laplacian, f"{_D} SELECT src AS row, dst AS col, -w AS val FROM g UNION ALL SELECT v, v, CAST(deg AS BIGINT) FROM d")
 
 # Sparse algebra over suppliers and parts (g1) and users (g5).
 
@@ -156,9 +161,9 @@ add("spmv_min_plus", "g1", lambda e: matrix.times_vector(as_matrix(e), _x(e), se
 add("spmv_max_select", "g1", lambda e: matrix.times_vector(as_matrix(e), _x(e).where("val > 3"), semirings.MAX_SECOND), f"{_X} SELECT src AS idx, max(val) AS val FROM g JOIN x ON dst = idx WHERE val > 3 GROUP BY src")
 add("spmv_filtered", "g1", lambda e: matrix.times_vector(as_matrix(e), _x(e), semirings.PLUS_TIMES.filtered(lambda a: a > 1)), f"{_X} SELECT src AS idx, CAST(sum(w * val) AS BIGINT) AS val FROM g JOIN x ON dst = idx WHERE w > 1 GROUP BY src")
 add("spgemm_cosupply", "g1", lambda e: matrix.multiply(as_matrix(e), matrix.transpose(as_matrix(e))), "SELECT a.src AS row, b.src AS col, CAST(sum(a.w * b.w) AS BIGINT) AS val FROM g a JOIN g b ON a.dst = b.dst GROUP BY 1, 2")
-add("square", "g3", lambda e: matrix.square(as_matrix(e)), "SELECT a.src AS row, b.dst AS col, CAST(sum(a.w * b.w) AS BIGINT) AS val FROM g a JOIN g b ON a.dst = b.src GROUP BY 1, 2")
-add("triple_product", "g3", lambda e: matrix.triple_product(as_matrix(e), as_matrix(e), as_matrix(e), r_transposed=True), "SELECT a.dst AS row, c.dst AS col, CAST(sum(a.w * b.w * c.w) AS BIGINT) AS val FROM g a JOIN g b ON a.src = b.src JOIN g c ON b.dst = c.src GROUP BY 1, 2")
-add("boolean_power_4", "g3", lambda e: matrix.powers(as_matrix(e), 4)[-1].select("row", "col"), "SELECT DISTINCT a.src AS row, d.dst AS col FROM g a JOIN g b ON a.dst = b.src JOIN g c ON b.dst = c.src JOIN g d ON c.dst = d.src")
+add("square", "g0", lambda e: matrix.square(as_matrix(e)), "SELECT a.src AS row, b.dst AS col, CAST(sum(a.w * b.w) AS BIGINT) AS val FROM g a JOIN g b ON a.dst = b.src GROUP BY 1, 2")
+add("triple_product", "g0", lambda e: matrix.triple_product(as_matrix(e), as_matrix(e), as_matrix(e), r_transposed=True), "SELECT a.dst AS row, c.dst AS col, CAST(sum(a.w * b.w * c.w) AS BIGINT) AS val FROM g a JOIN g b ON a.src = b.src JOIN g c ON b.dst = c.src GROUP BY 1, 2")
+add("boolean_power_4", "g0", lambda e: matrix.powers(as_matrix(e), 4)[-1].select("row", "col"), "SELECT DISTINCT a.src AS row, d.dst AS col FROM g a JOIN g b ON a.dst = b.src JOIN g c ON b.dst = c.src JOIN g d ON c.dst = d.src")
 add("transpose", "g1", lambda e: matrix.transpose(as_matrix(e)), "SELECT dst AS row, src AS col, w AS val FROM g")
 add("matrix_sum", "g5", lambda e: matrix.add(as_matrix(e), matrix.transpose(as_matrix(e))), "SELECT src AS row, dst AS col, CAST(sum(w) AS BIGINT) AS val FROM (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g) GROUP BY 1, 2")
 
@@ -182,15 +187,15 @@ add("prune_values", "g1", lambda e: matrix.prune(as_matrix(e), lambda c: c == 1)
 add("prune_places", "g1", lambda e: matrix.prune_places(as_matrix(e), indices(e, "src", 2, 0), indices(e, "dst", 3, 0)), "SELECT src AS row, dst AS col, w AS val FROM g WHERE NOT (src % 2 = 0 AND dst % 3 = 0)")
 add("apply_along_columns", "g1", lambda e: matrix.apply_along(as_matrix(e), _x(e), lambda a, x: a * x, by="col"), f"{_X} SELECT src AS row, dst AS col, w * val AS val FROM g JOIN x ON dst = idx")
 add("reduce_rows", "g1", lambda e: matrix.reduce(as_matrix(e), "row"), "SELECT src AS idx, CAST(sum(w) AS BIGINT) AS val FROM g GROUP BY src")
-add("reduce_columns_dense", "g3", lambda e: matrix.reduce(as_matrix(e), "col", F.max, size=30, identity=-1), "SELECT i AS idx, coalesce(max(w), -1) AS val FROM range(30) t(i) LEFT JOIN g ON dst = i GROUP BY i")
+add("reduce_columns_dense", "g0", lambda e: matrix.reduce(as_matrix(e), "col", F.max, size=30, identity=-1), "SELECT i AS idx, coalesce(max(w), -1) AS val FROM range(30) t(i) LEFT JOIN g ON dst = i GROUP BY i")
 add("index_submatrix", "g1", lambda e: matrix.index(as_matrix(e), indices(e, "src", 3, 1), indices(e, "dst", 5, 2)), "SELECT src // 3 AS row, dst // 5 AS col, w AS val FROM g WHERE src % 3 = 1 AND dst % 5 = 2")
 add("assign_submatrix", "g1", lambda e: matrix.assign(as_matrix(e), indices(e, "src", 3, 1), indices(e, "dst", 5, 2), matrix.index(as_matrix(e), indices(e, "src", 3, 1), indices(e, "dst", 5, 2)).where("val > 1")), "SELECT src AS row, dst AS col, w AS val FROM g WHERE NOT (src % 3 = 1 AND dst % 5 = 2 AND w <= 1)")
 add("load_imbalance", "g1", lambda e: rounded(matrix.load_imbalance(as_matrix(e), 8), "imbalance"), "SELECT round(8.0 * max(n) / sum(n), 6) AS imbalance FROM (SELECT count(*) AS n FROM g GROUP BY src % 8)")
 add("block_owners", "g1", lambda e: matrix.owners(as_matrix(e), 100, 2000, 4), "SELECT src AS row, dst AS col, w AS val, least(src // 25, 3) AS owner_row, least(dst // 500, 3) AS owner_col, src - least(src // 25, 3) * 25 AS local_row, dst - least(dst // 500, 3) * 500 AS local_col FROM g")
-add("rows_as_lists", "g3", lambda e: matrix.lists_as_rows(matrix.rows_as_lists(as_matrix(e))), "SELECT src AS row, dst AS col, w AS val FROM g")
-add("densify", "g3", lambda e: matrix.densify(as_matrix(e), 25, 25), "SELECT i AS row, j AS col, coalesce(w, 0) AS val FROM range(25) a(i) CROSS JOIN range(25) b(j) LEFT JOIN g ON src = i AND dst = j")
-add("sparsify", "g3", lambda e: matrix.sparsify(matrix.densify(as_matrix(e), 25, 25)), "SELECT src AS row, dst AS col, w AS val FROM g")
-add("update_dense", "g3", lambda e: matrix.update_dense(matrix.densify(as_matrix(e), 25, 25), matrix.transpose(as_matrix(e)), lambda d, a: d - a), "SELECT i AS row, j AS col, coalesce(a.w, 0) - coalesce(b.w, 0) AS val FROM range(25) x(i) CROSS JOIN range(25) y(j) LEFT JOIN g a ON a.src = i AND a.dst = j LEFT JOIN g b ON b.src = j AND b.dst = i")
+add("rows_as_lists", "g0", lambda e: matrix.lists_as_rows(matrix.rows_as_lists(as_matrix(e))), "SELECT src AS row, dst AS col, w AS val FROM g")
+add("densify", "g0", lambda e: matrix.densify(as_matrix(e), 25, 25), "SELECT i AS row, j AS col, coalesce(w, 0) AS val FROM range(25) a(i) CROSS JOIN range(25) b(j) LEFT JOIN g ON src = i AND dst = j")
+add("sparsify", "g0", lambda e: matrix.sparsify(matrix.densify(as_matrix(e), 25, 25)), "SELECT src AS row, dst AS col, w AS val FROM g")
+add("update_dense", "g0", lambda e: matrix.update_dense(matrix.densify(as_matrix(e), 25, 25), matrix.transpose(as_matrix(e)), lambda d, a: d - a), "SELECT i AS row, j AS col, coalesce(a.w, 0) - coalesce(b.w, 0) AS val FROM range(25) x(i) CROSS JOIN range(25) y(j) LEFT JOIN g a ON a.src = i AND a.dst = j LEFT JOIN g b ON b.src = j AND b.dst = i")
 add("expand_symmetry", "g5", lambda e: matrix.expand_symmetry(as_matrix(e.where("src < dst"))), "SELECT src AS row, dst AS col, w AS val FROM g WHERE src < dst UNION ALL SELECT dst, src, w FROM g WHERE src < dst")
 add("check_valid", "g5", lambda e: matrix.check_valid(as_matrix(e), 100, 100), "SELECT count(*) AS entries, count(*) FILTER (WHERE src < 0 OR src >= 100 OR dst < 0 OR dst >= 100) AS out_of_range, CAST(0 AS BIGINT) AS repeated FROM g")
 add("density_bins", "g1", lambda e: matrix.binned(as_matrix(e), 50), "SELECT src // 50 AS row_bin, dst // 50 AS col_bin, count(*) AS n FROM g GROUP BY 1, 2")
@@ -274,7 +279,7 @@ def _tree(e: DataFrame) -> DataFrame:
 
 add("bfs_levels", "u5", lambda e: traversal.level_sets(_tree(e)), f"{_B} SELECT CAST(level AS INTEGER) AS level, count(*) AS n FROM t GROUP BY level")
 add("bfs_parents_max", "u5", lambda e: _tree(e), f"{_B} SELECT v, CAST(level AS INTEGER) AS level, parent FROM p")
-add("bfs_bottom_up", "g3", lambda e: traversal.bfs_bottom_up(e, 0), f"{_B} SELECT v, CAST(level AS INTEGER) AS level, parent FROM p")
+add("bfs_bottom_up", "g0", lambda e: traversal.bfs_bottom_up(e, 0), f"{_B} SELECT v, CAST(level AS INTEGER) AS level, parent FROM p")
 add("bfs_direction_optimizing", "u5", lambda e: traversal.bfs_direction_optimizing(e, e.agg(F.min("src")).first()[0]), f"{_B} SELECT v, CAST(level AS INTEGER) AS level, parent FROM p")
 add("bfs_depths", "u5", lambda e: traversal.depth_by_relaxation(_tree(e), e.agg(F.min("src")).first()[0]), f"{_B} SELECT v, CAST(level AS INTEGER) AS depth FROM t")
 add("bfs_parents_in_range", "u5", lambda e: traversal.parents_in_range(_tree(e), _last(e) + 1), "SELECT CAST(0 AS BIGINT) AS out_of_range FROM (SELECT 1)")
@@ -285,11 +290,11 @@ add("level_comm", "u5", lambda e: traversal.communication(_tree(e), e, _last(e)
 SELECT CAST(la AS INTEGER) AS level, count(*) FILTER (WHERE child) AS children, count(*) FILTER (WHERE down AND NOT child) AS failed_children, count(*) FILTER (WHERE la = lb) AS peers, count(*) FILTER (WHERE lb < la) AS parents, count(*) FILTER (WHERE child AND crosses) AS remote_children, count(*) FILTER (WHERE deg > 60) AS high_degree FROM x GROUP BY la""")
 add("bfs_frontier_history", "u5", lambda e: traversal.frontier_history(_tree(e), _last(e) + 1, 4), f"{_B}, o AS (SELECT (max(src) + 1) / 4.0 AS c FROM g), x AS (SELECT level, CAST(floor(v / c) AS BIGINT) AS owner FROM p, o WHERE level > 0 AND floor(v / c) <> floor(parent / c)) SELECT CAST(level AS INTEGER) AS level, owner, CAST(sum(count(*)) OVER (PARTITION BY owner ORDER BY level) AS BIGINT) AS remote FROM x GROUP BY level, owner")
 add("bfs_traversed", "u5", lambda e: traversal.traversed_by_degree(_tree(e), e), "SELECT count(*) AS traversed FROM g")
-add("bfs_order", "g3", lambda e: traversal.bfs_order(e, 0))
+add("bfs_order", "g0", lambda e: traversal.bfs_order(e, 0))
 add("kernel_1", "g6", lambda e: traversal.kernel_1(e), "SELECT src, dst FROM g WHERE src <> dst UNION SELECT dst, src FROM g WHERE src <> dst")
 add("components", "g1", components.weak_components, ", u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), r AS (SELECT DISTINCT src AS v, src AS c FROM u WHERE src = (SELECT min(src) FROM u) UNION SELECT u.dst, r.c FROM r JOIN u ON u.src = r.v) SELECT src AS v, coalesce(min(c), src) AS component FROM (SELECT DISTINCT src FROM u) LEFT JOIN r ON r.v = src GROUP BY src")
 add("giant_component", "u5", components.giant_component, ", r AS (SELECT min(src) AS v FROM g UNION SELECT g.dst FROM r JOIN g ON g.src = r.v) SELECT v FROM r")
-add("strong_components", "g3", components.strong_components, ", r AS (SELECT src AS a, src AS b FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b) SELECT x.a AS v, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a UNION SELECT dst, dst FROM g WHERE dst NOT IN (SELECT src FROM g)")
+add("strong_components", "g0", components.strong_components, ", r AS (SELECT src AS a, src AS b FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b) SELECT x.a AS v, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a UNION SELECT dst, dst FROM g WHERE dst NOT IN (SELECT src FROM g)")
 
 _P = ", s AS (SELECT src, sum(w) AS t FROM g GROUP BY src), m AS (SELECT dst AS r, g.src AS c, w / CAST(t AS DOUBLE) AS p FROM g JOIN s ON s.src = g.src), v AS (SELECT DISTINCT src AS v FROM g), k AS (SELECT count(*) AS n FROM v), x0 AS (SELECT v, 1.0 / CAST(n AS DOUBLE) AS x FROM v, k)"
 for _i in range(1, 21):
@@ -302,15 +307,15 @@ _SP += ", sp0 AS (SELECT s, v, 1.0::DOUBLE AS n FROM t WHERE d = 0)" + "".join(f
 _SP += ", p AS (SELECT t.s, t.v, t.d, q.n FROM t JOIN (" + " UNION ALL ".join(f"SELECT * FROM sp{_i}" for _i in range(9)) + ") q ON q.s = t.s AND q.v = t.v)"
 _THROUGH = "SELECT a.v, sum(a.n * b.n / c.n) AS x FROM p a JOIN p b ON a.v = b.s JOIN p c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d WHERE a.s <> a.v AND b.v <> a.v GROUP BY a.v"
 _PAIRS = "(SELECT CAST(count(*) * (count(*) - 1) AS DOUBLE) FROM v)"
-add("betweenness", "n3", lambda e: rounded(apps.betweenness(e), "score"), f"{_SP} SELECT v.v, round(coalesce(x, 0), 6) AS score FROM v LEFT JOIN ({_THROUGH}) h ON h.v = v.v")
-add("node_betweenness", "n3", lambda e: rounded(apps.node_betweenness(e), "score"), f"{_SP} SELECT v.v, round(coalesce(x, 0) / {_PAIRS}, 6) AS score FROM v LEFT JOIN ({_THROUGH}) h ON h.v = v.v")
-add("edge_betweenness", "n3", lambda e: rounded(apps.edge_betweenness(e), "score"), f"{_SP} SELECT e.src, e.dst, round(sum(a.n * b.n / c.n) / {_PAIRS}, 6) AS score FROM e JOIN p a ON a.v = e.src JOIN p b ON b.s = e.dst JOIN p c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d + 1 GROUP BY 1, 2")
-add("markov_clusters", "n3", lambda e: rounded(apps.markov_clusters(as_matrix(e).withColumn("val", F.col("val").cast("double")), normalize=True), "val"))
+add("betweenness", "n0", lambda e: rounded(apps.betweenness(e), "score"), f"{_SP} SELECT v.v, round(coalesce(x, 0), 6) AS score FROM v LEFT JOIN ({_THROUGH}) h ON h.v = v.v")
+add("node_betweenness", "n0", lambda e: rounded(apps.node_betweenness(e), "score"), f"{_SP} SELECT v.v, round(coalesce(x, 0) / {_PAIRS}, 6) AS score FROM v LEFT JOIN ({_THROUGH}) h ON h.v = v.v")
+add("edge_betweenness", "n0", lambda e: rounded(apps.edge_betweenness(e), "score"), f"{_SP} SELECT e.src, e.dst, round(sum(a.n * b.n / c.n) / {_PAIRS}, 6) AS score FROM e JOIN p a ON a.v = e.src JOIN p b ON b.s = e.dst JOIN p c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d + 1 GROUP BY 1, 2")
+add("markov_clusters", "n0", lambda e: rounded(apps.markov_clusters(as_matrix(e).withColumn("val", F.col("val").cast("double")), normalize=True), "val"))
 #: The shifted matrix, squared ten times and brought to a greatest entry of 1 each time: its columns are the vector.
 _E = ", v AS (SELECT src AS v FROM g UNION SELECT dst FROM g), e0 AS (SELECT i, j, CAST(sum(x) AS DOUBLE) AS x FROM (SELECT src AS i, dst AS j, w AS x FROM g UNION ALL SELECT v, v, 1 FROM v) GROUP BY 1, 2)"
 for _i in range(1, 11):
     _E += f", f{_i} AS MATERIALIZED (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM e{_i - 1} a JOIN e{_i - 1} b ON a.j = b.i GROUP BY 1, 2), e{_i} AS MATERIALIZED (SELECT i, j, x / (SELECT max(x) FROM f{_i}) AS x FROM f{_i})"
-add("eigenvector_centrality", "n3", lambda e: rounded(apps.eigenvector_centrality(e), "x"), f"{_E}, r AS (SELECT i AS v, sum(x) AS x FROM e10 GROUP BY i) SELECT v, round(x / sqrt((SELECT sum(x * x) FROM r)), 6) AS x FROM r")
+add("eigenvector_centrality", "n0", lambda e: rounded(apps.eigenvector_centrality(e), "x"), f"{_E}, r AS (SELECT i AS v, sum(x) AS x FROM e10 GROUP BY i) SELECT v, round(x / sqrt((SELECT sum(x * x) FROM r)), 6) AS x FROM r")
 
 # Shortest paths over the nations, an edge as long as 1 + w mod 5.
 
@@ -321,9 +326,9 @@ def _long(e: DataFrame) -> DataFrame:
 
 _R = ", e AS (SELECT src, dst, w % 5 + 1 AS w FROM g), q AS (SELECT DISTINCT src AS a, src AS b, 0 AS d, 0 AS k FROM e UNION SELECT q.a, e.dst, q.d + e.w, k + 1 FROM q JOIN e ON e.src = q.b WHERE q.d + e.w <= 24 AND k < 24), ap AS (SELECT a, b, CAST(min(d) AS DOUBLE) AS d FROM q GROUP BY 1, 2)"
 _R3 = ", q AS (SELECT DISTINCT src AS a, src AS b, 0 AS d FROM g UNION SELECT q.a, g.dst, q.d + 1 FROM q JOIN g ON g.src = q.b WHERE q.d < 12), ap AS (SELECT a, b, CAST(min(d) AS DOUBLE) AS d FROM q GROUP BY 1, 2), nn AS (SELECT count(DISTINCT src) AS n FROM g), sp AS (SELECT a, CASE WHEN count(*) < any_value(n) THEN 'infinity'::DOUBLE ELSE max(d) END AS far, CASE WHEN count(*) < any_value(n) THEN 'infinity'::DOUBLE ELSE sum(d) END AS total FROM ap, nn GROUP BY a)"
-add("shortest_paths", "n3", lambda e: paths.shortest_paths(_long(e), 0).select("v", "dist"), f"{_R} SELECT b AS v, d AS dist FROM ap WHERE a = 0")
-add("all_pairs", "n3", lambda e: paths.all_pairs(_long(e)), f"{_R} SELECT * FROM ap")
-add("staged_costs_3", "g3", lambda e: paths.staged_costs(_long(e), 0, 3).select("v", "cost"), ", e AS (SELECT src, dst, w % 5 + 1 AS w FROM g), r AS (SELECT CAST(0 AS BIGINT) AS v, 0 AS c, 0 AS k UNION ALL SELECT e.src, r.c + e.w, k + 1 FROM r JOIN e ON e.dst = r.v WHERE k < 3) SELECT v, CAST(min(c) AS DOUBLE) AS cost FROM r GROUP BY v")
+add("shortest_paths", "n0", lambda e: paths.shortest_paths(_long(e), 0).select("v", "dist"), f"{_R} SELECT b AS v, d AS dist FROM ap WHERE a = 0")
+add("all_pairs", "n0", lambda e: paths.all_pairs(_long(e)), f"{_R} SELECT * FROM ap")
+add("staged_costs_3", "g0", lambda e: paths.staged_costs(_long(e), 0, 3).select("v", "cost"), ", e AS (SELECT src, dst, w % 5 + 1 AS w FROM g), r AS (SELECT CAST(0 AS BIGINT) AS v, 0 AS c, 0 AS k UNION ALL SELECT e.src, r.c + e.w, k + 1 FROM r JOIN e ON e.dst = r.v WHERE k < 3) SELECT v, CAST(min(c) AS DOUBLE) AS cost FROM r GROUP BY v")
 
 
 def _hops(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -334,14 +339,14 @@ def _hops(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFra
     return over
 
 
-add("eccentricity", "n3", _hops(paths.eccentricity), f"{_R3} SELECT a AS v, far AS eccentricity FROM sp")
-add("diameter", "n3", _hops(paths.diameter), f"{_R3} SELECT max(far) AS diameter FROM sp")
-add("radius", "n3", _hops(paths.radius), f"{_R3} SELECT min(far) AS radius FROM sp")
-add("closeness", "n3", lambda e: rounded(_hops(paths.closeness)(e), "closeness"), f"{_R3} SELECT a AS v, round(1 / total, 6) AS closeness FROM sp")
-add("average_path_length", "n3", lambda e: rounded(_hops(paths.average_path_length)(e), "average"), f"{_R3} SELECT round(sum(d) / any_value(n * n - n), 6) AS average FROM ap, nn")
-add("distance_distribution", "n3", lambda e: rounded(_hops(paths.distance_distribution)(e), "share"), f"{_R3} SELECT CAST(i AS DOUBLE) AS d, round(count(a) / CAST(any_value(n * (n - 1)) AS DOUBLE), 6) AS share FROM nn, range(1, 25) t(i) LEFT JOIN ap ON d = i AND a <> b GROUP BY i")
-add("smooth_diameter", "n3", lambda e: rounded(_hops(paths.smooth_diameter)(e), "smooth_diameter"), f"{_SP}, k AS (SELECT d, count(*) / {_PAIRS} AS x FROM t WHERE d > 0 GROUP BY d), u AS (SELECT d, sum(x) OVER (ORDER BY d) AS upto, x FROM k) SELECT round(min(d - (upto - 0.9) / x), 6) AS smooth_diameter FROM u WHERE upto >= 0.9 AND upto - x < 0.9")
-add("minimum_spanning_tree", "n3", lambda e: paths.minimum_spanning_tree(_long(e)), ", e AS (SELECT row_number() OVER (ORDER BY w, src, dst) AS k, src, dst, w FROM (SELECT src, dst, w % 5 + 1 AS w FROM g) WHERE src < dst), b AS (SELECT k, src AS v FROM e UNION SELECT b.k, CASE WHEN e.src = b.v THEN e.dst ELSE e.src END FROM b JOIN e ON e.k < b.k AND b.v IN (e.src, e.dst)) SELECT src, dst, w FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = e.k AND b.v = e.dst)")
+add("eccentricity", "n0", _hops(paths.eccentricity), f"{_R3} SELECT a AS v, far AS eccentricity FROM sp")
+add("diameter", "n0", _hops(paths.diameter), f"{_R3} SELECT max(far) AS diameter FROM sp")
+add("radius", "n0", _hops(paths.radius), f"{_R3} SELECT min(far) AS radius FROM sp")
+add("closeness", "n0", lambda e: rounded(_hops(paths.closeness)(e), "closeness"), f"{_R3} SELECT a AS v, round(1 / total, 6) AS closeness FROM sp")
+add("average_path_length", "n0", lambda e: rounded(_hops(paths.average_path_length)(e), "average"), f"{_R3} SELECT round(sum(d) / any_value(n * n - n), 6) AS average FROM ap, nn")
+add("distance_distribution", "n0", lambda e: rounded(_hops(paths.distance_distribution)(e), "share"), f"{_R3} SELECT CAST(i AS DOUBLE) AS d, round(count(a) / CAST(any_value(n * (n - 1)) AS DOUBLE), 6) AS share FROM nn, range(1, 25) t(i) LEFT JOIN ap ON d = i AND a <> b GROUP BY i")
+add("smooth_diameter", "n0", lambda e: rounded(_hops(paths.smooth_diameter)(e), "smooth_diameter"), f"{_SP}, k AS (SELECT d, count(*) / {_PAIRS} AS x FROM t WHERE d > 0 GROUP BY d), u AS (SELECT d, sum(x) OVER (ORDER BY d) AS upto, x FROM k) SELECT round(min(d - (upto - 0.9) / x), 6) AS smooth_diameter FROM u WHERE upto >= 0.9 AND upto - x < 0.9")
+add("minimum_spanning_tree", "n0", lambda e: paths.minimum_spanning_tree(_long(e)), ", e AS (SELECT row_number() OVER (ORDER BY w, src, dst) AS k, src, dst, w FROM (SELECT src, dst, w % 5 + 1 AS w FROM g) WHERE src < dst), b AS (SELECT k, src AS v FROM e UNION SELECT b.k, CASE WHEN e.src = b.v THEN e.dst ELSE e.src END FROM b JOIN e ON e.k < b.k AND b.v IN (e.src, e.dst)) SELECT src, dst, w FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = e.k AND b.v = e.dst)")
 add("top_edges", "g5", lambda e: apps.top_edges(e, 3), "SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM g) WHERE k <= 3")
 
 # Statistics of the events' values.
@@ -363,19 +368,19 @@ _values("value_summary", statistics.summary, ["mean", "stddev"], "SELECT min(x)
 # Communities and spectra.
 
 add("modularity_mod_8", "g7", lambda e: rounded(community.modularity(e, _mod8(e)), "modularity"), ", x AS (SELECT src % 8 AS m, sum(w) FILTER (WHERE src % 8 = dst % 8) AS i, sum(w) AS o FROM g GROUP BY 1), t AS (SELECT CAST(sum(w) AS DOUBLE) AS t FROM g) SELECT round(sum(i / t - (o / t) * (o / t)), 6) AS modularity FROM x, t")
-add("newman_fast", "n3", community.newman_fast)
-add("merge_history", "n3", lambda e: rounded(community.merge_history(e), "q"))
-add("newman_eigenvector", "n3", community.newman_eigenvector)
-add("girvan_newman", "n3", lambda e: community.girvan_newman(e, 3))
-add("louvain", "n3", community.louvain)
-add("louvain_least_gain", "n3", lambda e: community.louvain(e, take="min"))
+add("newman_fast", "n0", community.newman_fast)
+add("merge_history", "n0", lambda e: rounded(community.merge_history(e), "q"))
+add("newman_eigenvector", "n0", community.newman_eigenvector)
+add("girvan_newman", "n0", lambda e: community.girvan_newman(e, 3))
+add("louvain", "n0", community.louvain)
+add("louvain_least_gain", "n0", lambda e: community.louvain(e, take="min"))
 add("louvain_rounds", "g7", lambda e: community.louvain_rounds(e, rounds=None))
-add("spectral_parts", "n3", lambda e: spectral.spectral_parts(e, k=4))
-add("spectrum", "n3", lambda e: rounded(spectral.spectrum(e), "value"))
-add("fiedler_vector", "n3", lambda e: rounded(spectral.fiedler_vector(e), "x"))
-add("algebraic_connectivity", "n3", lambda e: rounded(spectral.algebraic_connectivity(e), "connectivity"))
-add("graph_energy", "n3", lambda e: rounded(spectral.energy(e), "energy"))
-add("vertex_similarity", "g3", lambda e: rounded(apps.vertex_similarity(as_matrix(e), as_matrix(e)), "val"))
+add("spectral_parts", "n0", lambda e: spectral.spectral_parts(e, k=4))
+add("spectrum", "n0", lambda e: rounded(spectral.spectrum(e), "value"))
+add("fiedler_vector", "n0", lambda e: rounded(spectral.fiedler_vector(e), "x"))
+add("algebraic_connectivity", "n0", lambda e: rounded(spectral.algebraic_connectivity(e), "connectivity"))
+add("graph_energy", "n0", lambda e: rounded(spectral.energy(e), "energy"))
+add("vertex_similarity", "g0", lambda e: rounded(apps.vertex_similarity(as_matrix(e), as_matrix(e)), "val"))
 
 # Message passing: the out-degree shares of the users, and outputs of the suppliers' lines.
 
@@ -393,8 +398,8 @@ _O = ", o AS (SELECT src % 10 AS graph_id, src * 1000 + dst AS node_id, CAST(w %
 add("squared_error", "u5", lambda e: gnn.squared_error(_outputs(e)), f"{_O} SELECT sum((x - t) * (x - t)) / 2 AS error FROM o")
 add("quadratic_error", "u5", lambda e: gnn.quadratic_error(_outputs(e)), f"{_O} SELECT sum(x * x) / 2 AS error FROM o")
 add("product_error", "u5", lambda e: gnn.product_error(_outputs(e).withColumn("state", F.lit(0.5))), f"{_O} SELECT sum((x * 0.5 - t) * (x * 0.5 - t)) / 2 AS error FROM o")
-add("pair_closeness_error", "n3", lambda e: rounded(gnn.pair_closeness_error(_outputs(e)), "error"), f"{_O} SELECT round(sum(1.0 / ((a.x - b.x) * (a.x - b.x) + 0.001)), 6) AS error FROM o a JOIN o b ON a.graph_id = b.graph_id AND a.node_id < b.node_id")
-add("ranking_error", "n3", lambda e: rounded(gnn.ranking_error(_outputs(e), 1.0), "error"), f"{_O} SELECT round(avg(ln(1 + exp(b.x - a.x))), 6) AS error FROM o a JOIN o b ON a.graph_id = b.graph_id AND a.t > b.t")
+add("pair_closeness_error", "n0", lambda e: rounded(gnn.pair_closeness_error(_outputs(e)), "error"), f"{_O} SELECT round(sum(1.0 / ((a.x - b.x) * (a.x - b.x) + 0.001)), 6) AS error FROM o a JOIN o b ON a.graph_id = b.graph_id AND a.node_id < b.node_id")
+add("ranking_error", "n0", lambda e: rounded(gnn.ranking_error(_outputs(e), 1.0), "error"), f"{_O} SELECT round(avg(ln(1 + exp(b.x - a.x))), 6) AS error FROM o a JOIN o b ON a.graph_id = b.graph_id AND a.t > b.t")
 add("confusion", "u5", lambda e: gnn.confusion(_outputs(e)), f"{_O} SELECT x > 0 AS predicted, t > 0 AS actual, count(*) AS n FROM o GROUP BY 1, 2")
 add("accuracy", "u5", lambda e: rounded(gnn.accuracy(_outputs(e)), "accuracy"), f"{_O} SELECT round(avg(CASE WHEN (x > 0) = (t > 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM o")
 add("within_tolerance", "u5", lambda e: rounded(gnn.within_tolerance(_outputs(e), 1.0), "share"), f"{_O} SELECT round(avg(CASE WHEN abs(x - t) <= 1 THEN 1.0 ELSE 0.0 END), 6) AS share FROM o")
@@ -402,10 +407,10 @@ add("graph_accuracy", "u5", lambda e: gnn.graph_accuracy(_outputs(e)), f"{_O} SE
 add("class_weights", "u5", lambda e: rounded(gnn.class_weights(_outputs(e)).select("node_id", "mask"), "mask"), f"{_O}, k AS (SELECT count(*) FILTER (WHERE t > 0) AS p, count(*) FILTER (WHERE t <= 0) AS q FROM o) SELECT node_id, round(least(p, q) / CAST(CASE WHEN t > 0 THEN p ELSE q END AS DOUBLE), 6) AS mask FROM o, k")
 add("normalized_labels", "u5", lambda e: gnn.normalized(_labels(e), _labels(e), 2).select("node_id", *[F.round(F.col("labels")[k], 6).alias(f"l{k}") for k in range(2)]), f"{_O}, k AS (SELECT min(x) AS a, max(x) AS b, min(t) AS c, max(t) AS d FROM o) SELECT node_id, round(2 * (x - a) / (b - a) - 1, 6) AS l0, round(2 * (t - c) / (d - c) - 1, 6) AS l1 FROM o, k")
 add("principal_components", "u5", lambda e: gnn.principal_components(_labels(e), _labels(e), 2, 1).select("node_id", F.round(F.col("labels")[0], 6).alias("x")))
-add("cliques_4", "n3", lambda e: gnn.cliques(e, 4).select(*[F.col("c")[k].alias(f"v{k}") for k in range(4)]), ", p AS (SELECT DISTINCT src AS a, dst AS b FROM g WHERE src < dst) SELECT x.a AS v0, x.b AS v1, y.b AS v2, z.b AS v3 FROM p x JOIN p y ON y.a = x.b JOIN p z ON z.a = y.b WHERE EXISTS (SELECT 1 FROM p WHERE a = x.a AND b = y.b) AND EXISTS (SELECT 1 FROM p WHERE a = x.a AND b = z.b) AND EXISTS (SELECT 1 FROM p WHERE a = x.b AND b = z.b)")
-add("labelled_subgraphs", "g3", lambda e: gnn.labelled_subgraphs(e, rep.vertices(e).select("v", (F.col("v") % 2).alias("label")), [(0, 1), (1, 2)], [0, 1, 0]), "SELECT a.src AS v0, a.dst AS v1, b.dst AS v2 FROM g a JOIN g b ON a.dst = b.src WHERE a.src % 2 = 0 AND a.dst % 2 = 1 AND b.dst % 2 = 0 AND a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM g x WHERE (x.src = a.dst AND x.dst = a.src) OR (x.src = b.dst AND x.dst = a.dst) OR (x.src = a.src AND x.dst = b.dst) OR (x.src = b.dst AND x.dst = a.src))")
-add("edge_labels", "g3", lambda e: gnn.edge_labels(e, rep.vertices(e).select(F.col("v").alias("node_id"), F.array((F.col("v") % 3).cast("double")).alias("labels"))).select("src", "dst", F.col("labels")[0].alias("a"), F.col("labels")[1].alias("b")), "SELECT src, dst, CAST(src % 3 AS DOUBLE) AS a, CAST(dst % 3 AS DOUBLE) AS b FROM g")
-add("connect_components", "g3", lambda e: gnn.connected(rep.symmetrized(e).where("src % 5 = dst % 5").select("src", "dst"), rep.vertices(e)))
+add("cliques_4", "n0", lambda e: gnn.cliques(e, 4).select(*[F.col("c")[k].alias(f"v{k}") for k in range(4)]), ", p AS (SELECT DISTINCT src AS a, dst AS b FROM g WHERE src < dst) SELECT x.a AS v0, x.b AS v1, y.b AS v2, z.b AS v3 FROM p x JOIN p y ON y.a = x.b JOIN p z ON z.a = y.b WHERE EXISTS (SELECT 1 FROM p WHERE a = x.a AND b = y.b) AND EXISTS (SELECT 1 FROM p WHERE a = x.a AND b = z.b) AND EXISTS (SELECT 1 FROM p WHERE a = x.b AND b = z.b)")
+add("labelled_subgraphs", "g0", lambda e: gnn.labelled_subgraphs(e, rep.vertices(e).select("v", (F.col("v") % 2).alias("label")), [(0, 1), (1, 2)], [0, 1, 0]), "SELECT a.src AS v0, a.dst AS v1, b.dst AS v2 FROM g a JOIN g b ON a.dst = b.src WHERE a.src % 2 = 0 AND a.dst % 2 = 1 AND b.dst % 2 = 0 AND a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM g x WHERE (x.src = a.dst AND x.dst = a.src) OR (x.src = b.dst AND x.dst = a.dst) OR (x.src = a.src AND x.dst = b.dst) OR (x.src = b.dst AND x.dst = a.src))")
+add("edge_labels", "g0", lambda e: gnn.edge_labels(e, rep.vertices(e).select(F.col("v").alias("node_id"), F.array((F.col("v") % 3).cast("double")).alias("labels"))).select("src", "dst", F.col("labels")[0].alias("a"), F.col("labels")[1].alias("b")), "SELECT src, dst, CAST(src % 3 AS DOUBLE) AS a, CAST(dst % 3 AS DOUBLE) AS b FROM g")
+add("connect_components", "g0", lambda e: gnn.connected(rep.symmetrized(e).where("src % 5 = dst % 5").select("src", "dst"), rep.vertices(e)))
 
 
 def _labels(e: DataFrame) -> DataFrame:
@@ -495,11 +500,11 @@ def _said(spark: SparkSession, **answers: bool) -> DataFrame:
 
 _NO_REVERSE = "NOT EXISTS (SELECT 1 FROM g b WHERE b.src = a.dst AND b.dst = a.src)"
 _SPLIT = views.PART_BASE + 500
-add("matrix_accumulate", "g3", lambda e: matrix.accumulate(as_matrix(e), as_matrix(e), as_matrix(e)), "SELECT src AS row, dst AS col, CAST(sum(x) AS BIGINT) AS val FROM (SELECT src, dst, w AS x FROM g UNION ALL SELECT a.src, b.dst, a.w * b.w FROM g a JOIN g b ON a.dst = b.src) GROUP BY 1, 2")
-add("matrix_accumulate_transposed", "g3", lambda e: matrix.accumulate(as_matrix(e), as_matrix(e), as_matrix(e), b_transposed=True), "SELECT src AS row, dst AS col, CAST(sum(x) AS BIGINT) AS val FROM (SELECT src, dst, w AS x FROM g UNION ALL SELECT a.src, b.src, a.w * b.w FROM g a JOIN g b ON a.dst = b.dst) GROUP BY 1, 2")
+add("matrix_accumulate", "g0", lambda e: matrix.accumulate(as_matrix(e), as_matrix(e), as_matrix(e)), "SELECT src AS row, dst AS col, CAST(sum(x) AS BIGINT) AS val FROM (SELECT src, dst, w AS x FROM g UNION ALL SELECT a.src, b.dst, a.w * b.w FROM g a JOIN g b ON a.dst = b.src) GROUP BY 1, 2")
+add("matrix_accumulate_transposed", "g0", lambda e: matrix.accumulate(as_matrix(e), as_matrix(e), as_matrix(e), b_transposed=True), "SELECT src AS row, dst AS col, CAST(sum(x) AS BIGINT) AS val FROM (SELECT src, dst, w AS x FROM g UNION ALL SELECT a.src, b.src, a.w * b.w FROM g a JOIN g b ON a.dst = b.dst) GROUP BY 1, 2")
 add("apply_where_absent", "g5", lambda e: matrix.apply_where_absent(as_matrix(e), matrix.transpose(as_matrix(e)), lambda x, y: x * 10 + y, True, 7), f"SELECT src AS row, dst AS col, w * 10 + 7 AS val FROM g a WHERE {_NO_REVERSE}")
 add("apply_where_present", "g5", lambda e: matrix.apply_where_absent(as_matrix(e), matrix.transpose(as_matrix(e)), lambda x, y: x * 10 + y, False), "SELECT a.src AS row, a.dst AS col, a.w * 10 + b.w AS val FROM g a JOIN g b ON b.src = a.dst AND b.dst = a.src")
-add("matrix_scale", "g3", lambda e: matrix.scale(as_matrix(e), matrix.densify(matrix.transpose(as_matrix(e)), 25, 25)), "SELECT a.src AS row, a.dst AS col, a.w * coalesce(b.w, 0) AS val FROM g a LEFT JOIN g b ON b.src = a.dst AND b.dst = a.src")
+add("matrix_scale", "g0", lambda e: matrix.scale(as_matrix(e), matrix.densify(matrix.transpose(as_matrix(e)), 25, 25)), "SELECT a.src AS row, a.dst AS col, a.w * coalesce(b.w, 0) AS val FROM g a LEFT JOIN g b ON b.src = a.dst AND b.dst = a.src")
 add("matrix_find_places", "g1", lambda e: matrix.find(as_matrix(e), values=False), "SELECT src AS row, dst AS col FROM g")
 add("matrix_find", "g1", lambda e: matrix.find(as_matrix(e)), "SELECT src AS row, dst AS col, w AS val FROM g")
 add("matrix_sparse", "g6", lambda e: matrix.sparse(_ones(e)), "SELECT src AS row, dst AS col, count(*) AS val FROM g GROUP BY 1, 2")
@@ -537,8 +542,8 @@ add("matrix_of_lists", "g5", lambda e: rep.matrix_of_lists(rep.adjacency_lists(e
 add("simple_edges", "g6", rep.simple_edges, "SELECT src, dst, 1 AS w FROM g WHERE src <> dst")
 add("vertices_without_leaves", "g5", lambda e: rep.difference(rep.vertices(e), metrics.leaf_nodes(e), "v"), "SELECT v FROM (SELECT src AS v FROM g UNION SELECT dst FROM g) WHERE v NOT IN (SELECT dst FROM g GROUP BY dst HAVING count(*) = 1)")
 _CC = ", r AS (SELECT src AS v, src AS c FROM g UNION SELECT g.dst, r.c FROM r JOIN g ON g.src = r.v), k AS (SELECT v, min(c) AS c FROM r GROUP BY v)"
-add("component_count", "n3", components.component_count, f"{_CC} SELECT count(DISTINCT c) AS n FROM k")
-add("independent_loops", "n3", lambda e: rep.undirected_pairs(e).agg(F.count("*").alias("m")).crossJoin(rep.vertices(e).agg(F.count("*").alias("v"))).crossJoin(components.component_count(e)).select(metrics.cyclomatic(F.col("m"), F.col("v"), F.col("n")).alias("loops")), f"{_CC} SELECT (SELECT count(*) FROM g WHERE src < dst) - count(*) + count(DISTINCT c) AS loops FROM k")
+add("component_count", "n0", components.component_count, f"{_CC} SELECT count(DISTINCT c) AS n FROM k")
+add("independent_loops", "n0", lambda e: rep.undirected_pairs(e).agg(F.count("*").alias("m")).crossJoin(rep.vertices(e).agg(F.count("*").alias("v"))).crossJoin(components.component_count(e)).select(metrics.cyclomatic(F.col("m"), F.col("v"), F.col("n")).alias("loops")), f"{_CC} SELECT (SELECT count(*) FROM g WHERE src < dst) - count(*) + count(DISTINCT c) AS loops FROM k")
 add("bipartite", "g1", lambda e: predicates.bipartite(e).agg(F.count("*").alias("n"), F.count_if("side").alias("sides"), F.bool_and("proper").alias("proper")), f"SELECT count(*) AS n, count(*) FILTER (WHERE v >= {views.PART_BASE}) AS sides, true AS proper FROM (SELECT src AS v FROM g UNION SELECT dst FROM g)")
 add("bipartite_answers", "u5", lambda e: predicates.is_bipartite(e).select(F.lit("all").alias("part"), "answer").unionByName(predicates.is_bipartite(e.where((F.col("src") - F.col("dst")) % 2 != 0)).select(F.lit("odd").alias("part"), "answer")), ", r AS (SELECT min(src) AS v, 0 AS p FROM g UNION SELECT g.dst, 1 - p FROM r JOIN g ON g.src = r.v) SELECT 'all' AS part, NOT EXISTS (SELECT 1 FROM r GROUP BY v HAVING count(*) > 1) AS answer UNION ALL SELECT 'odd', true")
 
