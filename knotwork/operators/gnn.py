@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.functions.random import uniform
+from knotwork.functions.random import order, uniform
 from knotwork.operators.components import weak_components
 from knotwork.operators.matrix import times_vector
 from knotwork.operators.representation import reverse, undirected_pairs
@@ -233,6 +233,43 @@ def labelled_graphs(spark: SparkSession, graphs: int, size: int, p: float, rule,
     return out, edges
 
 
+def _chosen(nodes: DataFrame, count: int, seed: int) -> DataFrame:
+    """(graph_id, node_id, k): ``count`` nodes of each graph in a seeded random order; a graph's nodes meet in one window."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("graph_id").orderBy(*order(seed, "node_id"))
+    return nodes.select("graph_id", "node_id", (F.row_number().over(own) - 1).alias("k")).where(F.col("k") < count)
+
+
+def planted_cliques(spark: SparkSession, graphs: int, size: int, p: float, clique: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Random graphs, in each of which ``clique`` nodes are joined to each other; the targets of these are 1, of others -1."""
+    nodes, edges = labelled_graphs(spark, graphs, size, p, even_degree_rule, seed)
+    members = _chosen(nodes, clique, seed + 1)
+    pairs = members.select("graph_id", F.col("node_id").alias("src")).join(members.select("graph_id", F.col("node_id").alias("dst")), "graph_id").where("src <> dst")
+    planted = nodes.drop("target").join(members.select("node_id", "k"), "node_id", "left")
+    return planted.select("graph_id", "node_id", "labels", F.when(F.col("k").isNotNull(), 1.0).otherwise(-1.0).alias("target"), "mask"), edges.unionByName(pairs).distinct()
+
+
+def planted_subgraphs(spark: SparkSession, graphs: int, size: int, p: float, pattern: list[tuple[int, int]], wanted: list[float], seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Random graphs, in each of which nodes with the ``wanted`` labels are joined as the pattern says, both ways and in no
+    other way; the targets of these are 1, of others -1."""
+    nodes, edges = labelled_graphs(spark, graphs, size, p, even_degree_rule, seed)
+    places = cut(_chosen(nodes, len(wanted), seed + 1), "places")
+    at = [places.where(F.col("k") == k).select("graph_id", F.col("node_id").alias(f"v{k}")) for k in range(len(wanted))]
+    both = sorted({pair for a, b in pattern for pair in ((a, b), (b, a))})
+    made = None
+    for a, b in both:
+        one = at[a].join(at[b], "graph_id").select("graph_id", F.col(f"v{a}").alias("src"), F.col(f"v{b}").alias("dst"))
+        made = one if made is None else made.unionByName(one)
+    ids = places.select("node_id")
+    inside = edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst")
+    kept = edges.join(inside, ["src", "dst"], "left_anti").select("graph_id", "src", "dst")
+    label = F.element_at(F.array(*(F.lit(float(x)) for x in wanted)), F.col("k") + 1)
+    planted = nodes.drop("target").join(places.select("node_id", "k"), "node_id", "left")
+    named = planted.select("graph_id", "node_id", F.when(F.col("k").isNotNull(), F.array(label)).otherwise(F.col("labels")).alias("labels"), F.when(F.col("k").isNotNull(), 1.0).otherwise(-1.0).alias("target"), "mask")
+    return named, kept if made is None else kept.unionByName(made)
+
+
 def parity_rule(label: Column, near: Column, n: Column) -> Column:
     return (label + near) % 2 == 1
 

@@ -592,6 +592,31 @@ def _broken(e: DataFrame) -> DataFrame:
 add("bfs_validation_broken", "u5", _broken, "SELECT * FROM (VALUES ('two roots', -16), ('cycle', -1), ('leaving', -2)) t(tree, code)")
 add("bfs_parents_beyond_half", "u5", lambda e: traversal.parents_in_range(_tree(e), _last(e) // 2), f"{_B} SELECT count(*) FILTER (WHERE parent >= (SELECT max(src) // 2 FROM g)) AS out_of_range FROM p")
 
+# Planted graphs: what is planted is found again, in as many graphs as there are suppliers.
+
+
+def _planted_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = gnn.planted_cliques(spark, views.table(spark, sf_dir, "supplier").count(), 12, 0.2, 5)
+    members = nodes.where("target > 0").select("graph_id", F.col("node_id").alias("v"))
+    inside = edges.join(members.select(F.col("v").alias("src")), "src", "left_semi").join(members.select(F.col("v").alias("dst")), "dst", "left_semi").groupBy("graph_id").agg(F.count("*").alias("arcs"))
+    return members.groupBy("graph_id").agg(F.count("*").alias("members")).join(inside, "graph_id")
+
+
+def _planted_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern, wanted = [(0, 1), (1, 2), (2, 3), (3, 0)], [5, 6, 5, 7]
+    nodes, edges = gnn.planted_subgraphs(spark, views.table(spark, sf_dir, "supplier").count(), 12, 0.2, pattern, wanted)
+    labels = nodes.select(F.col("node_id").alias("v"), F.col("labels")[0].alias("label"))
+    both = pattern + [(b, a) for a, b in pattern]
+    found = gnn.labelled_subgraphs(edges, labels, both, wanted)
+    return found.select(F.floor(F.col("v0") / 12).alias("graph_id")).groupBy("graph_id").agg(F.count("*").alias("places"))
+
+
+QUERIES["planted_cliques"] = _planted_cliques
+ORACLE_SQL["planted_cliques"] = "SELECT i AS graph_id, CAST(5 AS BIGINT) AS members, CAST(20 AS BIGINT) AS arcs FROM (SELECT unnest(range((SELECT count(*) FROM supplier))) AS i)"
+QUERIES["planted_subgraphs"] = _planted_subgraphs
+ORACLE_SQL["planted_subgraphs"] = "SELECT i AS graph_id, CAST(2 AS BIGINT) AS places FROM (SELECT unnest(range((SELECT count(*) FROM supplier))) AS i)"
+
+
 # Sources and sinks: what is written is read back.
 
 

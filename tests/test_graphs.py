@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from knotwork.functions.random import binomial
 from knotwork.operators import apps, community, components, gnn, metrics, partition, paths, predicates, representation, sequential, spectral, statistics, traversal
 from knotwork.operators import generators as gen
 
@@ -350,3 +351,9 @@ def test_dense_likeness_is_refused_beyond_its_bound(spark):
     m = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "row long, col long, val double")
     with pytest.raises(ValueError):
         apps.vertex_similarity(m, m, most=8)
+
+
+def test_binomial_draws(spark):
+    draws = spark.range(4000).select(binomial(F.lit(20), 0.3, 5, "id").alias("k"), binomial(F.lit(0), 0.3, 5, "id").alias("none"))
+    mean, sd, most, none = draws.agg(F.avg("k"), F.stddev("k"), F.max("k"), F.max("none")).first()
+    assert abs(mean - 6) < 0.15 and abs(sd - math.sqrt(4.2)) < 0.15 and most <= 20 and none == 0
