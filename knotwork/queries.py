@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions import functors, semirings
@@ -29,6 +29,11 @@ GRAPHS = {"g1": views.supplier_part, "g2": views.co_supply, "g0": views.nation_t
 BOTH_WAYS = {"n0": "g0", "n3": "g3", "u5": "g5"}
 
 
+#: Queries over the nations that have a second one, named _top3, over their foremost trade: that graph is sparse, where the
+#: whole one is nearly complete.
+SPARSE_TOO = frozenset("strong_components betweenness node_betweenness edge_betweenness shortest_paths all_pairs diameter eccentricity closeness average_path_length distance_distribution smooth_diameter minimum_spanning_tree first_reached_2 kneighbors_2 complement cliques_4 bfs_bottom_up predicates line_graph labelled_subgraphs four_loops eigenvector_centrality independent_loops".split())
+
+
 def graph(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     e = GRAPHS[BOTH_WAYS.get(name, name)](spark, sf_dir)
     return rep.symmetrized(e) if name in BOTH_WAYS else e
@@ -42,9 +47,8 @@ def source(name: str) -> str:
 
 
 def add(name: str, over: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    """Register ``run`` over a graph; the SQL may read it as ``g``. A query over the nations has a second one, of the
-    same name and _top3, over their foremost trade: that graph is sparse, where the whole one is nearly complete."""
-    if over in ("g0", "n0"):
+    """Register ``run`` over a graph; the SQL may read it as ``g``."""
+    if name in SPARSE_TOO:
         add(f"{name}_top3", over.replace("0", "3"), run, sql)
     QUERIES[name] = lambda spark, sf_dir: run(graph(spark, sf_dir, over))
     if sql is not None:
@@ -556,16 +560,21 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["arrival_lists"] = _arrivals
 ORACLE_SQL["arrival_lists"] = "SELECT l_orderkey AS v, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey) AS nbrs FROM lineitem GROUP BY 1"
 
-_S, _T2, _W = F.col("src"), F.col("dst"), F.col("w")
-_FUNCTORS = {
-    "constant": (functors.constant(7), "7"), "identity": (functors.identity(_W), "w"), "totality": (functors.totality(_W), "true"), "totality_of_two": (functors.totality(_S, _T2), "true"),
-    "power": (functors.exponentiate(_W, F.lit(2)), "CAST(pow(w, 2) AS DOUBLE)"), "maximum": (functors.maximum(_S, _T2), "greatest(src, dst)"), "minimum": (functors.minimum(_S, _T2), "least(src, dst)"),
-    "band": (functors.bitwise_and(_S, _T2), "src & dst"), "bor": (functors.bitwise_or(_S, _T2), "src | dst"), "bxor": (functors.bitwise_xor(_S, _T2), "xor(src, dst)"),
-    "lxor": (functors.logical_xor(_S % 2 == 0, _T2 % 2 == 0), "(src % 2 = 0) <> (dst % 2 = 0)"), "choice": (functors.symmetric_choice(_S, _T2), "CASE WHEN (src + dst) % 2 = 1 THEN least(src, dst) ELSE greatest(src, dst) END"),
-    "kept": (functors.keep_in_frontier(F.when(_S % 3 != 0, _S), F.when(_T2 % 2 == 0, _T2)), "src % 3 <> 0 AND dst % 2 <> 0"), "parent_set": (functors.parent_is_set(F.when(_S % 3 != 0, _S)), "src % 3 <> 0"),
-    "second_smaller": (functors.second_is_smaller(_S, _T2), "dst < src"), "degree": (functors.select_degree(F.when(_S % 3 != 0, _S), _W), "CASE WHEN src % 3 <> 0 THEN w ELSE 0 END"),
+_FUNCTORS: dict[str, tuple[Callable[[], Column], str]] = {
+    "constant": (lambda: functors.constant(7), "7"), "identity": (lambda: functors.identity(F.col("w")), "w"), "totality": (lambda: functors.totality(F.col("w")), "true"), "totality_of_two": (lambda: functors.totality(F.col("src"), F.col("dst")), "true"),
+    "power": (lambda: functors.exponentiate(F.col("w"), F.lit(2)), "CAST(pow(w, 2) AS DOUBLE)"), "maximum": (lambda: functors.maximum(F.col("src"), F.col("dst")), "greatest(src, dst)"), "minimum": (lambda: functors.minimum(F.col("src"), F.col("dst")), "least(src, dst)"),
+    "band": (lambda: functors.bitwise_and(F.col("src"), F.col("dst")), "src & dst"), "bor": (lambda: functors.bitwise_or(F.col("src"), F.col("dst")), "src | dst"), "bxor": (lambda: functors.bitwise_xor(F.col("src"), F.col("dst")), "xor(src, dst)"),
+    "lxor": (lambda: functors.logical_xor(F.col("src") % 2 == 0, F.col("dst") % 2 == 0), "(src % 2 = 0) <> (dst % 2 = 0)"), "choice": (lambda: functors.symmetric_choice(F.col("src"), F.col("dst")), "CASE WHEN (src + dst) % 2 = 1 THEN least(src, dst) ELSE greatest(src, dst) END"),
+    "kept": (lambda: functors.keep_in_frontier(_parent(), F.when(F.col("dst") % 2 == 0, F.col("dst"))), "src % 3 <> 0 AND dst % 2 <> 0"), "parent_set": (lambda: functors.parent_is_set(_parent()), "src % 3 <> 0"),
+    "second_smaller": (lambda: functors.second_is_smaller(F.col("src"), F.col("dst")), "dst < src"), "degree": (lambda: functors.select_degree(_parent(), F.col("w")), "CASE WHEN src % 3 <> 0 THEN w ELSE 0 END"),
 }
-add("functors", "g5", lambda e: e.select("src", "dst", *(c.alias(name) for name, (c, _) in _FUNCTORS.items())), "SELECT src, dst, " + ", ".join(f"{x} AS {name}" for name, (_, x) in _FUNCTORS.items()) + " FROM g")
+
+
+def _parent() -> Column:
+    return F.when(F.col("src") % 3 != 0, F.col("src"))
+
+
+add("functors", "g5", lambda e: e.select("src", "dst", *(c().alias(name) for name, (c, _) in _FUNCTORS.items())), "SELECT src, dst, " + ", ".join(f"{x} AS {name}" for name, (_, x) in _FUNCTORS.items()) + " FROM g")
 _typed("followers", lambda e: e.where(functors.is_follower(F.col("follower"))).select("src", "event_type"), "SELECT src, event_type FROM g WHERE follower")
 _typed("active_edges", lambda e: e.where(functors.is_active(F.col("count"))).select("src", "event_type", "count"), "SELECT src, event_type, count FROM g WHERE count > 0")
 
@@ -592,6 +601,56 @@ def _broken(e: DataFrame) -> DataFrame:
 add("bfs_validation_broken", "u5", _broken, "SELECT * FROM (VALUES ('two roots', -16), ('cycle', -1), ('leaving', -2)) t(tree, code)")
 add("bfs_parents_beyond_half", "u5", lambda e: traversal.parents_in_range(_tree(e), _last(e) // 2), f"{_B} SELECT count(*) FILTER (WHERE parent >= (SELECT max(src) // 2 FROM g)) AS out_of_range FROM p")
 
+# What holds of seeded results, whatever the seed draws.
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> int:
+    return views.table(spark, sf_dir, "supplier").count()
+
+
+def _held(name: str, run: Callable[[SparkSession, int], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(spark, _suppliers(spark, sf_dir))
+    ORACLE_SQL[name] = f"WITH k AS (SELECT count(*) AS n FROM supplier) {sql}"
+
+
+def _degree_counts(e: DataFrame) -> DataFrame:
+    return e.groupBy("src").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("n"))
+
+
+def _faults(e: DataFrame, n: int) -> DataFrame:
+    outside = (F.col("src") < 0) | (F.col("src") >= n) | (F.col("dst") < 0) | (F.col("dst") >= n)
+    return e.groupBy("src", "dst").count().agg(F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(outside).alias("outside"), F.count_if(F.col("count") > 1).alias("repeats"))
+
+
+def _independent(e: DataFrame) -> DataFrame:
+    v = cut(apps.independent_set(e), "independent")
+    touched = e.join(v.withColumnRenamed("v", "src"), "src", "left_semi").select(F.col("dst").alias("v")).distinct()
+    inside = touched.join(v, "v", "left_semi").agg(F.count("*").alias("inside"))
+    return inside.crossJoin(rep.vertices(e).join(v.unionByName(touched), "v", "left_anti").agg(F.count("*").alias("uncovered")))
+
+
+def _parts_held(parts: DataFrame) -> DataFrame:
+    return parts.agg(F.count_distinct("v").alias("n"), F.count_if((F.col("part") < 0) | (F.col("part") > 7)).alias("outside"))
+
+
+_DEGREES = "SELECT degree, count(*) AS n FROM (SELECT count(*) AS degree FROM g GROUP BY src) GROUP BY degree"
+_ALL_PARTS = f"SELECT {_N} AS n, CAST(0 AS BIGINT) AS outside"
+_NO_FAULT = "SELECT CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS repeats"
+_held("permutation_holds", lambda s, n: vector.random_permutation(s, n, 1).agg(F.count_distinct("idx").alias("places"), F.count_distinct("val").alias("values"), F.max("val").alias("last")), "SELECT n AS places, n AS values, n - 1 AS last FROM k")
+_held("erdos_renyi_holds", lambda s, n: _faults(gen.erdos_renyi(s, n, 0.1), n), _NO_FAULT)
+_held("modular_graph_holds", lambda s, n: _faults(gen.modular(s, n, 4, 0.1, 0.8), n), _NO_FAULT)
+_held("kronecker_holds", lambda s, n: gen.kronecker(s, max(1, (n - 1).bit_length())).agg(F.count("*").alias("edges"), F.max(F.greatest("src", "dst")).alias("last")).select("edges", (F.col("last") * 16 < F.col("edges")).alias("inside")), "SELECT CAST(16 * pow(2, ceil(log2(n))) AS BIGINT) AS edges, true AS inside FROM k")
+add("permuted_labels_hold", "g5", lambda e: _degree_counts(gen.permuted_labels(e, 1)), _DEGREES)
+add("rewired_holds", "u5", lambda e: _degree_counts(sequential.rewired(e, 500)), _DEGREES)
+add("rewired_assortative_holds", "u5", lambda e: _degree_counts(sequential.rewired(e, 200, toward=1)), _DEGREES)
+add("mis_holds", "u5", _independent, "SELECT CAST(0 AS BIGINT) AS inside, CAST(0 AS BIGINT) AS uncovered")
+add("search_roots_hold", "g7", lambda e: traversal.choose_roots(e).agg(F.count_distinct("v").alias("roots")), f"SELECT least(64, {_N}) AS roots")
+add("hash_parts_hold", "g7", lambda e: _parts_held(partition.by_hash(rep.vertices(e), 8)), _ALL_PARTS)
+add("fennel_parts_hold", "u5", lambda e: _parts_held(partition.stream_partition(e.drop("w"), 8)), _ALL_PARTS)
+add("label_propagation_holds", "u5", lambda e: _parts_held(partition.label_propagation(e.drop("w"), 8)), _ALL_PARTS)
+add("markov_columns_hold", "n0", lambda e: apps.markov_clusters(as_matrix(e).withColumn("val", F.col("val").cast("double")), normalize=True).groupBy("col").agg(F.round(F.sum("val"), 2).alias("total")), "SELECT DISTINCT src AS col, CAST(1 AS DOUBLE) AS total FROM g")
+add("spectrum_holds", "n0", lambda e: spectral.spectrum(e).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("trace"), F.round(F.abs(F.min("value")), 3).alias("least")), f"SELECT {_N} AS n, CAST(sum(w) AS DOUBLE) AS trace, CAST(0 AS DOUBLE) AS least FROM g")
+
 # Planted graphs: what is planted is found again, in as many graphs as there are suppliers.
 
 

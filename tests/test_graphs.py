@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -357,3 +360,8 @@ def test_binomial_draws(spark):
     draws = spark.range(4000).select(binomial(F.lit(20), 0.3, 5, "id").alias("k"), binomial(F.lit(0), 0.3, 5, "id").alias("none"))
     mean, sd, most, none = draws.agg(F.avg("k"), F.stddev("k"), F.max("k"), F.max("none")).first()
     assert abs(mean - 6) < 0.15 and abs(sd - math.sqrt(4.2)) < 0.15 and most <= 20 and none == 0
+
+
+def test_the_entry_is_imported_without_a_session():
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(o) > 250"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1], timeout=120)
