@@ -38,6 +38,10 @@ def classes(rows: list[tuple[int, str | None]], percent: int = 75) -> dict[int,
 
 
 def removed(rows: list[tuple[int, str | None]], width: int = 200) -> dict[int, tuple[int, int, int, str]]:
+    return {d: (n, gone, spans, hashlib.sha256(kept).hexdigest()) for d, (n, gone, spans, kept) in kept_bytes(rows, width).items()}
+
+
+def kept_bytes(rows: list[tuple[int, str | None]], width: int = 200) -> dict[int, tuple[int, int, int, bytes]]:
     raw = [(d, (t or "").encode()) for d, t in rows]
     seen = Counter(b[i : i + width] for _, b in raw for i in range(len(b) - width + 1))
     out = {}
@@ -47,7 +51,7 @@ def removed(rows: list[tuple[int, str | None]], width: int = 200) -> dict[int, t
             if seen[b[i : i + width]] > 1:
                 gone[i : i + width] = True
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        out[d] = (len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+        out[d] = (len(b), int(gone.sum()), spans, np.frombuffer(b, np.uint8)[~gone].tobytes())
     return out
 
 
