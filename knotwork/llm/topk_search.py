@@ -212,7 +212,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     x = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     x = x.where(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
     x = x.select(F.col("vec_id").cast("long"), F.transform("e", lambda c: F.floor(c * scale).cast("long")).alias("v"), F.size("e").alias("dims"))
-    index, found = cut(in_arrow(x.select("vec_id", "v"), _indexed, INDEX), "index"), None
+    # A block costs a query about the same work whatever its size, so tasks that read less than a block are joined.
+    whole = x.select("vec_id", "v").coalesce(max(1, -(-x.count() // ROWS)))
+    index, found = cut(in_arrow(whole, _indexed, INDEX), "index"), None
     for chunk in _chunks(x.where(F.col("vec_id") % every == 0)):
         part = cut(in_arrow(index, _answered(k, spark.sparkContext.broadcast(chunk)), "query_id long, vec_id long, score long"), "best")
         found = part if found is None else found.union(part)
