@@ -207,6 +207,41 @@ def test_sequential_models(spark):
     assert set(by(metrics.neighbour_counts(sequential.uniform_regular(spark, 12, 3)), "v", "n").values()) == {3}
 
 
+def test_largest_s_equals_a_plain_one():
+    """All pairs in order of product and ids, for sequences with many ties; and a size that all pairs would not allow."""
+
+    def plain(degrees):
+        by = sorted(range(len(degrees)), key=lambda v: (-degrees[v], v))
+        room, e = list(degrees), set()
+
+        def join(a, b):
+            e.add((min(a, b), max(a, b)))
+            room[a] -= 1
+            room[b] -= 1
+
+        for k in range(1, len(degrees)):
+            join(by[k], next(x for x in by[:k] if room[x] > 0))
+        for _, a, b in sorted((-degrees[a] * degrees[b], a, b) for i, a in enumerate(by) for b in by[i + 1 :]):
+            if room[a] > 0 and room[b] > 0 and (min(a, b), max(a, b)) not in e:
+                join(a, b)
+        return sorted(e)
+
+    r = np.random.default_rng(5)
+    for n in (2, 3, 7, 20, 40, 60):
+        for high in (3, 5, 9, 13):
+            degrees = [int(d) for d in np.maximum(1, r.integers(1, high, n)) + (np.arange(n) < 3) * 3]
+            if sum(degrees) >= 2 * (n - 1) and n > 3:
+                assert sequential.largest_s(degrees) == plain(degrees)
+    degrees = [4 if k % 2 else 2 for k in range(301)]
+    assert sequential.largest_s(degrees) == plain(degrees)
+    many = [4 if k % 2 else 2 for k in range(60000)]
+    assert np.bincount(np.array(sequential.largest_s(many)).ravel()).tolist() == many
+
+
+def test_largest_s_graph_has_no_bound_of_its_own(spark):
+    assert sequential.largest_s_graph(spark, [2] * 5001).count() == 2 * 5001
+
+
 def test_rewiring_keeps_degrees(spark):
     e = gen.erdos_renyi(spark, 40, 0.15, seed=2)
     before, r0 = by(metrics.neighbour_counts(e), "v", "n"), one(metrics.assortativity(e))
