@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from knotwork.functions.random import binomial
 from knotwork.operators import apps, community, components, gnn, metrics, partition, paths, predicates, representation, sequential, spectral, statistics, traversal
 from knotwork.operators import generators as gen
+from knotwork.plans.storage import cut
 
 BOWTIE = [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6)]
 
@@ -252,6 +253,38 @@ def test_rewiring_keeps_degrees(spark):
         assert toward == 0 or (r - r0) * toward >= -1e-7
 
 
+def _swapped(pairs, k, seed, toward):
+    """k swaps with all edges at hand."""
+    r, own, held, d = np.random.default_rng(seed), sorted(pairs), set(pairs), {}
+    for v in [v for x in own for v in x]:
+        d[v] = d.get(v, 0) + 1
+    done = tries = 0
+    while done < k and tries < 200 * k + 1000:
+        tries += 1
+        i, j = (int(x) for x in r.choice(len(own), 2, replace=False))
+        (a, b), (x, y) = own[i], own[j]
+        if r.random() < 0.5:
+            x, y = y, x
+        one, two = (min(a, y), max(a, y)), (min(x, b), max(x, b))
+        gain = d[a] * d[y] + d[x] * d[b] - d[a] * d[b] - d[x] * d[y]
+        if len({a, b, x, y}) == 4 and one not in held and two not in held and not (toward and gain * toward <= 0):
+            held = held - {own[i], own[j]} | {one, two}
+            own[i], own[j] = one, two
+            done += 1
+    return {(a, b, 1) for x, y in own for a, b in ((x, y), (y, x))}
+
+
+def test_rewiring_holds_few_edges_and_equals_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(sequential, "MOST", 60)
+    for p, k, toward in ((0.15, 20, 0), (0.15, 20, 1), (0.15, 60, -1), (0.8, 10, 0)):
+        e = cut(gen.erdos_renyi(spark, 40, p, seed=2))
+        pairs = {(r["src"], r["dst"]) for r in e.collect() if r["src"] < r["dst"]}
+        assert len(pairs) > 60
+        assert sorted(map(tuple, sequential.rewired(e, k, toward=toward).collect())) == sorted(_swapped(pairs, k, 1, toward))
+    with pytest.raises(ValueError):
+        sequential.rewired(e, 61)
+
+
 def test_partitioners(spark):
     e = gen.modular(spark, 80, 2, 0.2, 0.95, seed=4).drop("w")
     v = spark.range(80).withColumnRenamed("id", "v")
