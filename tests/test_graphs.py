@@ -285,6 +285,12 @@ def test_rewiring_holds_few_edges_and_equals_a_plain_one(spark, monkeypatch):
         sequential.rewired(e, 61)
 
 
+def test_a_clique_is_made_without_a_shuffle(spark):
+    made = gen.canonical(spark, 7, "clique")
+    assert sorted(map(tuple, made.collect())) == [(a, b, 1) for a in range(7) for b in range(7) if a != b]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_partitioners(spark):
     e = gen.modular(spark, 80, 2, 0.2, 0.95, seed=4).drop("w")
     v = spark.range(80).withColumnRenamed("id", "v")
