@@ -304,6 +304,22 @@ def test_partitioners(spark):
         partition.stream_partition(e, 2, most=10)
 
 
+def test_a_stream_in_runs_equals_the_whole_one(spark):
+    """Runs of few edges against the fold that holds all, on a graph with vertices without edges and on a dense one."""
+    for n, p in ((60, 0.02), (60, 0.3)):
+        e, v = cut(gen.erdos_renyi(spark, n, p, seed=3).select("src", "dst")), spark.range(n).withColumnRenamed("id", "v")
+        whole = by(partition.stream_partition(e, 4, v=v, seed=3), "v", "part")
+
+        def draw(a, b):
+            return gen.pair_draw(3, a, b)
+
+        own = partition.pair_degrees(spark, n, draw, [p])[:, 0]
+        assert own.sum() == e.count()
+        part, kept = partition.stream_over_pairs(spark, n, draw, p, own, 4, seed=3, held=max(1, int(p * 18**2 / 2)))
+        assert part.tolist() == [whole[x] for x in range(n)]
+        assert own.sum() - 2 * kept == sum(whole[a] != whole[b] for a, b in map(tuple, e.collect()))
+
+
 def test_fold_equals_a_plain_one():
     r = np.random.default_rng(1)
     ids = np.arange(30)
