@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,6 +453,23 @@ def test_binomial_draws(spark):
     assert abs(mean - 6) < 0.15 and abs(sd - math.sqrt(4.2)) < 0.15 and most <= 20 and none == 0
 
 
+def test_triangles_shuffle_no_paths(spark):
+    """The same triangles in one task and in 4 or more classes; what lies two steps away is not shuffled."""
+    r = np.random.default_rng(3)
+    pairs = {(int(a), int(b)) for a, b in r.integers(0, 40, (260, 2)) if a < b} | {(0, b) for b in range(1, 40)}
+    e = both(spark, sorted(pairs)).union(both(spark, [(1, 1), (0, 2)]))
+    brute = {(a, b, c) for a, b in pairs for c in range(40) if (a, c) in pairs and (b, c) in pairs}
+    for held in (metrics.HELD, 150, 20):
+        t = metrics.triangles(e, held)
+        assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(sorted(x)) for x in t.collect()]
+        assert len(got) == len(set(got)) and set(got) == brute
+    table = pa.table({"src": [a for a, _ in pairs], "dst": [b for _, b in pairs], "mixed": [True] * len(pairs)})
+    small = [x for y in metrics.corners(marks=100, paths=7)(iter(table.to_batches(50))) for x in zip(*y.to_pydict().values())]
+    assert {tuple(sorted(x)) for x in small} == brute and len(small) == len(brute)
+    assert metrics.triangles(e.where("src > 99")).count() == 0
+
+
 def test_the_entry_is_imported_without_a_session():
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(o) > 250"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1], timeout=120)
