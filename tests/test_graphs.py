@@ -470,6 +470,21 @@ def test_triangles_shuffle_no_paths(spark):
     assert metrics.triangles(e.where("src > 99")).count() == 0
 
 
+def test_louvain_rounds_are_a_job_each(spark):
+    """A round over packed rows is one job, and its moves are those of the joined tables."""
+    r = np.random.default_rng(5)
+    e = both(spark, sorted({(int(a) - 30, int(b) - 30) for a, b in r.integers(0, 60, (300, 2)) if a < b})).withColumn("w", 1 + F.abs(F.col("src") + F.col("dst")) % 3)
+    jobs, context = [], spark.sparkContext
+    for rounds in (2, 7):
+        context.setJobGroup(f"louvain {rounds}", "")
+        held = by(community.louvain_rounds(e, rounds), "v", "part")
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"louvain {rounds}")))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert held == by(community.louvain_rounds(e, rounds, most=0), "v", "part")
+    assert jobs[1] - jobs[0] == 5
+    assert community.louvain_rounds(e.where("src > 99")).count() == 0
+
+
 def test_the_entry_is_imported_without_a_session():
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(o) > 250"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1], timeout=120)
