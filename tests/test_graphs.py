@@ -470,6 +470,19 @@ def test_triangles_shuffle_no_paths(spark):
     assert metrics.triangles(e.where("src > 99")).count() == 0
 
 
+def test_triangles_are_found_by_a_task_for_each_cell(spark):
+    """As many tasks as there are sets of one to three classes; and ids that are far apart, negative or texts."""
+    r = np.random.default_rng(4)
+    pairs = sorted({(int(a), int(b)) for a, b in r.integers(0, 30, (200, 2)) if a < b})
+    brute = sum((a, c) in pairs and (b, c) in pairs for a, b in pairs for c in range(30))
+    e = both(spark, pairs)
+    far = e.select(*[((F.col(c) - 15) * 600_000_000_000_000_000).alias(c) for c in ("src", "dst")])
+    for x in (e, far, e.select(F.col("src").cast("string"), F.col("dst").cast("string"))):
+        t = metrics.triangles(x, 6 * len(pairs) // 16)
+        assert t.rdd.getNumPartitions() >= 4 + 6 + 4
+        assert t.count() == brute == metrics.triangles(x).count()
+
+
 def test_louvain_rounds_are_a_job_each(spark):
     """A round over packed rows is one job, and its moves are those of the joined tables."""
     r = np.random.default_rng(5)
